@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,3 +35,14 @@ def remove(spark: SparkSession, path: str) -> None:
     """Delete a path below the shared folder, through Hadoop's file systems."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+#: Ids up to which an anti join broadcasts them (8 MB); beyond it, both sides are shuffled.
+BROADCAST_IDS = 1_000_000
+
+
+def without(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose ``column`` is not among ``ids`` (one column); rows with null stay."""
+    drop = stored(ids.toDF("__drop").where("__drop is not null").distinct(), "dropped")
+    small = drop.count() <= BROADCAST_IDS
+    return df.join(F.broadcast(drop) if small else drop, F.col(f"`{column}`") == F.col("__drop"), "left_anti")
