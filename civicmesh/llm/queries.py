@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TOKENIZER_WORD, TOKENIZER_BYTE = "word_bpe_49k.json", "byte_bpe_50k.json"
 
@@ -33,9 +34,96 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(docs, tokenizer(TOKENIZER_BYTE), limit=512)
 
 
+#: Shares of all tokens that each label class (quality, toxic) is to have.
+TARGETS = {"q1t0": 0.80, "q1t1": 0.05, "q0t0": 0.12, "q0t1": 0.03}
+
+
+def label_domains(labels: DataFrame) -> DataFrame:
+    """doc_id and the domain that its labels name."""
+    return labels.select("doc_id", F.concat(F.lit("q"), "quality", F.lit("t"), "toxic").alias("domain"))
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix_rates
+
+    return mix_rates(table(spark, sf_dir, "documents"), label_domains(table(spark, sf_dir, "labels")), TARGETS)
+
+
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import transcript_query
+
+    return transcript_query(table(spark, sf_dir, "conversations"))
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), words=4, radius=4)
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality_scores
+
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), cut=0.3)
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import judge
+
+    return judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict", "template")
+
+
+def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .top_k import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archive
+
+    return archive(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neighbours import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
+    "op2_chat_format": op2_chat_format,
     "op3_bpe_codec": op3_bpe_codec,
+    "op4_simhash": op4_simhash,
+    "op5_quality": op5_quality,
+    "op6_url_filter": op6_url_filter,
+    "op7_top_k": op7_top_k,
     "op8_token_counts": op8_token_counts,
+    "op9_warc": op9_warc,
+    "op10_neighbours": op10_neighbours,
 }
 
-ORACLES: dict[str, str] = {}
+#: DuckDB texts, for the operators whose whole result SQL can express.
+ORACLES: dict[str, str] = {
+    "op7_top_k": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, x -> CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS v FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0),
+        s AS (
+            SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0)
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+    """,
+    "op9_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages WHERE page_id IS NOT NULL),
+        d AS (SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes, sha256(h) AS payload_digest FROM p),
+        f AS (SELECT payload_digest, min(page_id) AS first FROM d GROUP BY 1)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 100 AND page_id > first THEN first END AS refers_to
+        FROM d JOIN f USING (payload_digest)
+    """,
+}
