@@ -32,7 +32,7 @@ WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Spac
 LATIN_WORDS = re.compile(r"[a-zA-Zß-öø-ÿÀ-ÖØ-Þ]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\s0-9a-zA-Zß-öø-ÿÀ-ÖØ-Þ]+", re.ASCII)
 NOT_LATIN = re.compile("[^\t-\r -~ß-öø-ÿÀ-ÖØ-Þ]")
 #: Distinct words that a worker remembers; beyond it forgets them all and goes on.
-REMEMBERED = 400_000
+REMEMBERED = 120_000
 
 
 def vocabulary(path: str) -> tuple[str, str]:

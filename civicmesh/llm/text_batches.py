@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text that are turned into Python objects at a time, and characters of one text that are split into words at a time.
-PIECE_BYTES, CHUNK_CHARS = 4 << 20, 1 << 20
+PIECE_BYTES, CHUNK_CHARS = 1 << 20, 1 << 20
 #: A single space between other characters: no pre-token of the tokenizers reaches over its left side.
 _gap = regex.compile(r"(?<=\S) (?=\S)")
 

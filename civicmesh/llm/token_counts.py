@@ -26,7 +26,7 @@ PRE_TOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{Wh
 #: The same for texts of ASCII and accented Latin letters, without a look-up of properties.
 LATIN = re.compile(r" ?[a-zA-Zß-öø-ÿÀ-ÖØ-Þ]+|'(?:s|t|re|ve|m|ll|d)| ?[0-9]+| ?[^\s0-9a-zA-Zß-öø-ÿÀ-ÖØ-Þ]+|\s+(?!\S)|\s+", re.ASCII)
 #: Pre-tokens whose counts a worker remembers; beyond it forgets all but the proven ones.
-REMEMBERED = 600_000
+REMEMBERED = 200_000
 
 
 def whole_tokens(table: MergeTable) -> dict[str, int]:
