@@ -7,17 +7,17 @@ given), and Viterbi finds the likeliest speakers. Turns are then rendered in one
 the first line of a turn carries the opening, the last one the closing, so that the lines of a conversation in order are
 the canonical transcript.
 
-A conversation may be of any length: lines are cut into segments of SEGMENT lines. The best path through a segment from each
-entry state to each exit state is a small max-plus matrix; the matrices of a conversation meet in one short chain that fixes
-the states at the segments' borders, and each segment then finds its own path. Nothing holds more than a segment and the
-matrices of one conversation.
+A conversation may be of any length, and one may hold most of the lines: lines are numbered by a range-partitioned sort and cut
+into segments of SEGMENT lines. The best path through a segment from each entry state to each exit state is a small max-plus
+matrix. FAN neighbouring matrices multiply to one, level by level, until a conversation has one left; on the way back
+each product's entry and exit fix the states at the borders of its FAN parts, and each segment then finds its own path.
+Nothing holds more than a segment or FAN matrices.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -28,7 +28,8 @@ from .storage import stored
 ROLES = ("system", "user", "assistant")
 #: States: each role, beginning a turn or going on in one.
 STATES = [(role, begins) for role in ROLES for begins in (True, False)]
-SEGMENT = 256
+#: Lines of a segment, and matrices that multiply at a time.
+SEGMENT, FAN = 256, 64
 #: What speakers are called in transcripts (fixed values).
 MARKERS = {"system": "system|sys|instructions?", "user": "user|human|question|q|customer|client|me", "assistant": "assistant|ai|bot|answer|a|agent|model|gpt"}
 _MARK = r"(?i)^\s*(?:#{1,4}\s*|\*{1,2}|<\|?|\[)?(%s)(?:\*{1,2}|\|?>|\])?\s*(?:[:>]|$)\s*(?:\*{1,2}\s*)?"
@@ -93,17 +94,30 @@ def split_lines(conversations: DataFrame, conv_id: str, turn: str, role: str | N
     return rows.withColumn("state", state)
 
 
+def _same(a: str, b: str) -> Column:
+    return F.col(a).eqNullSafe(F.col(b))
+
+
 def placed(lines: DataFrame, order: list[str]) -> DataFrame:
-    """``at``, the number of each line in its transcript, ``segment`` and ``symbol``; ties in ``order`` fall by the line's text."""
-    w = Window.partitionBy("conv_id").orderBy(*order, "text")
-    out = lines.withColumn("at", F.row_number().over(w) - 1)
+    """``at``, the number of each line in its transcript, ``segment`` and ``symbol``; ties in ``order`` fall by the line's text.
+
+    A transcript may reach over several ranges of the sort; a line's number is its place in its range plus the lines in the ranges before."""
+    keys = ["conv_id", *order, "text"]
+    ranged = stored(lines.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__row", F.monotonically_increasing_id()), "transcript-ranges")
+    ranged = ranged.withColumn("__part", F.shiftright("__row", 33))
+    before = Window.partitionBy("__c").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy(F.col("conv_id").alias("__c"), F.col("__part").alias("__p")).agg(F.min("__row").alias("__low"), F.count("*").alias("__n"))
+    starts = starts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))  # a row for each transcript and range that it reaches into
+    out = ranged.join(starts, _same("conv_id", "__c") & (F.col("__part") == F.col("__p"))).withColumn("at", (F.col("__row") - F.col("__low") + F.col("__before")).cast("int"))
+    out = out.drop("__row", "__part", "__c", "__p", "__low", "__n", "__before")
     return out.withColumn("segment", F.floor(F.col("at") / SEGMENT).cast("int")).withColumn("symbol", symbol(F.col("text"), F.col("at") == 0))
 
 
 def learn(rows: DataFrame) -> Hmm:
     """From lines with ``at``, ``symbol`` and ``state``: grouped counts, a few hundred numbers."""
-    w = Window.partitionBy("conv_id").orderBy("at")
-    known = rows.withColumn("before", F.lag("state").over(w)).where("state is not null")
+    known = rows.select("conv_id", "at", "symbol", "state").where("state is not null")
+    earlier = known.select(F.col("conv_id").alias("__c"), (F.col("at") + 1).alias("__a"), F.col("state").alias("before"))
+    known = known.join(earlier, _same("conv_id", "__c") & (F.col("at") == F.col("__a")), "left")
     counts = known.groupBy("before", "state", "symbol", (F.col("at") == 0).alias("first")).count().collect()  # at most states squared times symbols
     start, move, emit = {}, {}, {}
     for r in counts:
@@ -130,78 +144,102 @@ def best_paths(hmm: Hmm, symbols: np.ndarray, entry: int | None) -> tuple[np.nda
     return score, back
 
 
-def _groups(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(table.column("at").to_numpy(), kind="stable")
-    return order, table.column("symbol").to_numpy()[order]
+def multiplied(tables: list[np.ndarray]) -> np.ndarray:
+    """The max-plus product of matrices: best scores through all of them by entry and exit."""
+    out = tables[0]
+    for m in tables[1:]:
+        out = (out[:, :, None] + m[None]).max(1)
+    return out
+
+
+def between(tables: list[np.ndarray], entry: int, exit_: int) -> list[int]:
+    """The exit state of each matrix on the best way from ``entry`` to ``exit_`` through all of them."""
+    score, back = tables[0][entry], []
+    for m in tables[1:]:
+        through = score[:, None] + m
+        back.append(through.argmax(0))
+        score = through.max(0)
+    exits = [exit_]
+    for b in reversed(back):
+        exits.append(int(b[exits[-1]]))
+    return exits[::-1]
+
+
+def borders(matrices: DataFrame) -> DataFrame:
+    """conv_id, segment, entry and exit: the states of the best paths before and at the end of each segment.
+
+    ``matrices`` (conv_id, segment, score) has a row for each segment; entries of a transcript's first segment count nothing."""
+    n = len(STATES)
+    kind = matrices.schema["conv_id"].dataType.simpleString()
+    made = pa.schema([("conv_id", _arrow(kind)), ("segment", pa.int32()), ("score", pa.list_(pa.float64()))])
+    ends = pa.schema([("conv_id", _arrow(kind)), ("segment", pa.int32()), ("entry", pa.int32()), ("exit", pa.int32())])
+    square = lambda p: np.array(p["score"]).reshape(n, n)
+
+    def blocks(level: DataFrame) -> DataFrame:  # FAN parts at most in each
+        return level.groupBy("conv_id", F.floor(F.col("segment") / FAN).cast("int").alias("block")).agg(F.array_sort(F.collect_list(F.struct("segment", "score"))).alias("parts"))
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _batch([(conv, block, multiplied([*map(square, parts)]).ravel().tolist()) for conv, block, parts in zip(*(c.to_pylist() for c in batch.columns), strict=True)], made)
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for conv, parts, entry, exit_ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                exits = between([*map(square, parts)], entry, exit_)
+                out += [(conv, p["segment"], e, x) for p, e, x in zip(parts, [entry, *exits[:-1]], exits, strict=True)]
+            yield _batch(out, ends)
+
+    levels = [matrices]
+    while levels[-1].agg(F.max("segment")).first()[0]:
+        levels.append(stored(blocks(levels[-1]).mapInArrow(multiply, f"conv_id {kind}, segment int, score array<double>"), "products"))
+    row = F.slice("score", 1, n)
+    fixed = levels[-1].select("conv_id", "segment", F.lit(0).alias("entry"), (F.array_position(row, F.array_max(row)) - 1).cast("int").alias("exit"))
+    for level in levels[-2::-1]:
+        of = fixed.withColumnsRenamed({"conv_id": "__c", "segment": "__b"})
+        both = blocks(level).join(of, _same("conv_id", "__c") & (F.col("block") == F.col("__b"))).select("conv_id", "parts", "entry", "exit")
+        fixed = both.mapInArrow(split, f"conv_id {kind}, segment int, entry int, exit int")
+    return fixed
 
 
 def roles(rows: DataFrame, hmm: Hmm) -> DataFrame:
     """``rows`` (conv_id, at, segment, symbol and others) with ``state``: Viterbi over whole transcripts."""
-    n = len(STATES)
     rows = rows.drop("state")
     kind = rows.schema["conv_id"].dataType.simpleString()
-
-    def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for conv, segment, at, symbols in _runs(batches):
-            score, _ = best_paths(hmm, symbols, None if segment == 0 else 0)
-            yield conv, segment, score
+    made = pa.schema([("conv_id", _arrow(kind)), ("segment", pa.int32()), ("score", pa.list_(pa.float64()))])
+    found = pa.schema([("conv_id", _arrow(kind)), ("at", pa.int32()), ("state", pa.int32())])
 
     def to_matrix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
-        for conv, segment, score in matrices(batches):
+        for conv, segment, _, symbols in _runs(batches):
+            score, _ = best_paths(hmm, symbols, None if segment == 0 else 0)
             held.append((conv, segment, score.ravel().tolist()))
             if len(held) >= 2000:
-                yield _batch(held, types)
+                yield _batch(held, made)
                 held = []
-        yield _batch(held, types)
-
-    types = pa.schema([("conv_id", _arrow(kind)), ("segment", pa.int32()), ("score", pa.list_(pa.float64()))])
-    narrow = rows.select("conv_id", "segment", "at", "symbol").repartition("conv_id", "segment").sortWithinPartitions("conv_id", "segment", "at")
-    segments = narrow.mapInArrow(to_matrix, f"conv_id {kind}, segment int, score array<double>")
-    # one row for each SEGMENT lines of a conversation
-    chain = segments.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("segment", "score"))).alias("chain"))
-
-    def border_states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for conv, parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                tables = [np.array(p["score"]).reshape(n, n) for p in parts]
-                score, back = tables[0][0], []
-                for m in tables[1:]:
-                    through = score[:, None] + m
-                    back.append(through.argmax(0))
-                    score = through.max(0)
-                state = int(score.argmax())
-                exits = [state]
-                for b in reversed(back):
-                    state = int(b[state])
-                    exits.append(state)
-                exits.reverse()
-                out += [(conv, p["segment"], exits[i - 1] if i else None, exits[i]) for i, p in enumerate(parts)]
-            yield _batch(out, borders)
-
-    borders = pa.schema([("conv_id", _arrow(kind)), ("segment", pa.int32()), ("entry", pa.int32()), ("exit", pa.int32())])
-    fixed = chain.mapInArrow(border_states, f"conv_id {kind}, segment int, entry int, exit int")
+        yield _batch(held, made)
 
     def to_states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
         for conv, segment, at, symbols, entry, exit_ in _runs(batches, borders=True):
             _, back = best_paths(hmm, symbols, None if segment == 0 else 0)
-            row, state, path = (0 if segment == 0 else int(entry)), int(exit_), []
+            state, path = int(exit_), []
             for t in range(len(symbols) - 1, -1, -1):
                 path.append(state)
-                state = int(back[t, row, state])
+                state = int(back[t, int(entry), state])
             held += zip([conv] * len(path), at.tolist(), reversed(path), strict=True)
             if len(held) >= 10_000:
                 yield _batch(held, found)
                 held = []
         yield _batch(held, found)
 
-    found = pa.schema([("conv_id", _arrow(kind)), ("at", pa.int32()), ("state", pa.int32())])
-    both = rows.select("conv_id", "segment", "at", "symbol").join(fixed.withColumnsRenamed({"conv_id": "__c", "segment": "__s"}), F.col("conv_id").eqNullSafe(F.col("__c")) & (F.col("segment") == F.col("__s"))).drop("__c", "__s")
+    narrow = rows.select("conv_id", "segment", "at", "symbol")
+    in_segments = narrow.repartition("conv_id", "segment").sortWithinPartitions("conv_id", "segment", "at")
+    fixed = borders(stored(in_segments.mapInArrow(to_matrix, f"conv_id {kind}, segment int, score array<double>"), "segments"))
+    both = narrow.join(fixed.withColumnsRenamed({"conv_id": "__c", "segment": "__s"}), _same("conv_id", "__c") & (F.col("segment") == F.col("__s"))).drop("__c", "__s")
     sorted_rows = both.repartition("conv_id", "segment").sortWithinPartitions("conv_id", "segment", "at")
     states = sorted_rows.mapInArrow(to_states, f"conv_id {kind}, at int, state int").withColumnsRenamed({"conv_id": "__c", "at": "__a"})
-    return rows.join(states, F.col("conv_id").eqNullSafe(F.col("__c")) & (F.col("at") == F.col("__a"))).drop("__c", "__a")
+    return rows.join(states, _same("conv_id", "__c") & (F.col("at") == F.col("__a"))).drop("__c", "__a")
 
 
 def _arrow(kind: str) -> pa.DataType:
@@ -225,6 +263,8 @@ def _runs(batches: Iterator[pa.RecordBatch], borders: bool = False):
         return (*key[:2], at, symbols, *key[2:])
 
     for batch in batches:
+        if not batch.num_rows:
+            continue
         names = ["conv_id", "segment", *(["entry", "exit"] if borders else [])]
         keys = [*zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in names), strict=True)]
         at, symbols = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("at", "symbol"))
@@ -245,15 +285,17 @@ def _runs(batches: Iterator[pa.RecordBatch], borders: bool = False):
 def rendered(rows: DataFrame) -> DataFrame:
     """``role``, ``begins`` and ``rendered`` of each line: opening, the text without its marker, and the closing after a turn's last line.
 
-    A turn begins where the role changes or the state says so."""
-    w = Window.partitionBy("conv_id").orderBy("at")
+    A turn begins where the state says so, as going on is only possible in one's own role."""
     role = F.get(F.array(*(F.lit(r) for r, _ in STATES)), F.col("state"))
     begins = F.get(F.array(*(F.lit(b) for _, b in STATES)), F.col("state"))
     rows = rows.withColumns({"role": role, "begins": begins | (F.col("at") == 0)})
-    last = F.coalesce(F.lead("begins").over(w), F.lit(True))
+    # the next line is in the same segment, or the first of the next one
+    firsts = rows.where(F.col("at") % SEGMENT == 0).select(F.col("conv_id").alias("__c"), (F.col("segment") - 1).alias("__s"), F.col("begins").alias("__next"))
+    inside = F.lead("begins").over(Window.partitionBy("conv_id", "segment").orderBy("at"))
+    rows = rows.join(firsts, _same("conv_id", "__c") & (F.col("segment") == F.col("__s")), "left").withColumn("__last", F.coalesce(inside, F.col("__next"), F.lit(True)))
     body = F.when(F.col("begins"), F.regexp_replace("text", ANY_MARK, "")).otherwise(F.col("text"))
     opening = F.when(F.col("begins"), F.format_string(OPEN, F.col("role"))).otherwise(F.lit(""))
-    return rows.withColumn("rendered", F.concat(opening, body, F.when(last, F.lit("\n" + CLOSE)).otherwise(F.lit("\n"))))
+    return rows.withColumn("rendered", F.concat(opening, body, F.when(F.col("__last"), F.lit("\n" + CLOSE)).otherwise(F.lit("\n")))).drop("__c", "__s", "__next", "__last")
 
 
 def parse(lines: DataFrame, hmm: Hmm, order: list[str]) -> DataFrame:
