@@ -39,7 +39,7 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw(spark, sf_dir, "documents").select(
         i.alias("id"),
         pick(SIGNAL_TYPES, i % 5).alias("node_type"),
-        F.substring("text", 1, 60).alias("title"),
+        F.col("text").alias("title"),
         F.concat(F.lit("https://"), F.col("source"), F.lit(".example.org/"), F.col("lang"), F.lit("/"), i.cast("string")).alias("source_url"),
         ((i * 37) % 100 / 100.0).alias("confidence"),
         (44.5 + (i * 7) % 100 / 100.0).alias("lat"),
@@ -92,17 +92,17 @@ def stories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def contains(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("doc_id")
-    return raw(spark, sf_dir, "documents").where(i % 3 != 0).select((i % 25).alias("story_id"), i.alias("signal_id"))
+    return raw(spark, sf_dir, "documents").where("lang <> 'fr'").select((i % 25).alias("story_id"), i.alias("signal_id"))
 
 
 def evidences(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("doc_id")
-    return raw(spark, sf_dir, "documents").where(i % 4 != 0).select(i.alias("signal_id"), (i % 40).alias("situation_id"), (i % 17 == 0).alias("debunked"), (i % 100 / 100.0).alias("match_confidence"))
+    return raw(spark, sf_dir, "documents").where("lang <> 'de'").select(i.alias("signal_id"), (i % 40).alias("situation_id"), (i % 17 == 0).alias("debunked"), (i % 100 / 100.0).alias("match_confidence"))
 
 
 def situations(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("p_partkey")
-    return raw(spark, sf_dir, "part").where(i < 40).select(
+    return raw(spark, sf_dir, "part").select(
         i.alias("id"),
         F.col("p_name").alias("headline"),
         pick(("emerging", "developing", "active", "cooling", "cold"), i % 5).alias("arc"),
@@ -132,19 +132,24 @@ def acted_in(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw(spark, sf_dir, "orders").select(F.col("o_custkey").alias("actor_id"), (F.col("o_orderkey") % 1000).alias("signal_id"), F.lower("o_orderstatus").alias("role")).distinct()
 
 
+def _responder() -> Column:
+    """A signal of a type that can answer: the first three of five."""
+    return F.col("l_orderkey") % 200 * 5 + F.col("l_linenumber") % 3
+
+
 def responds_to(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Aid, gathering or need to tension, with the strongest match of a pair."""
     rows = raw(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(
-        (F.col("l_orderkey") % 1000).alias("signal_id"), (F.col("l_partkey") % 200 * 5 + 4).alias("tension_id"), (F.col("l_discount") * 10).alias("strength")
+        _responder().alias("signal_id"), (F.col("l_partkey") % 200 * 5 + 4).alias("tension_id"), (F.col("l_discount") * 10).alias("strength")
     )
-    return rows.where("signal_id % 5 < 3").groupBy("signal_id", "tension_id").agg(F.max("strength").alias("strength"))
+    return rows.groupBy("signal_id", "tension_id").agg(F.max("strength").alias("strength"))
 
 
 def drawn_to(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = raw(spark, sf_dir, "lineitem").where("l_returnflag = 'A' and l_linenumber = 1").select(
-        (F.col("l_orderkey") % 1000).alias("signal_id"), (F.col("l_partkey") % 200 * 5 + 4).alias("tension_id"), (F.col("l_discount") * 10).alias("strength")
+    rows = raw(spark, sf_dir, "lineitem").where("l_returnflag = 'A'").select(
+        _responder().alias("signal_id"), (F.col("l_partkey") % 200 * 5 + 4).alias("tension_id"), (F.col("l_discount") * 10).alias("strength")
     )
-    return rows.where("signal_id % 5 < 3").groupBy("signal_id", "tension_id").agg(F.max("strength").alias("strength"))
+    return rows.groupBy("signal_id", "tension_id").agg(F.max("strength").alias("strength"))
 
 
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,13 +176,13 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def resources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raw(spark, sf_dir, "part").where("p_partkey < 60").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), (F.col("p_size") * 1).cast("long").alias("signal_count"))
+    return raw(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), (F.col("p_size") * 1).cast("long").alias("signal_count"))
 
 
 def needs_resource(spark: SparkSession, sf_dir: str) -> DataFrame:
     """signal_id, resource_id and kind: requires, prefers or offers."""
     kind = F.when(F.col("l_returnflag") == "R", "requires").when(F.col("l_returnflag") == "A", "prefers").otherwise("offers")
-    return raw(spark, sf_dir, "lineitem").where("l_linenumber <= 2").select((F.col("l_orderkey") % 1000).alias("signal_id"), (F.col("l_partkey") % 80).alias("resource_id"), kind.alias("kind")).distinct()
+    return raw(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 1000).alias("signal_id"), (F.col("l_partkey") % 80).alias("resource_id"), kind.alias("kind")).distinct()
 
 
 def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,7 +214,7 @@ _T = "TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(doc_id % 120 AS INTEGER))"
 SQL: dict[str, str] = {
     "signals": f"""
         SELECT *, CASE WHEN id % 3 = 0 THEN starts_at + INTERVAL 2 HOUR END AS ends_at FROM (
-        SELECT doc_id AS id, {_sql_pick(SIGNAL_TYPES, "doc_id % 5")} AS node_type, substring(text, 1, 60) AS title,
+        SELECT doc_id AS id, {_sql_pick(SIGNAL_TYPES, "doc_id % 5")} AS node_type, text AS title,
           'https://' || source || '.example.org/' || lang || '/' || doc_id AS source_url, ((doc_id * 37) % 100) / 100.0 AS confidence,
           44.5 + ((doc_id * 7) % 100) / 100.0 AS lat, -93.8 + ((doc_id * 13) % 100) / 100.0 AS lng,
           CASE WHEN doc_id % 10 = 0 THEN 'sensitive' WHEN doc_id % 10 <= 2 THEN 'elevated' ELSE 'general' END AS sensitivity,
@@ -229,23 +234,23 @@ SQL: dict[str, str] = {
           CASE WHEN n_nationkey % 9 = 0 THEN 'archived' ELSE 'live' END AS status, CAST(1 + n_nationkey % 5 AS BIGINT) AS type_diversity,
           44.5 + ((n_nationkey * 7) % 100) / 100.0 AS lat, -93.8 + ((n_nationkey * 13) % 100) / 100.0 AS lng,
           TIMESTAMP '2024-03-15 00:00:00' + to_days(CAST(n_nationkey % 45 AS INTEGER)) AS updated_at FROM nation""",
-    "contains": "SELECT doc_id % 25 AS story_id, doc_id AS signal_id FROM documents WHERE doc_id % 3 <> 0",
-    "evidences": "SELECT doc_id AS signal_id, doc_id % 40 AS situation_id, doc_id % 17 = 0 AS debunked, (doc_id % 100) / 100.0 AS match_confidence FROM documents WHERE doc_id % 4 <> 0",
+    "contains": "SELECT doc_id % 25 AS story_id, doc_id AS signal_id FROM documents WHERE lang <> 'fr'",
+    "evidences": "SELECT doc_id AS signal_id, doc_id % 40 AS situation_id, doc_id % 17 = 0 AS debunked, (doc_id % 100) / 100.0 AS match_confidence FROM documents WHERE lang <> 'de'",
     "situations": f"""
         SELECT p_partkey AS id, p_name AS headline, {_sql_pick(("emerging", "developing", "active", "cooling", "cold"), "p_partkey % 5")} AS arc, ((p_partkey * 23) % 100) / 100.0 AS temperature,
           44.5 + ((p_partkey * 7) % 100) / 100.0 AS lat, -93.8 + ((p_partkey * 13) % 100) / 100.0 AS lng, TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(p_partkey * 3 AS INTEGER)) AS first_seen,
-          TIMESTAMP '2024-02-01 00:00:00' + to_days(CAST(p_partkey * 2 AS INTEGER)) AS last_updated FROM part WHERE p_partkey < 40""",
+          TIMESTAMP '2024-02-01 00:00:00' + to_days(CAST(p_partkey * 2 AS INTEGER)) AS last_updated FROM part""",
     "actors": """
         SELECT id, CASE WHEN id % 2 = 0 THEN upper(n) ELSE replace(n, '#', '-') END AS name, 's' || (id % 37) || '.example.org' AS domain, id % 4 AS discovery_depth,
           44.5 + ((id * 7) % 100) / 100.0 AS lat, -93.8 + ((id * 13) % 100) / 100.0 AS lng, TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(id % 120 AS INTEGER)) AS last_active
         FROM (SELECT c_custkey AS id, regexp_replace(c_name, '[0-9]+', CAST(c_custkey % 97 AS VARCHAR), 'g') AS n FROM customer)""",
     "acted_in": "SELECT DISTINCT o_custkey AS actor_id, o_orderkey % 1000 AS signal_id, lower(o_orderstatus) AS role FROM orders",
     "responds_to": """
-        SELECT l_orderkey % 1000 AS signal_id, l_partkey % 200 * 5 + 4 AS tension_id, max(l_discount * 10) AS strength FROM lineitem
-        WHERE l_returnflag = 'R' AND l_orderkey % 1000 % 5 < 3 GROUP BY 1, 2""",
+        SELECT l_orderkey % 200 * 5 + l_linenumber % 3 AS signal_id, l_partkey % 200 * 5 + 4 AS tension_id, max(l_discount * 10) AS strength FROM lineitem
+        WHERE l_returnflag = 'R' GROUP BY 1, 2""",
     "drawn_to": """
-        SELECT l_orderkey % 1000 AS signal_id, l_partkey % 200 * 5 + 4 AS tension_id, max(l_discount * 10) AS strength FROM lineitem
-        WHERE l_returnflag = 'A' AND l_linenumber = 1 AND l_orderkey % 1000 % 5 < 3 GROUP BY 1, 2""",
+        SELECT l_orderkey % 200 * 5 + l_linenumber % 3 AS signal_id, l_partkey % 200 * 5 + 4 AS tension_id, max(l_discount * 10) AS strength FROM lineitem
+        WHERE l_returnflag = 'A' GROUP BY 1, 2""",
     "sources": f"""
         SELECT s_suppkey AS id, CASE WHEN s_suppkey % 4 = 0 THEN 'mutual aid query ' || (s_suppkey % 9) WHEN s_suppkey % 4 = 1 THEN 'https://www.instagram.com/group' || s_suppkey || '/'
           ELSE 'https://s' || (s_suppkey % 37) || '.example.org/' END AS value, s_suppkey % 10 <> 9 AS active, {_sql_pick(METHODS, "s_suppkey % 6")} AS method, (s_suppkey % 10) / 10.0 AS weight,
@@ -254,10 +259,10 @@ SQL: dict[str, str] = {
           s_suppkey % 13 AS signals_produced, s_suppkey % 5 AS signals_corroborated, s_suppkey % 9 AS scrape_count, s_suppkey % 12 AS empty_runs,
           {_sql_pick(("response", "tension", "mixed"), "s_suppkey % 3")} AS role, 1 - (s_suppkey % 3) / 10.0 AS quality_penalty,
           CASE WHEN s_suppkey % 3 = 0 THEN 'found | Gap: gap_' || (s_suppkey % 6) || ' | heat=' || CAST((s_suppkey % 10) / 10.0 AS VARCHAR) END AS gap_context FROM supplier""",
-    "resources": "SELECT p_partkey AS id, p_name AS name, CAST(p_size AS BIGINT) AS signal_count FROM part WHERE p_partkey < 60",
+    "resources": "SELECT p_partkey AS id, p_name AS name, CAST(p_size AS BIGINT) AS signal_count FROM part",
     "needs_resource": """
         SELECT DISTINCT l_orderkey % 1000 AS signal_id, l_partkey % 80 AS resource_id,
-          CASE l_returnflag WHEN 'R' THEN 'requires' WHEN 'A' THEN 'prefers' ELSE 'offers' END AS kind FROM lineitem WHERE l_linenumber <= 2""",
+          CASE l_returnflag WHEN 'R' THEN 'requires' WHEN 'A' THEN 'prefers' ELSE 'offers' END AS kind FROM lineitem""",
     "tagged": "SELECT DISTINCT o_orderkey % 1000 AS signal_id, o_orderpriority AS tag FROM orders",
     "issues": f"""
         SELECT o_orderkey AS id, o_orderkey % 1000 AS target_id, {_sql_pick(("misclassified", "duplicate", "low_quality"), "o_orderkey % 3")} AS kind,

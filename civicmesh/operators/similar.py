@@ -37,12 +37,17 @@ def index_score(cos: Column) -> Column:
 
 
 def similar_sets(df: DataFrame, over: float) -> DataFrame:
-    """a < b with the Jaccard similarity of their word sets over ``over``: an equi-join on shared words, then counted."""
+    """a < b with the Jaccard similarity of their word sets over ``over``.
+
+    Sets that similar share one of their rarest words, n - over * n + 1 of each set, so only these are joined on and frequent
+    words bring no candidates; each candidate pair is then compared in full."""
     sets = df.select("id", words(F.col("text")).alias("w"))
-    each = sets.select("id", F.size("w").alias("n"), F.explode("w").alias("word"))
-    a, b = each.select(F.col("id").alias("a"), F.col("n").alias("na"), "word"), each.select(F.col("id").alias("b"), F.col("n").alias("nb"), "word")
-    both = a.join(b, "word").where("a < b").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("both"))
-    return both.select("a", "b", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("jaccard")).where(F.col("jaccard") > over)
+    each = sets.select("id", F.explode("w").alias("word"))
+    counted = each.join(each.groupBy("word").count(), "word").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("count", "word"))).alias("w"))  # a set's own words
+    rare = counted.select("id", F.explode(F.slice("w", F.lit(1), (F.size("w") - F.floor(F.size("w") * over) + 1).cast("int"))).alias("x")).select("id", "x.word")
+    pairs = rare.select(F.col("id").alias("a"), "word").join(rare.select(F.col("id").alias("b"), "word"), "word").where("a < b").select("a", "b").distinct()
+    full = pairs.join(sets.select(F.col("id").alias("a"), F.col("w").alias("wa")), "a").join(sets.select(F.col("id").alias("b"), F.col("w").alias("wb")), "b")
+    return full.select("a", "b", (F.size(F.array_intersect("wa", "wb")) / F.size(F.array_union("wa", "wb"))).alias("jaccard")).where(F.col("jaccard") > over)
 
 
 #: Rows of a block of vectors.

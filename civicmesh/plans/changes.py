@@ -17,11 +17,11 @@ from .retrieval import FRESH
 HOST = "split_part(source_url, '/', 3)"
 
 
-@query("j02_evidence_upsert", sql("SELECT signal_id, source_url, coalesce(n.content_hash, o.content_hash) AS content_hash, o.signal_id IS NOT NULL AS known FROM (SELECT signal_id, source_url, max(content_hash) AS content_hash FROM evidence WHERE id % 2 = 0 GROUP BY 1, 2) o FULL JOIN (SELECT signal_id, source_url, max(content_hash) + 1000 AS content_hash FROM evidence WHERE id % 3 = 0 GROUP BY 1, 2) n USING (signal_id, source_url)", "evidence"))
+@query("j02_evidence_upsert", sql("SELECT signal_id, source_url, coalesce(n.content_hash, o.content_hash) AS content_hash, o.signal_id IS NOT NULL AS known FROM (SELECT signal_id, source_url, max(content_hash) AS content_hash FROM evidence WHERE channel IN ('press', 'social') GROUP BY 1, 2) o FULL JOIN (SELECT signal_id, source_url, max(content_hash) + 1000 AS content_hash FROM evidence WHERE channel IN ('social', 'direct_action') GROUP BY 1, 2) n USING (signal_id, source_url)", "evidence"))
 def j02(t: Tables):
     keys = ["signal_id", "source_url"]
-    old = t.evidence.where("id % 2 = 0").groupBy(*keys).agg(F.max("content_hash").alias("content_hash")).withColumn("known", F.lit(True))
-    new = t.evidence.where("id % 3 = 0").groupBy(*keys).agg((F.max("content_hash") + 1000).alias("content_hash")).withColumn("known", F.lit(False))
+    old = t.evidence.where("channel in ('press', 'social')").groupBy(*keys).agg(F.max("content_hash").alias("content_hash")).withColumn("known", F.lit(True))
+    new = t.evidence.where("channel in ('social', 'direct_action')").groupBy(*keys).agg((F.max("content_hash") + 1000).alias("content_hash")).withColumn("known", F.lit(False))
     return graph.upserted(old, new, keys, ["content_hash"])
 
 

@@ -303,9 +303,9 @@ def c20(t: Tables):
     return graph.orphans(t.actors, t.acted_in, "actor_id").select("id")
 
 
-@query("c20_orphan_evidence", sql("SELECT count(*) AS n FROM evidence WHERE signal_id NOT IN (SELECT id FROM signals WHERE id % 2 = 0)", "evidence", "signals"))
+@query("c20_orphan_evidence", sql("SELECT count(*) AS n FROM evidence WHERE signal_id NOT IN (SELECT id FROM signals WHERE review_status = 'live')", "evidence", "signals"))
 def c20e(t: Tables):
-    return t.evidence.join(t.signals.where("id % 2 = 0").select(F.col("id").alias("signal_id")), "signal_id", "left_anti").agg(F.count("*").alias("n"))
+    return t.evidence.join(t.signals.where("review_status = 'live'").select(F.col("id").alias("signal_id")), "signal_id", "left_anti").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -323,9 +323,10 @@ def c23(t: Tables):
     return t.signals.join(hot, "id", "left_semi").select("title").distinct()
 
 
-@query("c25_source_tensions", sql("SELECT c.id, count(DISTINCT s.signal_id) AS tensions FROM sources c LEFT JOIN (SELECT signal_id, split_part(source_url, '/', 3) AS host FROM evidence WHERE signal_id % 5 = 4) s ON contains(c.value, '//' || s.host || '/') GROUP BY 1", "sources", "evidence"))
+@query("c25_source_tensions", sql("SELECT c.id, count(DISTINCT s.signal_id) AS tensions FROM sources c LEFT JOIN (SELECT signal_id, split_part(e.source_url, '/', 3) AS host FROM evidence e JOIN signals g ON g.id = e.signal_id WHERE g.node_type = 'Tension') s ON contains(c.value, '//' || s.host || '/') GROUP BY 1", "sources", "evidence", "signals"))
 def c25(t: Tables):
-    tension = t.evidence.where("signal_id % 5 = 4").select("signal_id", u.domain(F.col("source_url")).alias("host"))
+    tensions = t.signals.where("node_type = 'Tension'").select(F.col("id").alias("signal_id"))
+    tension = t.evidence.join(tensions, "signal_id", "left_semi").select("signal_id", u.domain(F.col("source_url")).alias("host"))
     # an equality on the host instead of a scan for contained text
     return t.sources.select("id", u.domain(F.col("value")).alias("host")).join(tension, "host", "left").groupBy("id").agg(F.countDistinct("signal_id").alias("tensions"))
 
@@ -340,9 +341,9 @@ def c27(t: Tables):
     return t.issues.where("status = 'open'").join(t.signals.select(F.col("id").alias("target_id"), "source"), "target_id").groupBy("source").agg(F.count("*").alias("open_issues"))
 
 
-@query("c28_invalid_citations", sql("SELECT DISTINCT signal_id FROM evidence WHERE signal_id NOT IN (SELECT id FROM signals WHERE id % 7 <> 0)", "evidence", "signals"))
+@query("c28_invalid_citations", sql("SELECT DISTINCT signal_id FROM evidence WHERE signal_id NOT IN (SELECT id FROM signals WHERE review_status <> 'rejected')", "evidence", "signals"))
 def c28(t: Tables):
-    return t.evidence.select("signal_id").distinct().join(t.signals.where("id % 7 <> 0").select(F.col("id").alias("signal_id")), "signal_id", "left_anti")
+    return t.evidence.select("signal_id").distinct().join(t.signals.where("review_status <> 'rejected'").select(F.col("id").alias("signal_id")), "signal_id", "left_anti")
 
 
 @query("f01_recent_signals", sql(f"SELECT id, node_type FROM (SELECT *, row_number() OVER (PARTITION BY node_type ORDER BY extracted_at DESC, id) AS place FROM signals WHERE {VISIBLE}) WHERE place <= 20 ORDER BY heat DESC, extracted_at DESC, id LIMIT 50", "signals"))
@@ -384,11 +385,11 @@ def g04(t: Tables):
     return both.join(size, "tension_id").select("tension_id", "story_id", (F.col("both") / F.col("size")).alias("share")).where("share >= 0.5")
 
 
-@query("g05_jaccard_queries", f"SELECT a.item_id AS a, b.item_id AS b, {r6('len(list_intersect(a.w, b.w)) * 1.0 / len(list_distinct(list_concat(a.w, b.w)))')} AS jaccard FROM (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(substring(text, 1, 60)), '[^a-z0-9]+'), lambda x: x <> '')) AS w FROM benchmark) a JOIN (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(substring(text, 1, 60)), '[^a-z0-9]+'), lambda x: x <> '')) AS w FROM benchmark) b ON a.item_id < b.item_id WHERE len(list_intersect(a.w, b.w)) * 1.0 / len(list_distinct(list_concat(a.w, b.w))) > 0.2")
+@query("g05_jaccard_queries", f"SELECT a.item_id AS a, b.item_id AS b, {r6('len(list_intersect(a.w, b.w)) * 1.0 / len(list_distinct(list_concat(a.w, b.w)))')} AS jaccard FROM (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS w FROM benchmark) a JOIN (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS w FROM benchmark) b ON a.item_id < b.item_id WHERE len(list_intersect(a.w, b.w)) * 1.0 / len(list_distinct(list_concat(a.w, b.w))) > 0.2")
 def g05(t: Tables):
     from ..operators.similar import similar_sets
 
-    return similar_sets(t.benchmark.select(F.col("item_id").alias("id"), F.substring("text", 1, 60).alias("text")), 0.2).select("a", "b", rounded(F.col("jaccard")).alias("jaccard"))
+    return similar_sets(t.benchmark.select(F.col("item_id").alias("id"), "text"), 0.2).select("a", "b", rounded(F.col("jaccard")).alias("jaccard"))
 
 
 @query("g06_new_urls", sql("SELECT DISTINCT value FROM sources WHERE value NOT IN (SELECT 'https://' || split_part(source_url, '/', 3) || '/' FROM evidence)", "sources", "evidence"))

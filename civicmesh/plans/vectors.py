@@ -88,10 +88,11 @@ def h11(t: Tables):
     return similar.greedy_merge(pairs, order)
 
 
-@query("h13_candidate_situations", sql(f"SELECT id, situation, {r6('score')} AS score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, situation) AS place FROM (SELECT a.id, b.id AS situation, (1 + {cos('a.embedding', 'b.embedding')}) / 2 AS score FROM signal_vectors a JOIN signal_vectors b ON b.id < 40 JOIN situations s ON s.id = b.id WHERE a.id >= 40 AND (1 + {cos('a.embedding', 'b.embedding')}) / 2 >= CASE WHEN s.arc = 'cold' THEN 0.65 ELSE 0.6 END)) WHERE place <= 5", "signal_vectors", "situations"))
+@query("h13_candidate_situations", sql(f"SELECT id, situation, {r6('score')} AS score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, situation) AS place FROM (SELECT a.id, b.id AS situation, (1 + {cos('a.embedding', 'b.embedding')}) / 2 AS score FROM signal_vectors a JOIN signal_vectors b ON b.id <> a.id JOIN situations s ON s.id = b.id WHERE (1 + {cos('a.embedding', 'b.embedding')}) / 2 >= CASE WHEN s.arc = 'cold' THEN 0.65 ELSE 0.6 END)) WHERE place <= 5", "signal_vectors", "situations"))
 def h13(t: Tables):
     s_ = t.situations.select(F.col("id").alias("b"), "arc")
-    pairs = similar.similar_pairs(t.signal_vectors.where("id >= 40"), 2 * 0.6 - 1, t.signal_vectors.where("id < 40")).join(s_, "b")
+    of = t.signal_vectors.join(t.situations.select("id"), "id", "left_semi")
+    pairs = similar.similar_pairs(t.signal_vectors, 2 * 0.6 - 1, of).where("a <> b").join(s_, "b")
     score = similar.index_score(F.col("cosine"))
     rows = pairs.withColumn("score", score).where(F.col("score") >= F.when(F.col("arc") == "cold", 0.65).otherwise(0.6))
     return filters.top_per(rows, ["a"], [F.desc("score"), F.col("b")], 5).select(F.col("a").alias("id"), F.col("b").alias("situation"), rounded(F.col("score")).alias("score"))
