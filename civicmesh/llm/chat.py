@@ -49,12 +49,12 @@ def marker(line: Column) -> Column:
     return out
 
 
-def symbol(line: Column, first: Column) -> Column:
-    """What is seen of a line, as one number."""
+def look(line: Column) -> Column:
+    """A line's marker, end and length as one number."""
     body = F.rtrim(F.regexp_replace(line, ANY_MARK, ""))
     end = F.when(body.endswith("?"), 0).when(body.rlike("[.!]$"), 1).otherwise(2)
     size = F.when(F.length(body) < 120, 0).when(F.length(body) < 400, 1).otherwise(2)
-    return (((marker(line) * 3 + end) * 3 + size) * 2 + first.cast("int")).cast("int")
+    return ((marker(line) * 3 + end) * 3 + size).cast("int")
 
 
 class Hmm:
@@ -98,19 +98,21 @@ def _same(a: str, b: str) -> Column:
     return F.col(a).eqNullSafe(F.col(b))
 
 
-def placed(lines: DataFrame, order: list[str]) -> DataFrame:
-    """``at``, the number of each line in its transcript, ``segment`` and ``symbol``; ties in ``order`` fall by the line's text.
+def placed(lines: DataFrame, order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The lines with ``row``, a number of their own, and the places of these: conv_id, row, at, segment and symbol (and state, if lines have one).
 
-    A transcript may reach over several ranges of the sort; a line's number is its place in its range plus the lines in the ranges before."""
+    ``at`` is a line's number in its transcript; ties in ``order`` fall by the line's text. A transcript may reach over several
+    ranges of the sort; a line's number is its place in its range plus the lines in the ranges before. Texts are moved once here;
+    all that follows works on places, until ``rendered`` brings both together."""
     keys = ["conv_id", *order, "text"]
-    ranged = stored(lines.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__row", F.monotonically_increasing_id()), "transcript-ranges")
-    ranged = ranged.withColumn("__part", F.shiftright("__row", 33))
+    lines = stored(lines.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumns({"row": F.monotonically_increasing_id(), "look": look(F.col("text"))}), "transcript")
+    rows = lines.select("conv_id", "row", "look", *(["state"] if "state" in lines.columns else [])).withColumn("__part", F.shiftright("row", 33))
     before = Window.partitionBy("__c").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    starts = ranged.groupBy(F.col("conv_id").alias("__c"), F.col("__part").alias("__p")).agg(F.min("__row").alias("__low"), F.count("*").alias("__n"))
+    starts = rows.groupBy(F.col("conv_id").alias("__c"), F.col("__part").alias("__p")).agg(F.min("row").alias("__low"), F.count("*").alias("__n"))
     starts = starts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))  # a row for each transcript and range that it reaches into
-    out = ranged.join(starts, _same("conv_id", "__c") & (F.col("__part") == F.col("__p"))).withColumn("at", (F.col("__row") - F.col("__low") + F.col("__before")).cast("int"))
-    out = out.drop("__row", "__part", "__c", "__p", "__low", "__n", "__before")
-    return out.withColumn("segment", F.floor(F.col("at") / SEGMENT).cast("int")).withColumn("symbol", symbol(F.col("text"), F.col("at") == 0))
+    places = rows.join(starts, _same("conv_id", "__c") & (F.col("__part") == F.col("__p"))).withColumn("at", (F.col("row") - F.col("__low") + F.col("__before")).cast("int"))
+    places = places.withColumn("segment", F.floor(F.col("at") / SEGMENT).cast("int")).withColumn("symbol", F.col("look") * 2 + (F.col("at") == 0).cast("int"))
+    return lines, stored(places.drop("look", "__part", "__c", "__p", "__low", "__n", "__before"), "places")
 
 
 def learn(rows: DataFrame) -> Hmm:
@@ -202,16 +204,15 @@ def borders(matrices: DataFrame) -> DataFrame:
     return fixed
 
 
-def roles(rows: DataFrame, hmm: Hmm) -> DataFrame:
-    """``rows`` (conv_id, at, segment, symbol and others) with ``state``: Viterbi over whole transcripts."""
-    rows = rows.drop("state")
-    kind = rows.schema["conv_id"].dataType.simpleString()
+def roles(places: DataFrame, hmm: Hmm) -> DataFrame:
+    """``places`` (conv_id, row, at, segment, symbol) with ``state``: Viterbi over whole transcripts."""
+    kind = places.schema["conv_id"].dataType.simpleString()
     made = pa.schema([("conv_id", _arrow(kind)), ("segment", pa.int32()), ("score", pa.list_(pa.float64()))])
-    found = pa.schema([("conv_id", _arrow(kind)), ("at", pa.int32()), ("state", pa.int32())])
+    found = pa.schema([("conv_id", _arrow(kind)), ("segment", pa.int32()), ("at", pa.int32()), ("row", pa.int64()), ("state", pa.int32())])
 
     def to_matrix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
-        for conv, segment, _, symbols in _runs(batches):
+        for conv, segment, _, symbols in _runs(batches, ["conv_id", "segment"]):
             score, _ = best_paths(hmm, symbols, None if segment == 0 else 0)
             held.append((conv, segment, score.ravel().tolist()))
             if len(held) >= 2000:
@@ -221,25 +222,26 @@ def roles(rows: DataFrame, hmm: Hmm) -> DataFrame:
 
     def to_states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
-        for conv, segment, at, symbols, entry, exit_ in _runs(batches, borders=True):
+        for conv, segment, entry, exit_, row, symbols in _runs(batches, ["conv_id", "segment", "entry", "exit"]):
             _, back = best_paths(hmm, symbols, None if segment == 0 else 0)
             state, path = int(exit_), []
             for t in range(len(symbols) - 1, -1, -1):
                 path.append(state)
                 state = int(back[t, int(entry), state])
-            held += zip([conv] * len(path), at.tolist(), reversed(path), strict=True)
+            first = segment * width
+            held += [(conv, segment, first + t, r, x) for t, (r, x) in enumerate(zip(row.tolist(), reversed(path), strict=True))]
             if len(held) >= 10_000:
                 yield _batch(held, found)
                 held = []
         yield _batch(held, found)
 
-    narrow = rows.select("conv_id", "segment", "at", "symbol")
-    in_segments = narrow.repartition("conv_id", "segment").sortWithinPartitions("conv_id", "segment", "at")
+    width = SEGMENT
+    narrow = places.select("conv_id", "segment", "row", "symbol")  # rows of a transcript ascend as its lines do
+    in_segments = narrow.repartition("conv_id", "segment").sortWithinPartitions("conv_id", "segment", "row")
     fixed = borders(stored(in_segments.mapInArrow(to_matrix, f"conv_id {kind}, segment int, score array<double>"), "segments"))
     both = narrow.join(fixed.withColumnsRenamed({"conv_id": "__c", "segment": "__s"}), _same("conv_id", "__c") & (F.col("segment") == F.col("__s"))).drop("__c", "__s")
-    sorted_rows = both.repartition("conv_id", "segment").sortWithinPartitions("conv_id", "segment", "at")
-    states = sorted_rows.mapInArrow(to_states, f"conv_id {kind}, at int, state int").withColumnsRenamed({"conv_id": "__c", "at": "__a"})
-    return rows.join(states, _same("conv_id", "__c") & (F.col("at") == F.col("__a"))).drop("__c", "__a")
+    sorted_rows = both.repartition("conv_id", "segment").sortWithinPartitions("conv_id", "segment", "row")
+    return sorted_rows.mapInArrow(to_states, f"conv_id {kind}, segment int, at int, row long, state int")
 
 
 def _arrow(kind: str) -> pa.DataType:
@@ -254,56 +256,56 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def _runs(batches: Iterator[pa.RecordBatch], borders: bool = False):
-    """Each segment of rows sorted by conversation, segment and place."""
+def _runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple]:
+    """``names``' values, rows and symbols of each segment, from rows sorted by conversation, segment and row."""
     key, held = None, []
 
     def whole():
-        at, symbols = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-        return (*key[:2], at, symbols, *key[2:])
+        return (*key, *(np.concatenate([h[i] for h in held]) for i in range(2)))
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        names = ["conv_id", "segment", *(["entry", "exit"] if borders else [])]
         keys = [*zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in names), strict=True)]
-        at, symbols = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("at", "symbol"))
+        row, symbols = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("row", "symbol"))
         start = 0
-        for i in range(len(keys) + 1):
+        for i in range(1, len(keys) + 1):
             if i == len(keys) or keys[i] != keys[start]:
-                if key is not None and held and (start >= len(keys) or keys[start] != key):
+                if held and keys[start] != key:
                     yield whole()
                     held = []
-                if start < len(keys):
-                    key = keys[start]
-                    held.append((at[start:i], symbols[start:i]))
+                key = keys[start]
+                held.append((row[start:i], symbols[start:i]))
                 start = i
     if held:
         yield whole()
 
 
-def rendered(rows: DataFrame) -> DataFrame:
-    """``role``, ``begins`` and ``rendered`` of each line: opening, the text without its marker, and the closing after a turn's last line.
+def rendered(lines: DataFrame, states: DataFrame) -> DataFrame:
+    """``lines`` with at, role, begins and rendered: opening, the text without its marker, and the closing after a turn's last line.
 
     A turn begins where the state says so, as going on is only possible in one's own role."""
     role = F.get(F.array(*(F.lit(r) for r, _ in STATES)), F.col("state"))
     begins = F.get(F.array(*(F.lit(b) for _, b in STATES)), F.col("state"))
-    rows = rows.withColumns({"role": role, "begins": begins | (F.col("at") == 0)})
+    turns = states.withColumns({"role": role, "begins": begins | (F.col("at") == 0)})
     # the next line is in the same segment, or the first of the next one
-    firsts = rows.where(F.col("at") % SEGMENT == 0).select(F.col("conv_id").alias("__c"), (F.col("segment") - 1).alias("__s"), F.col("begins").alias("__next"))
+    firsts = turns.where(F.col("at") % SEGMENT == 0).where("segment > 0").select(F.col("conv_id").alias("__c"), (F.col("segment") - 1).alias("__s"), F.col("begins").alias("__next"))
     inside = F.lead("begins").over(Window.partitionBy("conv_id", "segment").orderBy("at"))
-    rows = rows.join(firsts, _same("conv_id", "__c") & (F.col("segment") == F.col("__s")), "left").withColumn("__last", F.coalesce(inside, F.col("__next"), F.lit(True)))
+    turns = turns.withColumn("__inside", inside).join(firsts, _same("conv_id", "__c") & (F.col("segment") == F.col("__s")), "left")
+    turns = turns.select("row", "at", "role", "begins", F.coalesce("__inside", "__next", F.lit(True)).alias("__last"))
     body = F.when(F.col("begins"), F.regexp_replace("text", ANY_MARK, "")).otherwise(F.col("text"))
     opening = F.when(F.col("begins"), F.format_string(OPEN, F.col("role"))).otherwise(F.lit(""))
-    return rows.withColumn("rendered", F.concat(opening, body, F.when(F.col("__last"), F.lit("\n" + CLOSE)).otherwise(F.lit("\n")))).drop("__c", "__s", "__next", "__last")
+    out = lines.drop("at", "role", "begins", "state").join(turns, "row")
+    return out.withColumn("rendered", F.concat(opening, body, F.when(F.col("__last"), F.lit("\n" + CLOSE)).otherwise(F.lit("\n")))).drop("__last", "row", "look")
 
 
 def parse(lines: DataFrame, hmm: Hmm, order: list[str]) -> DataFrame:
-    """Transcript lines (conv_id, text and the columns of ``order``) with at, role, begins and rendered.
+    """Transcript lines (conv_id, text and the columns of ``order``) with at, role, begins and rendered; other columns of these names,
+    and of the names row, look and state, give way.
 
     Null conv_ids are one transcript; null texts are empty lines; repeated rows are lines each."""
-    rows = stored(placed(lines.withColumn("text", F.coalesce("text", F.lit(""))), order), "transcript")
-    return rendered(roles(rows, hmm)).drop("segment", "symbol", "state")
+    lines, places = placed(lines.drop("state", "row", "look").withColumn("text", F.coalesce("text", F.lit(""))), order)
+    return rendered(lines, stored(roles(places, hmm), "states"))
 
 
 def unmarked(conv_id: Column, turn: Column) -> Column:
@@ -319,7 +321,7 @@ def transcript_query(conversations: DataFrame) -> DataFrame:
     mark = F.get(F.array(*map(F.lit, ("System: ", "User: ", "Assistant: "))), (F.array_position(F.array(*map(F.lit, ROLES)), F.lower("role")) - 1).cast("int"))
     shown = F.when(unmarked(F.col("conv_id"), F.col("turn")), F.lit("")).otherwise(F.coalesce(mark, F.lit("")))
     raw = conversations.select("conv_id", "turn", "role", F.concat(shown, F.coalesce("text", F.lit(""))).alias("text"))
-    rows = stored(placed(split_lines(raw, "conv_id", "turn", "role", "text"), ["turn", "line"]), "transcript")
-    hmm = learn(rows.where(F.pmod(F.xxhash64("conv_id"), F.lit(5)) > 0))
-    out = rendered(roles(rows.drop("role"), hmm))
+    lines, places = placed(split_lines(raw, "conv_id", "turn", "role", "text"), ["turn", "line"])
+    hmm = learn(places.where(F.pmod(F.xxhash64("conv_id"), F.lit(5)) > 0))
+    out = rendered(lines, stored(roles(places.drop("state"), hmm), "states"))
     return out.select("conv_id", "turn", "line", "role", "begins", F.length("rendered").cast("long").alias("n_chars"), F.sha2("rendered", 256).alias("rendered_sha256"))

@@ -44,14 +44,16 @@ def test_paths_are_as_likely_as_the_plain_ones(spark, monkeypatch, segment, fan)
     try:
         rows = [(None if c == 3 else c, t, r, x) for c, t, r, x in conversations()]
         lines = chat.split_lines(spark.createDataFrame(rows, SCHEMA), "conv_id", "turn", "role", "text")
-        at = chat.placed(lines.repartition(5), ["turn", "line"])
-        hmm = chat.learn(at)
+        _, places = chat.placed(lines.repartition(5), ["turn", "line"])
+        hmm = chat.learn(places)
+        symbol = {r.row: (r.at, r.symbol) for r in places.collect()}
         got = {}
-        for r in chat.roles(at, hmm).collect():
-            got.setdefault(r.conv_id, []).append((r.at, r.symbol, r.state))
+        for r in chat.roles(places, hmm).collect():
+            assert r.at == symbol[r.row][0] and r.at // segment == r.segment
+            got.setdefault(r.conv_id, []).append((*symbol[r.row], r.state))
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    assert len(got) == 30 and sum(map(len, got.values())) == at.count()
+    assert len(got) == 30 and sum(map(len, got.values())) == len(symbol)
     for seen in got.values():
         seen.sort()
         assert [a for a, _, _ in seen] == list(range(len(seen)))
@@ -64,7 +66,9 @@ def test_lines_are_numbered_over_ranges(spark):
     lines = chat.split_lines(spark.createDataFrame(rows, SCHEMA), "conv_id", "turn", "role", "text")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        got = sorted((str(r.conv_id), r.at, r.text) for r in chat.placed(lines, ["turn", "line"]).collect())
+        lines, places = chat.placed(lines, ["turn", "line"])
+        assert places.select(F.shiftright("row", 33)).distinct().count() > 1
+        got = sorted((str(r.conv_id), r.at, r.text) for r in lines.join(places.select("row", "at"), "row").collect())
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     want = [("1", t, f"line {t}") for t in range(500)] + [("2", 0, "x")] + [("2", t + 1, f"line {t}") for t in range(500)] + [("None", 0, "a"), ("None", 1, "b")]
@@ -73,7 +77,7 @@ def test_lines_are_numbered_over_ranges(spark):
 
 def test_transcripts_are_rendered_turn_by_turn(spark, monkeypatch):
     monkeypatch.setattr(chat, "SEGMENT", 3)
-    hmm = chat.learn(chat.placed(chat.split_lines(spark.createDataFrame(conversations(200, 1), SCHEMA).withColumn("text", F.concat(F.initcap("role"), F.lit(": "), "text")), "conv_id", "turn", "role", "text"), ["turn", "line"]))
+    hmm = chat.learn(chat.placed(chat.split_lines(spark.createDataFrame(conversations(200, 1), SCHEMA).withColumn("text", F.concat(F.initcap("role"), F.lit(": "), "text")), "conv_id", "turn", "role", "text"), ["turn", "line"])[1])
     text = "System: Be brief.\nUser: How does\nthis work?\n**Assistant:** So.\n\nAnd so.\n### Human\nWhy?\nAI> Because."
     lines = spark.createDataFrame([(1, i, x) for i, x in enumerate(text.split("\n"))], "conv_id long, i long, text string")
     out = "".join(r.rendered for r in chat.parse(lines, hmm, ["i"]).orderBy("at").collect())
