@@ -60,13 +60,13 @@ class Classifier:
 
 
 def learn(docs: DataFrame, labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", domain: str = "domain") -> Classifier:
-    """From at most SAMPLE rows of ``labelled`` (doc_id, domain); rows with a null in either do not count.
+    """From at most SAMPLE rows of ``labelled`` (doc_id, domain) whose documents are in ``docs``; rows with a null in either do not count.
 
     Without any, there is one domain, named ``none``, to which all belongs."""
     known = labelled.select(F.col(f"`{doc_id}`").alias("__id"), F.col(f"`{domain}`").cast("string").alias("__domain")).dropna().orderBy(F.xxhash64("__id"), "__id", "__domain").limit(SAMPLE)
     texts = docs.select(F.col(f"`{doc_id}`").alias("__id"), F.col(f"`{text}`").alias("__text")).join(F.broadcast(known), "__id")
     counts = texts.select("__domain", F.explode(words(F.col("__text"))).alias("w")).groupBy("__domain", bucket(F.col("w")).alias("b")).count().collect()  # BUCKETS x domains at most
-    sizes = {r["__domain"]: r["count"] for r in known.groupBy("__domain").count().collect()}
+    sizes = {r["__domain"]: r["count"] for r in texts.groupBy("__domain").count().collect()}
     domains = sorted(sizes) or ["none"]
     table = [[SMOOTHING] * len(domains) for _ in range(BUCKETS)]
     for r in counts:
@@ -144,10 +144,10 @@ def fit_rates(members: DataFrame, targets: list[float]) -> tuple[list[float], li
     return y, shares
 
 
-def normalized(targets: dict[str, float], domains: list[str]) -> list[float]:
-    """Shares in the order of ``domains``; a domain without a target has zero, and targets sum to one."""
+def normalized(targets: dict[str, float], domains: list[str], epochs: float = 1.0) -> list[float]:
+    """Shares in the order of ``domains``; a domain without a target has zero, and targets sum to ``epochs``."""
     total = sum(max(0.0, targets.get(d, 0.0)) for d in domains)
-    return [max(0.0, targets.get(d, 0.0)) / total if total else 1 / len(domains) for d in domains]
+    return [epochs * (max(0.0, targets.get(d, 0.0)) / total if total else 1 / len(domains)) for d in domains]
 
 
 def copies(value: Column, doc_id: Column, seed: int = 42) -> Column:
@@ -155,25 +155,26 @@ def copies(value: Column, doc_id: Column, seed: int = 42) -> Column:
     return F.floor(value + F.pmod(F.xxhash64(doc_id, F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))).cast("int")
 
 
-def mix_rates(df: DataFrame, labelled: DataFrame, targets: dict[str, float], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def mix_rates(df: DataFrame, labelled: DataFrame, targets: dict[str, float], doc_id: str = "doc_id", text: str = "text", epochs: float = 1.0) -> DataFrame:
     """doc_id, tokens, domain (likeliest), rate and copies of each row of ``df``; repeated rows count each.
 
-    ``labelled`` has doc_id and domain; ``targets`` gives domains' shares of all tokens. Texts without words have no tokens and the
+    ``labelled`` has doc_id and domain; ``targets`` gives domains' shares of the mixture, which has ``epochs``
+    times the tokens of ``df``. Texts without words have no tokens and the
     prior's membership."""
     classifier = learn(df, labelled, doc_id, text)
     members = stored(memberships(df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), classifier), "memberships")
-    y, _ = fit_rates(members, normalized(targets, classifier.domains))
+    y, _ = fit_rates(members, normalized(targets, classifier.domains, epochs))
     best = F.get(F.array(*map(F.lit, classifier.domains)), (F.array_position("posterior", F.array_max("posterior")) - 1).cast("int"))
     shares = [F.round(F.get("posterior", i), 6).alias(f"p_{d}") for i, d in enumerate(classifier.domains)]
     r = rate(F.col("posterior"), y)
     return members.select("doc_id", "tokens", best.alias("domain"), *shares, r.alias("rate"), copies(r, F.col("doc_id")).alias("copies"))
 
 
-def mix(df: DataFrame, labelled: DataFrame, targets: dict[str, float], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``df`` with every row as often as its rate says, columns unchanged."""
+def mix(df: DataFrame, labelled: DataFrame, targets: dict[str, float], doc_id: str = "doc_id", text: str = "text", epochs: float = 1.0) -> DataFrame:
+    """``df`` with every row as often as its rate says, columns unchanged; see ``mix_rates``."""
     classifier = learn(df, labelled, doc_id, text)
     members = stored(memberships(df.select(F.col(f"`{text}`").alias("text")), classifier), "memberships")
-    y, _ = fit_rates(members, normalized(targets, classifier.domains))
+    y, _ = fit_rates(members, normalized(targets, classifier.domains, epochs))
     rows = df.withColumns({"__id": F.col(f"`{doc_id}`"), "__text": F.col(f"`{text}`")})
     rated = memberships(rows.withColumnsRenamed({c: f"__c{i}" for i, c in enumerate(df.columns)}), classifier, "__text")
     n = copies(rate(F.col("posterior"), y), F.col("__id"))

@@ -19,8 +19,9 @@ from civicmesh.llm.quality import keep_good
 from civicmesh.llm.simhash import keep_first
 from civicmesh.llm.storage import stored
 
-#: Shares of all tokens for each label class: clean documents gain, so their rates stay over one and all of them are kept.
-TARGETS = {"q1t0": 0.97, "q1t1": 0.02, "q0t0": 0.005, "q0t1": 0.005}
+#: Shares of the mixture for each label class, and its size in multiples of the tokens that come in: with half as many
+#: tokens again, clean documents' rates stay over one while toxic ones lose.
+TARGETS, EPOCHS = {"q1t0": 0.90, "q1t1": 0.09, "q0t0": 0.005, "q0t1": 0.005}, 1.5
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +36,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their fitted rates say."""
-    return mix(docs, queries.label_domains(queries.table(spark, sf_dir, "labels")), TARGETS)
+    return mix(docs, queries.label_domains(queries.table(spark, sf_dir, "labels")), TARGETS, epochs=EPOCHS)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

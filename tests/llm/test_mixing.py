@@ -54,6 +54,13 @@ def test_totals_meet_the_targets_and_rates_equal_plain_gradients(spark):
     assert np.mean([named[i] == d for i, d in zip(rows["doc_id"], rows["domain"], strict=True) if i in named]) > 0.95
 
 
+def test_epochs_scale_the_mixture(spark):
+    df, labels = frames(spark, *corpus())
+    rows = mixing.mix_rates(df, labels, {"good": 0.4, "bad": 0.6}, epochs=1.5).toPandas()
+    got = (rows["tokens"] * rows["rate"]).to_numpy() @ rows[["p_bad", "p_good"]].to_numpy() / rows["tokens"].sum()
+    assert np.allclose(got, [0.9, 0.6], atol=1e-4)
+
+
 def test_a_domain_that_is_to_go_gets_no_copies(spark):
     df, labels = frames(spark, *corpus())
     rows = mixing.mix_rates(df, labels, {"good": 1.0}).toPandas()

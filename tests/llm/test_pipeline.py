@@ -72,7 +72,7 @@ def test_stages_do_what_their_operators_say(spark, tables):
     assert not any(1000 + i in unique for i in range(0, 60, 4) if i % 4 != 3)
 
     before, mixed = stages["mixing"]
-    rates = mixing.mix_rates(before, queries.label_domains(spark.read.parquet(f"{tables}/labels.parquet")), corpus_pipeline.TARGETS).collect()
+    rates = mixing.mix_rates(before, queries.label_domains(spark.read.parquet(f"{tables}/labels.parquet")), corpus_pipeline.TARGETS, epochs=corpus_pipeline.EPOCHS).collect()
     assert ids(mixed) == Counter({r.doc_id: r.copies for r in rates if r.copies})
     assert all(r.copies >= 1 for r in rates if r.doc_id in prose)
 
