@@ -5,6 +5,8 @@ their Hilbert keys. Spark range-partitions the keys, so a row's rank on a curve
 plus the sizes of the ranges before. Windows of equal length along each curve are the groups: a query is
 compared with all rows of its own window and the two beside it, and the best of all curves merge.
 
+Nearness is cosine, so the curves order the vectors' directions: each vector is divided by its length first.
+
 The index covers every row; its only fitted numbers, the mean and covariance that place the grid, come from
 all rows as well. Equal vectors are indexed once and stand for their smallest ids.
 
@@ -65,13 +67,23 @@ def _vectors(column) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
+def _directions(x: np.ndarray) -> np.ndarray:
+    """Rows of length one; scaled by the largest component first, so that squares neither overflow nor vanish."""
+    if not len(x):
+        return x
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
 def _moments(vectors: DataFrame, d: int) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and covariance of all vectors, from sums over partitions."""
+    """Mean and covariance of all directions, from sums over partitions."""
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((d + 1, d + 1))
         for batch in batches:
-            x = np.hstack([_vectors(batch.column(0)), np.ones((batch.num_rows, 1))])
+            if not batch.num_rows:
+                continue
+            x = np.hstack([_directions(_vectors(batch.column(0))), np.ones((batch.num_rows, 1))])
             total += x.T @ x
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(d + 1), d + 1)), pa.array(np.tile(np.arange(d + 1), d + 1)), pa.array(total.ravel())], names=["i", "j", "s"])
 
@@ -90,7 +102,9 @@ def _ranks(vectors: DataFrame, grid: Grid, curves: int) -> DataFrame:
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            k = shared.value.keys(_vectors(batch.column(1)))
+            if not batch.num_rows:
+                continue
+            k = shared.value.keys(_directions(_vectors(batch.column(1))))
             ids = np.repeat(batch.column(0).to_numpy(), curves)
             yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(curves, dtype=np.int32), batch.num_rows)), pa.array(k.ravel()), pa.array(ids)], names=["curve", "key", "vec_id"])
 

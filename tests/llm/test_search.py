@@ -95,6 +95,28 @@ def test_recall_and_windows(spark):
     assert hit / (120 * 5) >= 0.9
 
 
+def recall(spark, x, queries, **how):
+    """The share of the five best cosines that ``nearest`` finds for the queries, by brute force."""
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    got = {}
+    for r in neighbours.nearest(df, **how).collect():
+        got.setdefault(r.query_id, []).append(r.score)
+    u = x / np.abs(x).max(1, keepdims=True)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    hit = 0
+    for q in queries:
+        s = u @ u[q]
+        s[q] = -9
+        hit += sum(y >= np.sort(s)[-5] - 1e-15 for y in got.get(q, []))
+    return hit / (5 * len(queries))
+
+
+def test_recall_does_not_depend_on_norms(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(6000, 8)) * 10.0 ** rng.uniform(-5, 5, (6000, 1))
+    assert recall(spark, x, range(0, 6000, 50), window=32) >= 0.9
+
+
 def test_nearest_of_nothing(spark):
     assert neighbours.nearest(frame(spark, [])).count() == 0
     assert neighbours.nearest(frame(spark, [(50, [1.0, 0.0])])).count() == 0
