@@ -5,7 +5,9 @@ their Hilbert keys. Spark range-partitions the keys, so a row's rank on a curve
 plus the sizes of the ranges before. Windows of equal length along each curve are the groups: a query is
 compared with all rows of its own window and the two beside it, and the best of all curves merge.
 
-Nearness is cosine, so the curves order the vectors' directions: each vector is divided by its length first.
+Nearness is cosine, so the curves order the vectors' directions: each vector is divided by its length first. A grid reaches
+from all directions there can be down to cells of FINEST, however small or far off a cluster is: rows of one finest cell score
+alike to within a double's rounding, so no group of different vectors is left in the order of its ids.
 
 The index covers every row; its only fitted numbers, the mean and covariance that place the grid, come from
 all rows as well. Equal vectors are indexed once and stand for their smallest ids.
@@ -25,12 +27,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .hilbert import hilbert_keys
+from .hilbert import hilbert_bytes
 from .storage import stored
 from .top_k import usable
 
-#: Directions and bits of a curve's grid, and the seed of all curves.
+#: Directions of a curve's grid (eight at most), bits of its middle part of 4.4 standard deviations, and the seed of all curves.
 DIRECTIONS, BITS, SEED = 8, 4, 11
+#: Width of the finest cells: cosines of directions nearer than 1e-8 differ by less than a double holds.
+FINEST = 1e-9
 
 
 def curves_for(n: int) -> int:
@@ -48,18 +52,23 @@ class Grid:
         d = len(mean)
         m = min(directions, d)
         rng = np.random.default_rng(seed)
-        self.bits, self.axes, self.low, self.step = bits, [], [], []
+        self.axes, self.step, self.zero = [], [], []
         for _ in range(curves):
             axes = np.linalg.qr(rng.normal(size=(d, d)))[0][:, :m]
             width = 4.4 * np.sqrt(np.maximum(np.einsum("ij,ik,kj->j", axes, cov, axes), 1e-12)) / (1 << bits)
             self.axes.append(axes)
             self.step.append(width)
-            self.low.append(mean @ axes - width * ((1 << bits - 1) + rng.uniform(-1, 1, m)))
+            self.zero.append(mean @ axes - width * rng.uniform(-1, 1, m))
+        widths = np.concatenate(self.step)
+        # two directions are 2 apart at most; the shift adds a cell
+        self.above = max(bits - 1, int(np.ceil(np.log2(2 / widths.min() + 2))))
+        self.below = max(0, int(np.ceil(np.log2(widths.max() / FINEST))))
+        self.bits = self.above + 1 + self.below
 
     def keys(self, x: np.ndarray) -> np.ndarray:
-        """Row i's key on curve c at [i, c]."""
-        top = (1 << self.bits) - 1
-        return np.stack([hilbert_keys(np.clip((x @ a - lo) / w, 0, top).astype(np.int64), self.bits) for a, lo, w in zip(self.axes, self.low, self.step, strict=True)], axis=1)
+        """The bytes of the key of row i, a direction, on curve c at [i, c]."""
+        cells = lambda a, z, w: np.floor(((x @ a - z) / w + (1 << self.above)) * (1 << self.below)).astype(np.int64)
+        return np.stack([hilbert_bytes(np.clip(cells(a, z, w), 0, (1 << self.bits) - 1), self.bits) for a, z, w in zip(self.axes, self.zero, self.step, strict=True)], axis=1)
 
 
 def _vectors(column) -> np.ndarray:
@@ -105,10 +114,12 @@ def _ranks(vectors: DataFrame, grid: Grid, curves: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             k = shared.value.keys(_directions(_vectors(batch.column(1))))
+            offsets = np.arange(len(k) * curves + 1, dtype=np.int32) * k.shape[2]
+            key = pa.Array.from_buffers(pa.binary(), len(k) * curves, [None, pa.py_buffer(offsets), pa.py_buffer(k.tobytes())])
             ids = np.repeat(batch.column(0).to_numpy(), curves)
-            yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(curves, dtype=np.int32), batch.num_rows)), pa.array(k.ravel()), pa.array(ids)], names=["curve", "key", "vec_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(curves, dtype=np.int32), batch.num_rows)), key, pa.array(ids)], names=["curve", "key", "vec_id"])
 
-    keyed = stored(vectors.select("vec_id", "v").mapInArrow(keys, "curve int, key long, vec_id long"), "hilbert-keys")
+    keyed = stored(vectors.select("vec_id", "v").mapInArrow(keys, "curve int, key binary, vec_id long"), "hilbert-keys")
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen = TaskContext.get().partitionId(), np.zeros(curves, np.int64)

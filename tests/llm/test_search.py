@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from civicmesh.llm import neighbours, top_k
-from civicmesh.llm.hilbert import hilbert_keys
+from civicmesh.llm.hilbert import hilbert_bytes, hilbert_keys
 
 SCHEMA = "vec_id long, embedding array<float>, score string, rank int"
 
@@ -117,6 +117,19 @@ def test_recall_does_not_depend_on_norms(spark):
     assert recall(spark, x, range(0, 6000, 50), window=32) >= 0.9
 
 
+@pytest.mark.parametrize("share, width", [(3, 1e-2), (3, 1e-6), (10, 1e-4)])
+def test_recall_inside_a_tight_cluster(spark, share, width):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(6000, 8))
+    x[::share] = x[0] + width * rng.normal(size=x[::share].shape)
+    assert recall(spark, x, range(0, 6000, 50 * share), every=50 * share, window=32) >= 0.9
+
+
+def test_hilbert_bytes_are_ordered_like_keys():
+    cells = np.random.default_rng(8).integers(0, 1 << 7, (500, 8))
+    assert np.argsort(hilbert_keys(cells, 7), kind="stable").tolist() == np.lexsort(hilbert_bytes(cells, 7).T[::-1]).tolist()
+
+
 def test_nearest_of_nothing(spark):
     assert neighbours.nearest(frame(spark, [])).count() == 0
     assert neighbours.nearest(frame(spark, [(50, [1.0, 0.0])])).count() == 0
