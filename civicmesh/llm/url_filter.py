@@ -18,10 +18,11 @@ RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www
 #: Pseudo-counts of the purity (a quarter of them blocked), votes of a url that no rule fits (for allowing), and the share of blocked
 #: urls from which a template is rejected.
 SMOOTHING, SILENT, REJECT = 2.0, 0.5, 0.5
-#: Segments below a host that a template has; siblings merge if neither a child's share nor the blocked share differs from the host's by more than this.
-DEPTH, SIMILAR = 2, 0.25
-#: Values that a segment position may take under one parent before they all count as variable.
-FANOUT = 64
+#: Segments below a host that a template has.
+DEPTH = 2
+#: Siblings merge only if their purities differ from their parent's by SIMILAR at most, and their child shares by as much (total
+#: variation) or no more than chance allows: chi-square within DEVIATIONS of its mean.
+SIMILAR, DEVIATIONS = 0.25, 3.0
 
 
 def parse(url: Column) -> tuple[Column, Column]:
@@ -49,41 +50,52 @@ def generalised(segment: Column) -> Column:
     return F.regexp_replace(out, r"[0-9]+", "*")
 
 
-def segments(path: Column) -> list[Column]:
-    """The first DEPTH segments; null where the path is shorter."""
-    parts = F.filter(F.split(path, "/"), lambda s: s != "")
-    return [generalised(F.get(parts, i)) for i in range(DEPTH)]
-
-
-def smoothed(blocked: str, labelled: str) -> Column:
-    return (F.col(blocked) + SMOOTHING * 0.25) / (F.col(labelled) + SMOOTHING)
+def segments(path: Column) -> Column:
+    """The first DEPTH segments, generalised."""
+    return F.transform(F.slice(F.filter(F.split(path, "/"), lambda s: s != ""), 1, DEPTH), generalised)
+
+
+def pure(blocked: str, labelled: str, n: str) -> Column:
+    """The smoothed share of blocked urls among the labelled ones and the votes of the others."""
+    return (F.col(blocked) + SMOOTHING * 0.25) / (F.col(labelled) + SILENT * (F.col(n) - F.col(labelled)) + SMOOTHING)
+
+
+def _level(paths: DataFrame, d: int) -> DataFrame:
+    """``paths`` (host, segs, n, labelled, blocked, tail) with the template of segment d put before each tail."""
+    here = paths.where(F.size("segs") > d).withColumns({"parent": F.concat_ws("/", F.slice("segs", 1, d)), "seg": F.get("segs", F.lit(d)), "child": F.coalesce(F.get("tail", F.lit(0)), F.lit(""))})
+    node, branch = ["host", "parent"], ["host", "parent", "seg"]
+    cells = stored(here.groupBy(*branch, "child").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "blocked")]), "url-cells")
+    own = cells.groupBy(*branch).agg(F.sum("n").alias("n0"), F.sum("labelled").alias("l0"), F.sum("blocked").alias("b0"), F.bool_or(F.col("child") != "").alias("inner"))
+    whole = own.groupBy(*node).agg(F.sum("n0").alias("all"), F.sum("l0").alias("l"), F.sum("b0").alias("b"), F.count("*").alias("wide"))
+    pool = cells.groupBy(*node, "child").agg(F.sum("n").alias("m"))
+    kinds = pool.groupBy(*node).agg(F.count("*").cast("double").alias("k"), (F.sum("m") * F.sum(1 / F.col("m"))).alias("inverse"))
+    q, p = F.col("n") / F.col("n0"), F.col("m") / F.col("all")
+    # children that a branch lacks add their whole share to the total variation and nothing to the sum of q * q / p
+    gaps = cells.join(own, branch).join(whole, node).join(pool, [*node, "child"]).groupBy(*branch).agg(((F.sum(F.abs(q - p) - p) + 1) / 2).alias("apart"), (F.first("n0") * (F.sum(q * q / p) - 1)).alias("chi"))
+    k = F.col("k")
+    spread = F.sqrt(F.greatest(F.lit(0.0), 2 * (k - 1) + (F.col("inverse") - k * k - 2 * k + 2) / F.col("n0")))
+    chance = (F.col("all") * SIMILAR**2 >= 1) & (F.col("chi") - (k - 1) <= DEVIATIONS * spread + 1e-6)  # few urls prove nothing
+    mine, theirs = pure("b0", "l0", "n0"), pure("b", "l", "all")
+    alike = (F.abs(mine - theirs) <= SIMILAR) & ((mine >= REJECT) == (theirs >= REJECT))
+    merged = (F.col("wide") > 1) & alike & (chance | (F.col("inner") & (F.col("apart") <= SIMILAR)))
+    named = stored(gaps.join(own, branch).join(whole, node).join(kinds, node).select(*branch, merged.alias("merged")), "url-branches")
+    stays = named.where(~F.col("merged") & (F.col("seg") == "*")).select(*node, F.lit("**").alias("wild"))  # a variable branch that stays apart keeps its name
+    named = named.join(stays, node, "left").select(*branch, F.when(F.col("merged"), F.coalesce("wild", F.lit("*"))).otherwise(F.col("seg")).alias("name"))
+    done = here.join(named, branch).withColumn("tail", F.concat(F.array("name"), "tail")).select(*paths.columns)
+    return done.unionByName(paths.where(F.size("segs") <= d))
 
 
 def templates(urls: DataFrame) -> DataFrame:
-    """host, s0, s1, template: where each distinct generalised path of ``urls`` (host, s0, s1, n, labelled, blocked) lands in its host's tree.
-
-    A parent with over FANOUT different children has them as one wildcard. A branch s0 merges with the host's other branches
-    if its child shares and its smoothed share of blocked urls differ from the host's overall ones by SIMILAR at most."""
-    level1 = urls.groupBy("host", "s0").agg(F.sum("n").alias("n0"), F.count("*").alias("wide1"), F.sum("labelled").alias("l0"), F.sum("blocked").alias("b0"))
-    level0 = level1.groupBy("host").agg(F.sum("n0").alias("n"), F.count("*").alias("wide0"), F.sum("l0").alias("l"), F.sum("b0").alias("b"))
-    drift = F.abs(smoothed("b0", "l0") - smoothed("b", "l"))
-    whole = urls.groupBy("host", F.col("s1").alias("t1")).agg(F.sum("n").alias("m"))
-    own = urls.select("host", "s0", "s1", F.col("n").alias("n1"))
-    shares = (
-        own.alias("u")
-        .join(level1.alias("l"), (F.col("u.host") == F.col("l.host")) & F.col("u.s0").eqNullSafe(F.col("l.s0")))
-        .join(whole.alias("w"), (F.col("u.host") == F.col("w.host")) & F.col("u.s1").eqNullSafe(F.col("w.t1")))
-        .join(level0.alias("h"), F.col("u.host") == F.col("h.host"))
-        .select("u.host", "u.s0", "u.s1", "u.n1", "l.n0", "l.wide1", "h.wide0", F.greatest(F.abs(F.col("n1") / F.col("n0") - F.col("m") / F.col("n")), drift).alias("gap"))
-    )
-    branch = shares.groupBy("host", "s0").agg(F.max("gap").alias("gap"), F.max("n0").alias("n0"), F.max("wide0").alias("wide0"), F.max("wide1").alias("wide1"))
-    merged = F.when(F.col("s0").isNull(), F.lit("")).when((F.col("wide0") > FANOUT) | ((F.col("gap") <= SIMILAR) & (F.col("wide0") > 1)), F.lit("*")).otherwise(F.col("s0"))
-    named = branch.select("host", "s0", merged.alias("b0"), "wide1")
-    return (
-        own.alias("u")
-        .join(named.alias("b"), (F.col("u.host") == F.col("b.host")) & F.col("u.s0").eqNullSafe(F.col("b.s0")))
-        .select("u.host", "u.s0", "u.s1", F.concat_ws("/", "b.b0", F.when(F.col("wide1") > FANOUT, F.lit("*")).otherwise(F.coalesce("u.s1", F.lit("")))).alias("template"))
-    )
+    """``urls`` (host, segs, n, labelled, blocked: a row for each host and generalised path) with the template of each.
+
+    From the deepest level of the data up, a branch merges with its parent's others into one wildcard if its child shares and its
+    purity are like the parent's overall; a branch that would be rejected never merges into an allowed parent, nor the reverse."""
+    deepest = urls.agg(F.max(F.size("segs"))).first()[0] or 0
+    tree = urls.withColumn("tail", F.array().cast("array<string>"))
+    for d in reversed(range(deepest)):
+        tree = stored(_level(tree, d), "url-level")
+    short = F.repeat(F.lit("/"), F.when(F.size("segs") < 2, 1).otherwise(0))
+    return tree.select(*urls.columns, F.concat(F.array_join("tail", "/"), short).alias("template"))
 
 
 def judge(pages: DataFrame, url: str = "url", rules: tuple[tuple[str, str, str], ...] = RULES) -> DataFrame:
@@ -95,13 +107,13 @@ def judge(pages: DataFrame, url: str = "url", rules: tuple[tuple[str, str, str],
     host, path = parse(F.col(f"`{url}`"))
     parsed = pages.select(*rest, host.alias("host"), path.alias("path"))
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    parsed = parsed.withColumns({"rule": name, "__label": verdict, **{f"__s{i}": s for i, s in enumerate(segments(F.col("path")))}})
+    parsed = parsed.withColumns({"rule": name, "__label": verdict, "__segs": segments(F.col("path"))})
     # the tree has a row for each host and generalised path: counted before anything is shuffled by host
-    counts = stored(parsed.groupBy("host", F.col("__s0").alias("s0"), F.col("__s1").alias("s1")).agg(F.count("*").alias("n"), F.count("__label").alias("labelled"), F.count(F.when(F.col("__label") == "block", 1)).alias("blocked")), "url-counts")
-    placed = stored(templates(counts), "url-templates")
-    tree = placed.join(counts, (placed.host == counts.host) & placed.s0.eqNullSafe(counts.s0) & placed.s1.eqNullSafe(counts.s1)).select(placed.host, placed.s0, placed.s1, "template", "n", "labelled", "blocked")
-    purity = tree.groupBy("host", "template").agg(((F.sum("blocked") + SMOOTHING * 0.25) / (F.sum("labelled") + SILENT * F.sum(F.col("n") - F.col("labelled")) + SMOOTHING)).alias("purity"))
-    judged = tree.join(purity, ["host", "template"]).select(F.col("host").alias("__host"), F.col("s0").alias("__t0"), F.col("s1").alias("__t1"), "template", (F.col("purity") >= REJECT).alias("__bad"))
-    out = parsed.join(judged, (F.col("host") == F.col("__host")) & F.col("__s0").eqNullSafe(F.col("__t0")) & F.col("__s1").eqNullSafe(F.col("__t1")), "left")
+    counts = stored(parsed.groupBy("host", F.col("__segs").alias("segs")).agg(F.count("*").alias("n"), F.count("__label").alias("labelled"), F.count(F.when(F.col("__label") == "block", 1)).alias("blocked")), "url-counts")
+    tree = stored(templates(counts), "url-templates")
+    sums = tree.groupBy("host", "template").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "blocked")])
+    purity = sums.select("host", "template", (pure("blocked", "labelled", "n") >= REJECT).alias("__bad"))
+    judged = tree.join(purity, ["host", "template"]).select(F.col("host").alias("__host"), F.col("segs").alias("__path"), "template", "__bad")
+    out = parsed.join(judged, (F.col("host") == F.col("__host")) & (F.col("__segs") == F.col("__path")), "left")
     final = F.coalesce("__label", F.when(F.col("__bad"), F.lit("block")).otherwise(F.lit("allow")))
     return out.select(*rest, "host", "path", "rule", "template", final.alias("verdict"))

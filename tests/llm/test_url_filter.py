@@ -64,6 +64,17 @@ def test_wide_parents_have_one_wildcard(spark):
     assert got["wide.org"] == {"*"} and got["thin.org"] == {"a", "c"}
 
 
+@pytest.mark.parametrize("clean", [60, 63, 90])
+def test_blocked_branches_stay_apart_at_any_width(spark, clean):
+    word = lambda i: chr(97 + i // 26) + chr(97 + i % 26) + "x"
+    rules = (("block", "wide.net", "/es/"), ("block", "wide.net", "/fr/"))
+    urls = [f"http://wide.net/{b}/item/{i}" for b in ("es", "fr") for i in range(60)] + [f"http://wide.net/{word(j)}/item/{i}" for j in range(clean) for i in range(2)]
+    got = {r.url: (r.verdict, r.template.split("/")[0]) for r in url_filter.judge(frame(spark, urls), rules=rules).collect()}
+    bad = {got[u][1] for u in urls[:120]}
+    assert all(got[u][0] == "block" for u in urls[:120])
+    assert all(got[u][0] == "allow" and got[u][1] not in bad for u in urls[120:])
+
+
 def test_repeated_rows_stay_and_empty_tables_are_empty(spark):
     assert url_filter.judge(frame(spark, ["http://a.com/x"] * 7)).count() == 7
     assert url_filter.judge(frame(spark, [])).count() == 0
