@@ -18,8 +18,6 @@ RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www
 #: Pseudo-counts of the purity (a quarter of them blocked), votes of a url that no rule fits (for allowing), and the share of blocked
 #: urls from which a template is rejected.
 SMOOTHING, SILENT, REJECT = 2.0, 0.5, 0.5
-#: Segments below a host that a template has.
-DEPTH = 2
 #: Siblings merge only if their purities differ from their parent's by SIMILAR at most, and their child shares by as much (total
 #: variation) or no more than chance allows: chi-square within DEVIATIONS of its mean.
 SIMILAR, DEVIATIONS = 0.25, 3.0
@@ -51,8 +49,8 @@ def generalised(segment: Column) -> Column:
 
 
 def segments(path: Column) -> Column:
-    """The first DEPTH segments, generalised."""
-    return F.transform(F.slice(F.filter(F.split(path, "/"), lambda s: s != ""), 1, DEPTH), generalised)
+    """All segments of a path, generalised."""
+    return F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), generalised)
 
 
 def pure(blocked: str, labelled: str, n: str) -> Column:

@@ -75,6 +75,14 @@ def test_blocked_branches_stay_apart_at_any_width(spark, clean):
     assert all(got[u][0] == "allow" and got[u][1] not in bad for u in urls[120:])
 
 
+def test_branches_below_the_second_level_are_judged_apart(spark):
+    rules = (("block", "deep.org", "/en/news/ads/1"), ("allow", "deep.org", "/en/news/sport/"))
+    urls = [f"http://deep.org/en/news/{b}/{i}" for b in ("ads", "sport") for i in (*range(100, 120), *range(40, 50))]
+    got = {r.url: (r.verdict, r.template) for r in url_filter.judge(frame(spark, urls), rules=rules).collect()}
+    assert got["http://deep.org/en/news/ads/45"] == ("block", "en/news/ads/*")
+    assert got["http://deep.org/en/news/sport/45"] == ("allow", "en/news/sport/*")
+
+
 def test_repeated_rows_stay_and_empty_tables_are_empty(spark):
     assert url_filter.judge(frame(spark, ["http://a.com/x"] * 7)).count() == 7
     assert url_filter.judge(frame(spark, [])).count() == 0
