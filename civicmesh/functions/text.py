@@ -94,7 +94,7 @@ def uncited_claim(text: Column) -> Column:
 
     def claims(s: Column) -> Column:
         words = F.filter(F.split(s, r"\s+"), lambda w: w != "")
-        named = F.exists(F.slice(words, 2, 1000), lambda w: w.rlike("^[A-Z]"))
+        named = F.exists(F.slice(words, 2, F.size(words)), lambda w: w.rlike("^[A-Z]"))
         return (F.size(words) >= 4) & ~s.contains("[signal:") & (s.rlike("[0-9]") | named)
 
     return F.exists(F.split(text, "[.!?]"), claims)

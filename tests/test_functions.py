@@ -132,3 +132,9 @@ def test_jaccard_of_empty_sets(spark):
     assert one(spark, text.jaccard(e, e)) == 0.0
     assert one(spark, text.jaccard(text.words(lit("a b c")), text.words(lit("b c d")))) == 0.5
     assert duckdb.sql("select 1").fetchall() == [(1,)]
+
+
+def test_uncited_claims_look_at_every_word(spark):
+    texts = ["one " + "word " * n + "Berlin" for n in (3, 1500, 20000)] + ["Berlin " + "word " * 1500, "One two", ""]
+    rows = spark.createDataFrame([*enumerate(texts)], "i long, s string").select("i", text.uncited_claim(F.col("s")).alias("x")).collect()
+    assert [r.x for r in sorted(rows)] == [True, True, True, False, False, False]
