@@ -5,12 +5,13 @@ pairs finds the words whose proposal ordinary merging would not give, and only t
 ``merges`` has the tables and the argument why a proposal without a clash is the encoding.
 
 Texts are cut as the vocabulary's file says: special strings first, then NFC, lower case and the word
-pattern; white space goes. Null and empty texts have no tokens and decode to the empty text. The longest
+pattern, by the library's own version of Unicode (``library_text``); white space goes. Null and empty texts have no tokens and decode to the empty text. The longest
 texts are cut into parts at single spaces, so a text's words are never all in memory at once.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .library_text import Differences, differences
 from .merges import MergeTable, table_for
 from .text_batches import chunks, map_texts
 
@@ -48,8 +50,11 @@ def normalize(text: str) -> str:
     return text.lower()
 
 
-def split_words(text: str) -> list[str]:
+def split_words(text: str, odd: Differences) -> list[str]:
     """The normalized text's words."""
+    if not text.isascii() and odd.any.search(text):
+        text = odd.composed(text).replace("Σ", "σ").translate(odd.small).lower()
+        return [text[slice(*m.span())] for m in WORDS.finditer(text.translate(odd.classes))]
     text = normalize(text)
     return WORDS.findall(text) if NOT_LATIN.search(text) else LATIN_WORDS.findall(text)
 
@@ -57,19 +62,19 @@ def split_words(text: str) -> list[str]:
 class Encoder:
     """Token ids of texts, with what a worker remembers about words."""
 
-    def __init__(self, table: MergeTable):
-        self.table, self.known = table, {}
+    def __init__(self, table: MergeTable, odd: Differences):
+        self.table, self.odd, self.known = table, odd, {}
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(table.special, key=len, reverse=True))) + ")") if table.special else None
 
     def words(self, text: str) -> Iterator[list[str]]:
         """Lists of words; a special string is a list of itself alone."""
         for part in chunks(text):
-            if "<|" not in part or self.split is None:
-                yield split_words(part)
+            if not any(map(part.__contains__, self.table.special)):
+                yield split_words(part, self.odd)
                 continue
             for i, run in enumerate(self.split.split(part)):
                 if run:
-                    yield [run] if i % 2 else split_words(run)
+                    yield [run] if i % 2 else split_words(run, self.odd)
 
     def learn(self, words: list[str]) -> None:
         known = self.known
@@ -123,12 +128,12 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decod
 
     Other columns pass through; ones named ``ids`` or ``decoded`` give way. Rows, repeated ones too, stay as they are."""
     name, data = vocabulary(path)
-    shared = df.sparkSession.sparkContext.broadcast(data)
+    shared = df.sparkSession.sparkContext.broadcast((data, differences()))
     added = [T.StructField(ids, T.ArrayType(T.IntegerType(), False))] + [T.StructField(decoded, T.StringType())] * bool(decoded)
 
     def make():
-        table = table_for(name, shared.value)
-        encoder, decoder = Encoder(table), Decoder(table)
+        table = table_for(name, shared.value[0])
+        encoder, decoder = Encoder(table, shared.value[1]), Decoder(table)
 
         def of(texts: list[str]) -> list[pa.Array]:
             got = encoder(texts)
@@ -156,12 +161,25 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "text") -> Da
     return source.mapInArrow(run, schema)
 
 
-def digests(encoded: DataFrame, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """Number of tokens, and SHA-256 of the ids (decimal, one space between) and of the decoded text."""
-    rest = [F.col(f"`{c}`") for c in encoded.columns if c not in (ids, decoded, "n_tokens", "ids_sha256", "decoded_sha256")]
-    return encoded.select(
-        *rest,
-        F.size(ids).cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col(ids).cast("array<string>"), " "), 256).alias("ids_sha256"),
-        F.sha2(F.col(decoded), 256).alias("decoded_sha256"),
-    )
+def digests(df: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """``df`` without ``text``, with n_tokens, and the SHA-256 of the ids (decimal, one space between) and of the text that they decode to.
+
+    Encoded and decoded in one task, so neither ids nor decoded texts leave it. Other columns pass through; ones of these names give way."""
+    name, data = vocabulary(path)
+    shared = df.sparkSession.sparkContext.broadcast((data, differences()))
+    added = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+
+    def make():
+        table = table_for(name, shared.value[0])
+        encoder, decoder = Encoder(table, shared.value[1]), Decoder(table)
+        numbers = np.array([*map(str, range(table.size))], object)
+
+        def of(texts: list[str]) -> list[pa.Array]:
+            got = encoder(texts)
+            spelled = (" ".join(numbers[x].tolist()) for x in got)
+            sha = lambda strings: pa.array([hashlib.sha256(s.encode()).hexdigest() for s in strings], pa.string())
+            return [pa.array([len(x) for x in got], pa.int64()), sha(spelled), sha(map(decoder, got))]
+
+        return of
+
+    return map_texts(df, text, added, make, [c for c in df.columns if c != text])

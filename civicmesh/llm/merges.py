@@ -42,6 +42,8 @@ class MergeTable:
         model = data["model"]
         self.ids: dict[str, int] = model["vocab"]
         self.suffix: str = model.get("end_of_word_suffix") or ""
+        if any(t[flag] for t in data["added_tokens"] for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError("added tokens that take their surroundings along or are normalized are not supported")
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
         self.size = 1 + max([*self.ids.values(), *self.special.values()])
         self.strings = [""] * self.size

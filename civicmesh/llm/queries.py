@@ -21,10 +21,9 @@ def tokenizer(name: str) -> str:
 
 
 def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .bpe_codec import digests, encode
+    from .bpe_codec import digests
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return digests(encode(docs, tokenizer(TOKENIZER_WORD), decoded="decoded"))
+    return digests(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer(TOKENIZER_WORD))
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

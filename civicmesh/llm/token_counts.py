@@ -58,7 +58,7 @@ class Counter:
 
     def runs(self, text: str) -> tuple[list[str], int]:
         """The text between special strings, and how many of these there are."""
-        if self.split is None or "<|" not in text:
+        if not any(map(text.__contains__, self.table.special)):
             return [text], 0
         runs = self.split.split(text)
         return runs, len(runs) - 1
