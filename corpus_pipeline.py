@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from civicmesh.llm import queries
-from civicmesh.llm.bpe_codec import digests, encode
+from civicmesh.llm.bpe_codec import digests
 from civicmesh.llm.mixing import mix
 from civicmesh.llm.quality import keep_good
 from civicmesh.llm.simhash import keep_first
@@ -41,7 +41,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each document."""
-    return digests(encode(docs.select("doc_id", "text"), queries.tokenizer(queries.TOKENIZER_WORD), decoded="decoded"))
+    return digests(docs.select("doc_id", "text"), queries.tokenizer(queries.TOKENIZER_WORD))
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("mixing", mixing), ("encoding", encoding)]
