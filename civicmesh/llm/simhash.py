@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .storage import stored, without
+from .storage import ROW, numbered, small, stored, without
 from .text_batches import map_texts
 
 SEED = 42
@@ -36,6 +36,8 @@ SEED = 42
 BLOCK = 1 << 17
 #: Expected rows of a bucket beyond which another band is kept, and rows of a bucket beyond which it is split.
 BUCKET, SPLIT = 4096, 16_384
+#: Rows with one fingerprint from which its class is broadcast to them.
+HOT = 10_000
 PIVOTS = 12
 
 
@@ -157,7 +159,7 @@ def links(nodes: DataFrame, radius: int = 4, split: int = SPLIT) -> DataFrame:
     bands, kept = bands_for(nodes.count(), radius)
     masks = _masks(bands, kept)
     keys = F.array(*(F.struct(F.lit(k).alias("band"), F.col("fingerprint").bitwiseAND(F.lit(_signed(m))).alias("key")) for k, m in enumerate(masks)))
-    keyed = nodes.where(F.col("node").isNotNull()).select("node", "fingerprint", F.explode(keys).alias("bucket")).select("node", "fingerprint", "bucket.band", "bucket.key")
+    keyed = nodes.select("node", "fingerprint", F.explode(keys).alias("bucket")).select("node", "fingerprint", "bucket.band", "bucket.key")
     large = stored(keyed.groupBy("band", "key").count().where(F.col("count") > split), "large-buckets")
     if large.isEmpty():
         keyed = keyed.withColumn("pair", F.lit(0).cast("long"))
@@ -179,20 +181,43 @@ def links(nodes: DataFrame, radius: int = 4, split: int = SPLIT) -> DataFrame:
     return found
 
 
+def _classes(prints: DataFrame, radius: int) -> DataFrame:
+    """fingerprint, class (a fingerprint that all reachable ones share), first (the least doc_id) and n (rows) of each distinct fingerprint.
+
+    Fingerprints are the nodes, so ones that only rows without doc_id have link others like any."""
+    nodes = stored(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "nodes")
+    found = components(stored(links(nodes.select(F.col("fingerprint").alias("node"), "fingerprint"), radius), "links"))
+    found = small(stored(found.select(F.col("node").alias("fingerprint"), "component"), "classes"))
+    return nodes.join(found, "fingerprint", "left").select("fingerprint", F.coalesce("component", "fingerprint").alias("class"), "first", "n")
+
+
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
     """doc_id, fingerprint (16 lower-case hex digits) and component_id (the least doc_id reachable over links) of each row.
 
     Repeated rows keep their rows. Texts without words have fingerprint zero and link like any other; null texts count
-    as empty; a row without doc_id gets the component of its fingerprint, null if no row with that fingerprint has one."""
+    as empty; a row without doc_id links others, too, and gets its component's least doc_id, null if no row there has one."""
     ids = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     prints = stored(fingerprints(ids, "text", words), "fingerprints")
-    nodes = stored(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("node")), "nodes")
-    classes = components(stored(links(nodes, radius), "links"))
-    of = nodes.join(classes, "node", "left").select("fingerprint", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(of, "fingerprint").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+    classes = stored(_classes(prints, radius), "print-classes")
+    linked = classes.where("class <> fingerprint").select("class").distinct()
+    shared = classes.join(small(stored(linked, "linked-classes")), "class", "left_semi")
+    least = small(stored(shared.groupBy("class").agg(F.min("first").alias("least")), "least-ids"))
+    of = classes.join(least, "class", "left").select("fingerprint", F.coalesce("least", "first").alias("component_id"), "n")
+    # fingerprints of many copies go to the rows; the others meet them by hash
+    hot = F.broadcast(of.where(F.col("n") > HOT).drop("n"))  # a row for each HOT rows of the input at most
+    rest = prints.join(hot.select("fingerprint"), "fingerprint", "left_anti").join(of.where(F.col("n") <= HOT).drop("n"), "fingerprint")
+    out = prints.join(hot, "fingerprint").unionByName(rest)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_first(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
-    """``df`` with one document of each component, the one with the smallest doc_id; rows without doc_id stay."""
-    found = near_duplicates(df, doc_id, text, words, radius)
-    return without(df, doc_id, found.where("doc_id <> component_id").select("doc_id"))
+    """``df`` with one document of each component: the one with the smallest doc_id, one without doc_id only if none has any.
+
+    Of rows that repeat the smallest doc_id one stays."""
+    rows = numbered(df, "documents")
+    ids = rows.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"), ROW)
+    prints = stored(fingerprints(ids, "text", words), "fingerprints")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW)
+    best = prints.groupBy("fingerprint").agg(F.min(order).alias("best"))
+    winners = _classes(prints, radius).join(best, "fingerprint").groupBy("class").agg(F.min("best").alias("best")).select(f"best.{ROW}")
+    return without(rows, ROW, prints.select(ROW).join(winners, ROW, "left_anti")).drop(ROW)

@@ -85,3 +85,15 @@ def test_empty_table_and_missing_ids(spark):
     rows = [(None, "a b c d e"), (None, None), (7, "a b c d e"), (7, "a b c d e")]
     got = sorted(map(str, (tuple(r)[::2] for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())))
     assert got == ["(7, 7)", "(7, 7)", "(None, 7)", "(None, None)"]
+    kept = sorted(map(str, (tuple(r) for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect())))
+    assert kept == ["(7, 'a b c d e')", "(None, None)"]
+
+
+def test_a_row_without_doc_id_links_two_others(spark, monkeypatch):
+    prints = {"left": 0, "middle": 0b1111, "right": 0b11111111, "far": (1 << 63) - 1}
+    monkeypatch.setattr(simhash, "fingerprints", lambda df, *_: df.withColumn("fingerprint", F.create_map(*(F.lit(x) for kv in prints.items() for x in kv))[F.col("text")].cast("long")).drop("text"))
+    rows = spark.createDataFrame([(9, "left"), (None, "middle"), (5, "right"), (7, "far")], "doc_id long, text string")
+    for hot in (10_000, 0):  # 0: all fingerprints are broadcast
+        monkeypatch.setattr(simhash, "HOT", hot)
+        assert {(r.doc_id, r.component_id) for r in simhash.near_duplicates(rows).collect()} == {(9, 5), (None, 5), (5, 5), (7, 7)}
+    assert {r.doc_id for r in simhash.keep_first(rows).collect()} == {5, 7}
