@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import stored, without
+from .storage import ROW, numbered, stored, without
 from .text_batches import map_texts
 
 #: Random features, ridge penalty for each training row, seed, grid cells of the calibration, labelled rows for each summing task.
@@ -173,26 +173,35 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(f"`{doc_id}`").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def quality_scores(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", cut: float = 0.3) -> DataFrame:
-    """doc_id, held_out, score (0 to 1, higher: label 1 likelier) and predicted (score at least ``cut``) of each row of ``df``.
-
-    Null texts count as empty; labels that are null or of held-out rows are not read; repeated rows and labels all count."""
-    source = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+def _scored(df: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, extra: list[str]) -> DataFrame:
+    """doc_id, the ``extra`` columns and score of each row of ``df``."""
+    source = df.select(F.col(f"`{doc_id}`").alias("doc_id"), *extra, F.col(f"`{text}`").alias("text"))
     seen = stored(with_statistics(source), "statistics")
-    known = labels.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{label}`").cast("double").alias("label")).where(F.col("label").isNotNull() & ~held_out())
+    known = labels.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{label}`").cast("double").alias("label"))
+    known = known.where(F.col("label").isNotNull() & ~held_out())
     model = fit(stored(seen.join(known, "doc_id").select("statistics", "label"), "labelled"))
     shared = df.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([seen.schema["doc_id"], T.StructField("score", T.DoubleType())])
+    names = ["doc_id", *extra]
+    schema = T.StructType([*(seen.schema[c] for c in names), T.StructField("score", T.DoubleType())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.score(_matrix(batch.column(1))))], names=["doc_id", "score"])
+            scores = pa.array(shared.value.score(_matrix(batch.column(len(names)))))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], scores], names=[*names, "score"])
+
+    return seen.select(*names, "statistics").mapInArrow(score, schema)
 
-    scored = seen.select("doc_id", "statistics").mapInArrow(score, schema)
+
+def quality_scores(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", cut: float = 0.3) -> DataFrame:
+    """doc_id, held_out, score (0 to 1, higher: label 1 likelier) and predicted (score at least ``cut``) of each row of ``df``.
+
+    Null texts count as empty; labels that are null or of held-out rows are not read; repeated rows and labels all count."""
+    scored = _scored(df, labels, doc_id, text, label, [])
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
 
 
 def keep_good(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", cut: float = 0.3) -> DataFrame:
-    """The rows of ``df`` that the classifier does not reject."""
-    scored = quality_scores(df, labels, doc_id, text, label, cut)
-    return without(df, doc_id, scored.where("predicted = 0").select("doc_id"))
+    """The rows of ``df`` that the classifier does not reject, each judged by its own text, whatever its doc_id."""
+    rows = numbered(df, "documents")
+    scored = _scored(rows, labels, doc_id, text, label, [ROW])
+    return without(rows, ROW, scored.where(F.col("score") < cut).select(ROW)).drop(ROW)
