@@ -1,33 +1,42 @@
 """Mixing sources to target weights (1): soft membership, nonnegative rates by projected gradients.
 
-A naive Bayes classifier learned from a labelled table gives each document a posterior over domains; a
-document belongs to every domain by its share. With t the token counts, p the posteriors and r the rates,
-the expected tokens of domain k are sum t r p_k. The rates minimise the squared distance of these totals to
-the targets, from r = 1, under r >= 0.
-
-Gradient steps of all documents have the form p . g with one vector g for the whole table, so steps add up to
-one vector y and the projected rate is r = max(0, 1 + p . y). A round is therefore one aggregate over
-the written posteriors: domain totals and their Gram matrix under the current y. The step is scaled by that
-matrix and halved while it does not help. Only the few numbers of y live on the driver.
-
-Everything is DataFrame expressions; there is no Python on the executors.
+A classifier learned from a labelled table gives each document a posterior over domains; a document belongs to every
+domain by its share. With t the token counts, p the posteriors and r the rates, the expected tokens of domain k are
+sum t r p_k. The rates minimise the squared distances of these totals to the targets, each relative to its target,
+under r >= 0, from r = 1.
+
+The classifier is naive Bayes over the distinct word buckets of a text, with only those buckets that a domain has
+significantly more or less often than all have. A fifth of the labelled rows teaches it no words: on these the
+evidence's scale (a power of the text's length), the domains' offsets and, by pooled adjacent violators over cells of
+log odds, the posteriors themselves are calibrated, weighted by tokens, so that expected totals are true totals.
+
+The fit is the accelerated projected gradient method with restarts. In the metric of the token counts a document's
+gradient is p . g with one vector g for the whole table, so a round is one projection of all stored rates,
+r = max(0, q + p . y), and one aggregate of their domain totals; only these few numbers live on the driver. Rates are
+written each round, and the table before is removed; in the end each row repeats the steps from its own posterior.
+
+Everything on the executors is DataFrame expressions.
 """
 
 from __future__ import annotations
 
 import json
-from math import log
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import stored
+from .storage import remove, stored, stored_at
 
-#: Word buckets of the classifier, its smoothing, labelled rows it learns from at most (those with the smallest id hashes).
-BUCKETS, SMOOTHING, SAMPLE = 4096, 0.5, 20_000
-#: Words' worth of evidence that a long text counts at most, so that memberships stay soft.
-EVIDENCE = 64
-ROUNDS, TOLERANCE = 40, 1e-7
+#: Word buckets of the classifier, deviations from which a bucket says something of a domain, labelled rows that it learns from at most
+#: (those with the smallest id hashes), one in how many of these calibrates, and domains at most.
+BUCKETS, SIGNIFICANT, SAMPLE, CALIBRATES, DOMAINS = 1 << 14, 4.0, 20_000, 5, 64
+#: Scales of the evidence that calibration tries: b * (distinct words) ** -power.
+POWERS, SCALES = (0.0, 0.25, 0.5, 0.75, 1.0), tuple(2.0**e for e in range(-6, 7))
+#: Cells of log odds between -REACH and REACH in which posteriors are calibrated.
+CELLS, REACH = 64, 8.0
+#: Rounds of the fit at most, distance of a share from its target at which it ends, and the gain over five rounds below which it does.
+ROUNDS, TOLERANCE, GAIN = 40, 5e-4, 1e-3
 
 
 def words(text: Column) -> Column:
@@ -39,109 +48,196 @@ def bucket(word: Column) -> Column:
     return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
 
 
-def _summed(buckets: Column, shares: Column) -> Column:
-    return F.aggregate(buckets, F.lit(0.0), lambda s, b: s + F.get(shares, b))
+def _numbers(values, kind: str = "double") -> Column:
+    """A constant array."""
+    return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
 
 
 class Classifier:
-    """Naive Bayes over word buckets: log shares for each bucket and domain, a few hundred kB."""
-
-    def __init__(self, domains: list[str], prior: list[float], table: list[list[float]]):
-        self.domains, self.prior, self.table = domains, prior, table
-
-    def logits(self, buckets: Column) -> Column:
-        """Log odds of each domain for a text's word buckets: one sum of plain numbers a domain, which costs a fifth of summing arrays or structs."""
-        scale = F.least(F.lit(1.0), F.lit(float(EVIDENCE)) / F.greatest(F.size(buckets), F.lit(1)))
-        out = []
-        for k, prior in enumerate(self.prior):
-            shares = F.from_json(F.lit(json.dumps([row[k] for row in self.table])), "array<double>")
-            out.append(_summed(buckets, shares) * scale + F.lit(prior))
-        return F.array(*out)
+    """Log shares of the significant buckets by domain, and the calibration: a few hundred kB for any input."""
+
+    def __init__(self, domains: list[str], table: np.ndarray, bias: np.ndarray, power: float = 1.0, scale: float = 1.0, curve: np.ndarray | None = None):
+        self.domains, self.table, self.bias, self.power, self.scale, self.curve = domains, table, bias, power, scale, curve
+
+    def evidence(self, buckets: Column) -> list[Column]:
+        """The sum of a text's buckets for each domain: plain sums over the few significant ones."""
+        telling = F.filter(buckets, lambda b: F.get(_numbers((np.abs(self.table).max(1) > 0).tolist(), "boolean"), b))
+        summed = lambda k: F.aggregate(telling, F.lit(0.0), lambda s, b: s + F.get(_numbers(self.table[:, k].round(5).tolist()), b))
+        return [summed(k) for k in range(len(self.domains))]
+
+
+def _posterior(evidence: np.ndarray, size: np.ndarray, power: float, scale: float, bias: np.ndarray) -> np.ndarray:
+    z = evidence * (scale * np.maximum(size, 1.0) ** -power)[:, None] + bias
+    e = np.exp(z - z.max(1, keepdims=True))
+    return e / e.sum(1, keepdims=True)
+
+
+def _cells(p: np.ndarray) -> np.ndarray:
+    odds = np.log(np.maximum(p, 1e-12) / np.maximum(1 - p, 1e-12))
+    return np.clip(((odds + REACH) / (2 * REACH) * CELLS).astype(int), 0, CELLS - 1)
+
+
+def _pooled(sums: np.ndarray, weights: np.ndarray, prior: float) -> np.ndarray:
+    """Ascending means of the cells by pooled adjacent violators; cells without rows take the nearest pool's."""
+    pools: list[list[float]] = []
+    for cell in np.flatnonzero(weights).tolist():
+        pools.append([sums[cell], weights[cell], cell])
+        while len(pools) > 1 and pools[-2][0] / pools[-2][1] >= pools[-1][0] / pools[-1][1]:
+            s, w, _ = pools.pop()
+            pools[-1][0] += s
+            pools[-1][1] += w
+    if not pools:
+        return np.full(CELLS, prior)
+    starts, values = np.array([p[2] for p in pools]), np.array([p[0] / p[1] for p in pools])
+    return values[np.maximum(np.searchsorted(starts, np.arange(CELLS), side="right") - 1, 0)]
+
+
+def calibrated(model: Classifier, evidence: np.ndarray, size: np.ndarray, tokens: np.ndarray, domain: np.ndarray) -> Classifier:
+    """The model with the scale, offsets and curve under which these rows' true domains are likeliest, weighted by tokens."""
+    n, k = evidence.shape
+    weight = np.maximum(tokens, 1.0)
+    truth = np.eye(k)[domain]
+    share = np.maximum(weight @ truth / weight.sum(), 1e-9)
+    best = (np.inf, 1.0, 1.0, np.log(share))
+    for power in POWERS:
+        for scale in SCALES:
+            bias = np.log(share)
+            for _ in range(20):  # offsets under which mean posteriors are true shares
+                p = _posterior(evidence, size, power, scale, bias)
+                bias = bias + np.log(share / np.maximum(weight @ p / weight.sum(), 1e-9))
+            p = _posterior(evidence, size, power, scale, bias)
+            loss = -float(weight @ np.log(np.maximum(p[np.arange(n), domain], 1e-12)))
+            best = min(best, (loss, power, scale, bias), key=lambda x: x[0])
+    _, power, scale, bias = best
+    cells = _cells(_posterior(evidence, size, power, scale, bias))
+    curve = [_pooled(np.bincount(cells[:, j], weight * truth[:, j], CELLS), np.bincount(cells[:, j], weight, CELLS), share[j]) for j in range(k)]
+    return Classifier(model.domains, model.table, bias, power, scale, np.maximum(curve, 1e-6).round(7))
 
 
 def learn(docs: DataFrame, labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", domain: str = "domain") -> Classifier:
     """From at most SAMPLE rows of ``labelled`` (doc_id, domain) whose documents are in ``docs``; rows with a null in either do not count.
 
-    Without any, there is one domain, named ``none``, to which all belongs."""
-    known = labelled.select(F.col(f"`{doc_id}`").alias("__id"), F.col(f"`{domain}`").cast("string").alias("__domain")).dropna().orderBy(F.xxhash64("__id"), "__id", "__domain").limit(SAMPLE)
+    Without any, there is one domain, named ``none``, to which all belongs. More than DOMAINS domains are an error."""
+    ids = docs.select(F.col(f"`{doc_id}`").alias("__id")).dropna().distinct()
+    known = labelled.select(F.col(f"`{doc_id}`").alias("__id"), F.col(f"`{domain}`").cast("string").alias("__domain")).dropna()
+    known = stored(known.join(ids, "__id", "left_semi").orderBy(F.xxhash64("__id"), "__id", "__domain").limit(SAMPLE), "labelled")
     texts = docs.select(F.col(f"`{doc_id}`").alias("__id"), F.col(f"`{text}`").alias("__text")).join(F.broadcast(known), "__id")
-    counts = texts.select("__domain", F.explode(words(F.col("__text"))).alias("w")).groupBy("__domain", bucket(F.col("w")).alias("b")).count().collect()  # BUCKETS x domains at most
-    sizes = {r["__domain"]: r["count"] for r in texts.groupBy("__domain").count().collect()}
+    texts = texts.withColumn("__all", F.transform(words(F.col("__text")), bucket))
+    calibrates = F.pmod(F.xxhash64("__id", F.lit(7)), F.lit(CALIBRATES)) == 0
+    rows = texts.select("__domain", F.size("__all").alias("tokens"), F.array_distinct("__all").alias("buckets"), calibrates.alias("calibrates"))
+    rows = stored(rows, "labelled-buckets")
+    sizes = {r["__domain"]: r["n"] for r in rows.groupBy("__domain").agg(F.count("*").alias("n")).limit(DOMAINS + 1).collect()}
+    if len(sizes) > DOMAINS:
+        raise ValueError(f"more than {DOMAINS} domains")
     domains = sorted(sizes) or ["none"]
-    table = [[SMOOTHING] * len(domains) for _ in range(BUCKETS)]
-    for r in counts:
-        table[r["b"]][domains.index(r["__domain"])] += r["count"]
-    total = [sum(row[k] for row in table) for k in range(len(domains))]
-    table = [[round(log(x / t), 5) for x, t in zip(row, total, strict=True)] for row in table]
+    k = len(domains)
+    taught = rows.where(~F.col("calibrates"))
+    found = np.zeros((BUCKETS, k))
+    for r in taught.select("__domain", F.explode("buckets").alias("b")).groupBy("__domain", "b").count().collect():  # BUCKETS x domains at most
+        found[r["b"], domains.index(r["__domain"])] = r["count"]
+    shares = np.maximum(found.sum(0), 1) / max(found.sum(), 1)
+    whole = found.sum(1, keepdims=True)
+    expected = whole * shares
+    table = np.log((found + 2 * shares + 1e-9) / (expected + 2 * shares + 1e-9))
+    table[np.abs(found - expected) < SIGNIFICANT * np.sqrt(expected + 1)] = 0
     n = sum(sizes.values()) or 1
-    return Classifier(domains, [log(sizes.get(d, 1) / n) for d in domains], table)
+    model = Classifier(domains, table, np.log([sizes.get(d, 1) / n for d in domains]))
+    held = rows.where("calibrates").select("__domain", "tokens", F.size("buckets").alias("size"), F.array(*model.evidence(F.col("buckets"))).alias("e")).collect()
+    if k < 2 or not held:
+        return model
+    column = lambda name: np.array([r[name] for r in held], float)
+    return calibrated(model, column("e").reshape(-1, k), column("size"), column("tokens"), np.array([domains.index(r["__domain"]) for r in held]))
+
 
+def _normal(p: str) -> Column:
+    return F.transform(p, lambda x: x / F.aggregate(p, F.lit(0.0), lambda a, b: a + b))
 
-def memberships(df: DataFrame, classifier: Classifier, text: str = "text") -> DataFrame:
-    """``df`` without ``text``, with ``tokens`` and ``posterior`` (array in the order of the classifier's domains)."""
+
+def memberships(df: DataFrame, model: Classifier, text: str = "text") -> DataFrame:
+    """``df`` without ``text``, with ``tokens`` and ``posterior`` (array in the order of the model's domains)."""
     rest = [F.col(f"`{c}`") for c in df.columns if c not in (text, "tokens", "posterior")]
     # each projection uses the one below several times, so Spark keeps them apart and computes each once
-    out = df.select(*rest, F.transform(words(F.col(f"`{text}`")), bucket).alias("__buckets"))
-    out = out.select(*rest, F.size("__buckets").cast("long").alias("tokens"), classifier.logits(F.col("__buckets")).alias("posterior"))
-    exps = F.transform("posterior", lambda x: F.exp(x - F.array_max("posterior")))
-    out = out.withColumn("posterior", exps)
-    return out.withColumn("posterior", F.transform("posterior", lambda x: x / F.aggregate("posterior", F.lit(0.0), lambda a, b: a + b)))
-
-
-def rate(posterior: Column, y: list[float]) -> Column:
-    """max(0, 1 + posterior . y)"""
-    return F.greatest(F.lit(0.0), sum((F.get(posterior, k) * F.lit(v) for k, v in enumerate(y)), F.lit(1.0)))
-
-
-def _solve(a: list[list[float]], b: list[float]) -> list[float]:
-    """Gaussian elimination for a system of as many unknowns as there are domains."""
-    n = len(b)
-    rows = [[*r, v] for r, v in zip(a, b, strict=True)]
-    for i in range(n):
-        p = max(range(i, n), key=lambda r: abs(rows[r][i]))
-        rows[i], rows[p] = rows[p], rows[i]
-        for r in range(n):
-            if r != i:
-                f = rows[r][i] / rows[i][i]
-                rows[r] = [x - f * y for x, y in zip(rows[r], rows[i], strict=True)]
-    return [rows[i][n] / rows[i][i] for i in range(n)]
-
-
-def fit_rates(members: DataFrame, targets: list[float]) -> tuple[list[float], list[float]]:
-    """The vector y and the shares of expected domain tokens that it gives, of all tokens at rate one."""
-    k = len(targets)
-    p = [F.get("posterior", i) for i in range(k)]
+    out = df.select(*rest, F.transform(words(F.col(f"`{text}`")), bucket).alias("__all"))
+    out = out.select(*rest, F.size("__all").cast("long").alias("tokens"), F.array_distinct("__all").alias("__buckets"))
+    by = F.lit(model.scale) * F.pow(F.greatest(F.size("__buckets"), F.lit(1)).cast("double"), F.lit(-model.power))
+    logits = [e * by + F.lit(float(b)) for e, b in zip(model.evidence(F.col("__buckets")), model.bias, strict=True)]
+    out = out.select(*rest, "tokens", F.array(*logits).alias("posterior"))
+    out = out.withColumn("posterior", F.transform("posterior", lambda x: F.exp(x - F.array_max("posterior"))))
+    out = out.withColumn("posterior", _normal("posterior"))
+    if model.curve is not None:
+        cell = lambda p: F.least(F.greatest(F.floor((F.log(F.greatest(p, F.lit(1e-12)) / F.greatest(1 - p, F.lit(1e-12))) + REACH) / (2 * REACH) * CELLS), F.lit(0)), F.lit(CELLS - 1)).cast("int")
+        curves = [F.get(_numbers(c.tolist()), cell(F.get("posterior", i))) for i, c in enumerate(model.curve)]
+        out = out.withColumn("posterior", F.array(*curves)).withColumn("posterior", _normal("posterior"))
+    return out
+
+
+#: Steps of the fit: what is added to a row's rate by domain, and how far the next step starts ahead.
+Steps = list[tuple[list[float], float]]
+
+
+def _step(ahead: Column, posterior: Column, added: list[Column]) -> Column:
+    """A projected step: max(0, ahead + posterior . added)."""
+    return F.greatest(F.lit(0.0), sum((F.get(posterior, i) * v for i, v in enumerate(added)), ahead))
+
+
+def rate(posterior: Column, steps: Steps) -> Column:
+    """A row's rate after all steps, from one."""
+    if not steps:
+        return F.lit(1.0)
+    acc = lambda now, ahead: F.struct(now.alias("rate"), ahead.alias("ahead"))
+
+    def moved(a: Column, s: Column) -> Column:
+        new = _step(a["ahead"], posterior, [F.get(s["added"], i) for i in range(len(steps[0][0]))])
+        return acc(new, new + s["on"] * (new - a["rate"]))
+
+    told = F.from_json(F.lit(json.dumps([{"added": y, "on": on} for y, on in steps])), "array<struct<added: array<double>, on: double>>")
+    return F.aggregate(told, acc(F.lit(1.0), F.lit(1.0)), moved, lambda a: a["rate"])
+
+
+def fit_rates(members: DataFrame, targets: list[float]) -> tuple[Steps, list[float]]:
+    """The steps to the rates of ``members`` (stored; tokens, posterior), and the shares of expected domain tokens that these give, of
+    all tokens at rate one."""
+    spark, k = members.sparkSession, len(targets)
     total = members.agg(F.sum("tokens").alias("t")).first()["t"] or 0
     if not total:
-        return [0.0] * k, [0.0] * k
-
-    def state(y: list[float]) -> tuple[list[float], list[list[float]], float]:
-        r = rate(F.col("posterior"), y)
-        w = F.col("tokens") / F.lit(float(total))
-        pairs = [(i, j) for i in range(k) for j in range(i, k)]
-        got = members.agg(
-            *(F.sum(w * r * p[i]).alias(f"s{i}") for i in range(k)),
-            *(F.sum(F.when(r > 0, w * p[i] * p[j]).otherwise(0.0)).alias(f"g{i}_{j}") for i, j in pairs),
-        ).first()
-        shares = [got[f"s{i}"] for i in range(k)]
-        gram = [[got[f"g{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]
-        return shares, gram, sum((s - t) ** 2 for s, t in zip(shares, targets, strict=True))
-
-    y = [0.0] * k
-    shares, gram, loss = state(y)
-    size = 1.0
+        return [], [0.0] * k
+    goal = np.array(targets)
+    weight = 1 / np.maximum(goal, 1e-3)
+    p = [F.get("posterior", i) for i in range(k)]
+    w = F.col("tokens") / F.lit(float(total))
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    got = members.agg(*(F.sum(w * x).alias(f"s{i}") for i, x in enumerate(p)), *(F.sum(w * p[i] * p[j]).alias(f"g{i}_{j}") for i, j in pairs)).first()
+    gram = np.array([[got[f"g{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
+    size = 1 / np.linalg.eigvalsh(gram * np.sqrt(np.outer(weight, weight))).max()
+
+    rows, at = stored_at(members.select("tokens", "posterior", F.lit(1.0).alias("rate"), F.lit(1.0).alias("ahead")), "rates")
+    shares = ahead = np.array([got[f"s{i}"] for i in range(k)])
+    loss, inertia = float(weight @ (shares - goal) ** 2), 1.0
+    steps, losses = [], []
     for _ in range(ROUNDS):
-        if loss < TOLERANCE**2 * k or size < 1e-4:
+        if np.abs(shares - goal).max() <= TOLERANCE or (len(losses) > 5 and losses[-6] - loss < GAIN * losses[-6]):
             break
-        damped = [[g + (1e-9 + 1e-6 * gram[i][i]) * (i == j) for j, g in enumerate(row)] for i, row in enumerate(gram)]
-        step = _solve(damped, [t - s for s, t in zip(shares, targets, strict=True)])
-        trial = [a + size * b for a, b in zip(y, step, strict=True)]
-        new = state(trial)
-        if new[2] < loss:
-            y, (shares, gram, loss), size = trial, new, min(1.0, 2 * size)
-        else:
-            size /= 4
-    return y, shares
+        y = (size * weight * (goal - ahead)).tolist()
+        then = (1 + (1 + 4 * inertia**2) ** 0.5) / 2
+        on = (inertia - 1) / then
+        moved = rows.withColumn("__new", _step(F.col("ahead"), F.col("posterior"), [F.lit(v) for v in y]))
+        moved = moved.select("tokens", "posterior", F.col("__new").alias("rate"), (F.col("__new") + on * (F.col("__new") - F.col("rate"))).alias("ahead"))
+        new, new_at = stored_at(moved, "rates")
+        got = new.agg(*(F.sum(w * F.col("rate") * x).alias(f"s{i}") for i, x in enumerate(p))).first()
+        after = np.array([got[f"s{i}"] for i in range(k)])
+        new_loss = float(weight @ (after - goal) ** 2)
+        if new_loss > loss and inertia > 1:  # overshot: again from the rates before, without inertia
+            remove(spark, new_at)
+            rows, inertia, ahead = rows.withColumn("ahead", F.col("rate")), 1.0, shares
+            steps[-1] = (steps[-1][0], 0.0)
+            continue
+        remove(spark, at)
+        rows, at, inertia = new, new_at, then
+        shares, ahead, loss = after, after + on * (after - shares), new_loss
+        losses.append(loss)
+        steps.append((y, on))
+    remove(spark, at)
+    return steps, shares.tolist()
 
 
 def normalized(targets: dict[str, float], domains: list[str], epochs: float = 1.0) -> list[float]:
@@ -156,28 +252,30 @@ def copies(value: Column, doc_id: Column, seed: int = 42) -> Column:
 
 
 def mix_rates(df: DataFrame, labelled: DataFrame, targets: dict[str, float], doc_id: str = "doc_id", text: str = "text", epochs: float = 1.0) -> DataFrame:
-    """doc_id, tokens, domain (likeliest), rate and copies of each row of ``df``; repeated rows count each.
+    """doc_id, tokens, domain (likeliest), p_<domain>, rate and copies of each row of ``df``; repeated rows count each.
 
     ``labelled`` has doc_id and domain; ``targets`` gives domains' shares of the mixture, which has ``epochs``
-    times the tokens of ``df``. Texts without words have no tokens and the
-    prior's membership."""
-    classifier = learn(df, labelled, doc_id, text)
-    members = stored(memberships(df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), classifier), "memberships")
-    y, _ = fit_rates(members, normalized(targets, classifier.domains, epochs))
-    best = F.get(F.array(*map(F.lit, classifier.domains)), (F.array_position("posterior", F.array_max("posterior")) - 1).cast("int"))
-    shares = [F.round(F.get("posterior", i), 6).alias(f"p_{d}") for i, d in enumerate(classifier.domains)]
-    r = rate(F.col("posterior"), y)
-    return members.select("doc_id", "tokens", best.alias("domain"), *shares, r.alias("rate"), copies(r, F.col("doc_id")).alias("copies"))
+    times the tokens of ``df``. Targets that no rates reach are met as nearly as least squares allow. Texts without words
+    have no tokens and the membership of a text that says nothing."""
+    model = learn(df, labelled, doc_id, text)
+    members = memberships(df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), model)
+    members = stored(members, "memberships")
+    steps, _ = fit_rates(members, normalized(targets, model.domains, epochs))
+    best = F.get(F.array(*map(F.lit, model.domains)), (F.array_position("posterior", F.array_max("posterior")) - 1).cast("int"))
+    shares = [F.round(F.get("posterior", i), 6).alias(f"p_{d}") for i, d in enumerate(model.domains)]
+    rated = members.select("doc_id", "tokens", best.alias("domain"), *shares, rate(F.col("posterior"), steps).alias("rate"))
+    return rated.withColumn("copies", copies(F.col("rate"), F.col("doc_id")))
 
 
 def mix(df: DataFrame, labelled: DataFrame, targets: dict[str, float], doc_id: str = "doc_id", text: str = "text", epochs: float = 1.0) -> DataFrame:
-    """``df`` with every row as often as its rate says, columns unchanged; see ``mix_rates``."""
-    classifier = learn(df, labelled, doc_id, text)
-    members = stored(memberships(df.select(F.col(f"`{text}`").alias("text")), classifier), "memberships")
-    y, _ = fit_rates(members, normalized(targets, classifier.domains, epochs))
+    """``df`` with every row as often as its rate says, columns unchanged; see ``mix_rates``.
+
+    Memberships are computed once and written beside the rows, so no row needs a key."""
+    model = learn(df, labelled, doc_id, text)
     rows = df.withColumns({"__id": F.col(f"`{doc_id}`"), "__text": F.col(f"`{text}`")})
-    rated = memberships(rows.withColumnsRenamed({c: f"__c{i}" for i, c in enumerate(df.columns)}), classifier, "__text")
-    n = copies(rate(F.col("posterior"), y), F.col("__id"))
-    # a filter on the number of copies would be pushed below the projections that compute it, and compute it again and again
-    repeated = rated.withColumn("__m", n).withColumn("__n", F.explode_outer(F.array_repeat(F.lit(1), F.col("__m")))).where("__n is not null")
+    rows = rows.withColumnsRenamed({c: f"__c{i}" for i, c in enumerate(df.columns)})
+    members = stored(memberships(rows, model, "__text"), "memberships")
+    steps, _ = fit_rates(members, normalized(targets, model.domains, epochs))
+    n = copies(rate(F.col("posterior"), steps), F.col("__id"))
+    repeated = members.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), n)))
     return repeated.select(*(F.col(f"__c{i}").alias(c) for i, c in enumerate(df.columns)))

@@ -25,18 +25,17 @@ def frames(spark, rows, labels):
     return spark.createDataFrame(rows, SCHEMA).repartition(3), spark.createDataFrame(labels, "doc_id long, domain string")
 
 
+def plain_loss(tokens, posterior, rate, targets):
+    return (((tokens * rate) @ posterior / tokens.sum() - targets) ** 2 / targets).sum()
+
+
 def plain_rates(tokens, posterior, targets):
-    """Projected gradients of the squared distance over every document's own rate, step by step."""
-    a = (tokens / tokens.sum())[:, None] * posterior
-    r = np.ones(len(tokens))
-    step = 1 / np.linalg.norm(a, 2) ** 2
-    scale = tokens / tokens.max()  # steps in the metric in which large documents move as much as small ones
-    for _ in range(200_000):
-        new = np.maximum(0, r - step * (posterior @ (a.T @ r - targets)) * scale.max() * np.linalg.norm(a, 2) / np.linalg.norm(posterior, 2))
-        if np.abs(new - r).max() < 1e-13:
-            break
-        r = new
-    return r, a.T @ r
+    """Projected gradients over every document's own rate, step by step, without inertia."""
+    r, t = np.ones(len(tokens)), tokens / tokens.sum()
+    step = 1 / np.linalg.eigvalsh((t[:, None] * posterior).T @ posterior / np.sqrt(np.outer(targets, targets))).max()
+    for _ in range(20_000):
+        r = np.maximum(0, r - step * posterior @ (((t * r) @ posterior - targets) / targets))
+    return r
 
 
 def test_totals_meet_the_targets_and_rates_equal_plain_gradients(spark):
@@ -46,19 +45,58 @@ def test_totals_meet_the_targets_and_rates_equal_plain_gradients(spark):
     rate = rows["rate"].to_numpy(float)
     assert (rate >= 0).all() and np.allclose(p.sum(1), 1, atol=1e-5)
     got = (tokens * rate) @ p / tokens.sum()
-    assert np.allclose(got, [0.3, 0.7], atol=1e-4)
-    want, totals = plain_rates(tokens, p, np.array([0.3, 0.7]))
-    assert np.allclose(totals, [0.3, 0.7], atol=1e-6)
-    assert np.allclose(rate, want, atol=5e-3)
+    assert np.allclose(got, [0.3, 0.7], atol=1e-3)
+    want = plain_rates(tokens, p, np.array([0.3, 0.7]))
+    assert np.allclose(rate, want, atol=0.02)
     named = {i: d for i, d in corpus()[1]}
     assert np.mean([named[i] == d for i, d in zip(rows["doc_id"], rows["domain"], strict=True) if i in named]) > 0.95
 
 
+def test_targets_out_of_reach_are_met_as_nearly_as_plain_gradients_do(spark):
+    rng = np.random.default_rng(3)
+    tokens, p = rng.integers(1, 500, 400), rng.dirichlet([4, 2, 1], 400)
+    p = 0.8 * p + 0.2 * np.array([0.5, 0.3, 0.2])  # no document has less than a tenth of the first domain
+    rows = spark.createDataFrame([(int(t), x.tolist()) for t, x in zip(tokens, p, strict=True)], "tokens long, posterior array<double>")
+    targets = np.array([0.02, 0.08, 0.9])
+    steps, shares = mixing.fit_rates(rows, targets.tolist())
+    rate = np.array([r.rate for r in rows.select(mixing.rate(F.col("posterior"), steps).alias("rate")).collect()])
+    assert (rate >= 0).all() and (rate == 0).any() and len(steps) <= mixing.ROUNDS
+    assert np.allclose((tokens * rate) @ p / tokens.sum(), shares, atol=1e-9)
+    best = plain_loss(tokens, p, plain_rates(tokens, p, targets), targets)
+    assert best * 0.999 <= plain_loss(tokens, p, rate, targets) <= best * 1.1
+
+
+def test_true_shares_of_rows_that_taught_nothing_are_near_the_targets(spark):
+    """A rare domain shows in few words of long texts; labels of a third of the rows are only looked at in the end."""
+    rng = np.random.default_rng(8)
+    rows, labels = [], []
+    for i in range(3000):
+        kind = rng.choice(["plain", "rare"], p=[0.85, 0.15])
+        text = rng.choice([f"w{j}" for j in range(2000)], int(rng.integers(20, 300))).tolist()
+        if kind == "rare":
+            for at in rng.integers(0, len(text), rng.integers(1, 6)):
+                text[at] = f"r{rng.integers(10)}"
+        rows.append((i, " ".join(text)))
+        labels.append((i, kind))
+    df, known = frames(spark, rows, [x for x in labels if x[0] % 3])
+    got = mixing.mix_rates(df, known, {"plain": 0.95, "rare": 0.05}).toPandas()
+    truth, tokens = dict(labels), (got["tokens"] * got["rate"]).to_numpy()
+    unseen = got["doc_id"].to_numpy() % 3 == 0
+    rare = np.array([truth[i] == "rare" for i in got["doc_id"]])
+    assert tokens[unseen & rare].sum() / tokens[unseen].sum() == pytest.approx(0.05, rel=0.35)
+
+
+def test_too_many_domains_are_an_error(spark):
+    df, labels = frames(spark, corpus()[0], [(i, f"d{i}") for i in range(100)])
+    with pytest.raises(ValueError, match="domains"):
+        mixing.learn(df, labels)
+
+
 def test_epochs_scale_the_mixture(spark):
     df, labels = frames(spark, *corpus())
     rows = mixing.mix_rates(df, labels, {"good": 0.4, "bad": 0.6}, epochs=1.5).toPandas()
     got = (rows["tokens"] * rows["rate"]).to_numpy() @ rows[["p_bad", "p_good"]].to_numpy() / rows["tokens"].sum()
-    assert np.allclose(got, [0.9, 0.6], atol=1e-4)
+    assert np.allclose(got, [0.9, 0.6], atol=1e-3)
 
 
 def test_a_domain_that_is_to_go_gets_no_copies(spark):
@@ -74,7 +112,7 @@ def test_mix_repeats_each_row_by_its_rate_and_keeps_the_columns(spark):
     df, labels = frames(spark, rows + [(900, None), (901, ""), (None, "g1 g2"), (5, dict(rows)[5])], labels)
     df = df.withColumns({"rate": F.lit("clash"), "copies": F.lit(7), "posterior": F.lit(1), "tokens": F.lit("x"), "__n": F.lit(3)})
     got = mixing.mix(df, labels, TARGETS)
-    assert got.columns == df.columns and got.schema == df.schema
+    assert got.dtypes == df.dtypes
     rates = mixing.mix_rates(df, labels, TARGETS).groupBy("doc_id").agg(F.sum("copies").alias("n")).collect()
     counts = {r["doc_id"]: r["count"] for r in got.groupBy("doc_id").count().collect()}
     assert counts == {r["doc_id"]: r["n"] for r in rates if r["n"]}
