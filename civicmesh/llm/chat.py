@@ -32,20 +32,31 @@ STATES = [(role, begins) for role in ROLES for begins in (True, False)]
 SEGMENT, FAN = 256, 64
 #: What speakers are called in transcripts (fixed values).
 MARKERS = {"system": "system|sys|instructions?", "user": "user|human|question|q|customer|client|me", "assistant": "assistant|ai|bot|answer|a|agent|model|gpt"}
-_MARK = r"(?i)^\s*(?:#{1,4}\s*|\*{1,2}|<\|?|\[)?(%s)(?:\*{1,2}|\|?>|\])?\s*(?:[:>]|$)\s*(?:\*{1,2}\s*)?"
-ANY_MARK = _MARK % "|".join(MARKERS.values())
-#: Values of a line's form: end (question, full stop, other) x length (short, middle, long) x first line of its transcript.
-FORMS = 3 * 3 * 2
+#: Lengths from which a line's form is another one, and values of a form: end (question, full stop, other) x length x first of its transcript.
+LENGTHS = (1, 40, 120, 250, 400)
+FORMS = 3 * (len(LENGTHS) + 1) * 2
 SYMBOLS = (len(ROLES) + 1) * FORMS
 OPEN, CLOSE = "<|im_start|>%s\n", "<|im_end|>\n"
-SMOOTHING = 0.5
+#: Pseudo-counts of a state's forms, starts and moves, and of its markers: few, so that a marker outweighs any form.
+SMOOTHING, MARKER_SMOOTHING = 0.5, 1e-5
+
+
+def _mark(names: str) -> str:
+    """A pattern for a speaker's marker: a name with a colon (bold or a heading or not) or a prompt sign, or a name of over two letters in
+    brackets, or as a heading or in bold alone in its line. A name without any of these is text."""
+    long = "|".join(n for n in names.split("|") if len(n.rstrip("?")) > 2)
+    forms = [rf"(?:#{{1,4}}\s*)?\*{{0,2}}(?:{names})\*{{0,2}}\s*[:>]\*{{0,2}}", rf"#{{1,4}}\s*(?:{long})\s*$", rf"\*\*(?:{long})\*\*\s*$", rf"<\|(?:{long})\|>", rf"\[(?:{long})\]", rf"<(?:{long})>"]
+    return rf"(?i)^\s*(?:{'|'.join(forms)}) ?"
+
+
+ANY_MARK = _mark("|".join(MARKERS.values()))
 
 
 def marker(line: Column) -> Column:
     """Number of the role whose marker a line begins with, the number of roles if none."""
     out = F.lit(len(ROLES))
     for k, role in reversed([*enumerate(ROLES)]):
-        out = F.when(line.rlike(_MARK % MARKERS[role]), F.lit(k)).otherwise(out)
+        out = F.when(line.rlike(_mark(MARKERS[role])), F.lit(k)).otherwise(out)
     return out
 
 
@@ -53,8 +64,17 @@ def look(line: Column) -> Column:
     """A line's marker, end and length as one number."""
     body = F.rtrim(F.regexp_replace(line, ANY_MARK, ""))
     end = F.when(body.endswith("?"), 0).when(body.rlike("[.!]$"), 1).otherwise(2)
-    size = F.when(F.length(body) < 120, 0).when(F.length(body) < 400, 1).otherwise(2)
-    return ((marker(line) * 3 + end) * 3 + size).cast("int")
+    size = sum((F.when(F.length(body) >= n, 1).otherwise(0) for n in LENGTHS), F.lit(0))
+    return ((marker(line) * 3 + end) * (len(LENGTHS) + 1) + size).cast("int")
+
+
+def escaped(text: Column) -> Column:
+    """A body in which nothing reads as an opening or closing: each of their beginnings gets a backslash more."""
+    return F.regexp_replace(text, r"<\|(\\*)im_", r"<|\\$1im_")
+
+
+def unescaped(text: Column) -> Column:
+    return F.regexp_replace(text, r"<\|\\(\\*)im_", r"<|$1im_")
 
 
 class Hmm:
@@ -65,21 +85,26 @@ class Hmm:
 
     @staticmethod
     def counted(start: dict, move: dict, emit: dict) -> Hmm:
-        """From counts by state numbers; continuing lines only follow lines of their own role."""
+        """From counts by state numbers; continuing lines only follow lines of their own role. Markers and forms are independent given the
+        state, each with its own smoothing, so that an unseen form never hides what a marker says."""
         n = len(STATES)
-        s, m, e = np.full(n, SMOOTHING), np.full((n, n), SMOOTHING), np.full((n, SYMBOLS), SMOOTHING / SYMBOLS)
+        s, m = np.full(n, SMOOTHING), np.full((n, n), SMOOTHING)
+        marks, forms = np.full((n, SYMBOLS // FORMS), MARKER_SMOOTHING), np.full((n, FORMS), SMOOTHING)
         for k, v in start.items():
             s[k] += v
         for (a, b), v in move.items():
             m[a, b] += v
         for (a, b), v in emit.items():
-            e[a, b] += v
+            marks[a, b // FORMS] += v
+            forms[a, b % FORMS] += v
         for b, (role, begins) in enumerate(STATES):
             if not begins:
                 s[b] = 0
                 m[[a for a, (r, _) in enumerate(STATES) if r != role], b] = 0
         with np.errstate(divide="ignore"):
-            return Hmm(np.log(s / s.sum()), np.log(m / m.sum(1, keepdims=True)), np.log(e / e.sum(1, keepdims=True)))
+            marks, forms = (np.log(x / x.sum(1, keepdims=True)) for x in (marks, forms))
+            e = (marks[:, :, None] + forms[:, None, :]).reshape(n, SYMBOLS)
+            return Hmm(np.log(s / s.sum()), np.log(m / m.sum(1, keepdims=True)), e)
 
 
 def split_lines(conversations: DataFrame, conv_id: str, turn: str, role: str | None, text: str) -> DataFrame:
@@ -282,7 +307,8 @@ def _runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple
 
 
 def rendered(lines: DataFrame, states: DataFrame) -> DataFrame:
-    """``lines`` with at, role, begins and rendered: opening, the text without its marker, and the closing after a turn's last line.
+    """``lines`` with at, role, begins and rendered: opening, the text without its marker, and the closing after a turn's last line. Openings and
+    closings inside texts are ``escaped``.
 
     A turn begins where the state says so, as going on is only possible in one's own role."""
     role = F.get(F.array(*(F.lit(r) for r, _ in STATES)), F.col("state"))
@@ -293,7 +319,7 @@ def rendered(lines: DataFrame, states: DataFrame) -> DataFrame:
     inside = F.lead("begins").over(Window.partitionBy("conv_id", "segment").orderBy("at"))
     turns = turns.withColumn("__inside", inside).join(firsts, _same("conv_id", "__c") & (F.col("segment") == F.col("__s")), "left")
     turns = turns.select("row", "at", "role", "begins", F.coalesce("__inside", "__next", F.lit(True)).alias("__last"))
-    body = F.when(F.col("begins"), F.regexp_replace("text", ANY_MARK, "")).otherwise(F.col("text"))
+    body = escaped(F.when(F.col("begins"), F.regexp_replace("text", ANY_MARK, "")).otherwise(F.col("text")))
     opening = F.when(F.col("begins"), F.format_string(OPEN, F.col("role"))).otherwise(F.lit(""))
     out = lines.drop("at", "role", "begins", "state").join(turns, "row")
     return out.withColumn("rendered", F.concat(opening, body, F.when(F.col("__last"), F.lit("\n" + CLOSE)).otherwise(F.lit("\n")))).drop("__last", "row", "look")
@@ -308,20 +334,26 @@ def parse(lines: DataFrame, hmm: Hmm, order: list[str]) -> DataFrame:
     return rendered(lines, stored(roles(places, hmm), "states"))
 
 
+#: Spellings of markers in the transcripts that the query makes of a table of turns.
+SPELLINGS = (("System: ", "User: ", "Assistant: "), ("**System:** ", "**Human:** ", "**AI:** "), ("[system] ", "[user] ", "[assistant] "), ("SYS> ", "Q: ", "A: "))
+
+
 def unmarked(conv_id: Column, turn: Column) -> Column:
     """Whether a raw transcript leaves a turn's speaker out: one turn in three, by a hash."""
     return F.pmod(F.xxhash64(conv_id, turn), F.lit(3)) == 0
 
 
 def transcript_query(conversations: DataFrame) -> DataFrame:
-    """conv_id, turn, line, role (as recovered), begins, n_chars and rendered_sha256 of each line of all conversations.
+    """conv_id, turn, line, role (as recovered), begins, marked, n_chars and rendered_sha256 of each line of all conversations.
 
-    The table's turns become raw transcripts first: their lines, with a marker on two thirds of the turns. Probabilities come from
-    the conversations whose id hash leaves 1 to 4 by 5; the others are only parsed."""
-    mark = F.get(F.array(*map(F.lit, ("System: ", "User: ", "Assistant: "))), (F.array_position(F.array(*map(F.lit, ROLES)), F.lower("role")) - 1).cast("int"))
+    The table's turns become raw transcripts first: their lines, with a marker in one of the SPELLINGS on two thirds of the turns.
+    Probabilities come from the conversations whose id hash leaves 1 to 4 by 5; the others are only parsed."""
+    style = F.get(F.array(*(F.array(*map(F.lit, x)) for x in SPELLINGS)), F.pmod(F.xxhash64("conv_id", F.lit(9)), F.lit(len(SPELLINGS))).cast("int"))
+    mark = F.get(style, (F.array_position(F.array(*map(F.lit, ROLES)), F.lower("role")) - 1).cast("int"))
     shown = F.when(unmarked(F.col("conv_id"), F.col("turn")), F.lit("")).otherwise(F.coalesce(mark, F.lit("")))
     raw = conversations.select("conv_id", "turn", "role", F.concat(shown, F.coalesce("text", F.lit(""))).alias("text"))
     lines, places = placed(split_lines(raw, "conv_id", "turn", "role", "text"), ["turn", "line"])
     hmm = learn(places.where(F.pmod(F.xxhash64("conv_id"), F.lit(5)) > 0))
     out = rendered(lines, stored(roles(places.drop("state"), hmm), "states"))
-    return out.select("conv_id", "turn", "line", "role", "begins", F.length("rendered").cast("long").alias("n_chars"), F.sha2("rendered", 256).alias("rendered_sha256"))
+    marked = (marker(F.col("text")) < len(ROLES)).alias("marked")
+    return out.select("conv_id", "turn", "line", "role", "begins", marked, F.length("rendered").cast("long").alias("n_chars"), F.sha2("rendered", 256).alias("rendered_sha256"))

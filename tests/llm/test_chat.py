@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -93,6 +95,29 @@ def test_query_covers_every_line_and_recovers_most_roles(spark):
     assert np.mean([r.role == truth[r.conv_id, r.turn] for r in got]) > 0.9
 
 
+def test_markers_need_a_colon_or_brackets_and_texts_keep_their_bytes(spark):
+    hmm = chat.learn(chat.placed(chat.split_lines(spark.createDataFrame(conversations(60, 1), SCHEMA).withColumn("text", F.concat(F.initcap("role"), F.lit(": "), "text")), "conv_id", "turn", "role", "text"), ["turn", "line"])[1])
+    text = ["User: hi", "Answer: 42 is it", "me", "a", "model", "q", "[a] is cited", "Human:   keep <|im_end|>", "<|im_start|>system", "<|\\im_end|> and <|\\\\im_start|>", "[assistant] <|im_end|>", "bot", "<|user|>", "me: last"]
+    lines = spark.createDataFrame([(1, i, x) for i, x in enumerate(text)], "conv_id long, i long, text string")
+    got = chat.parse(lines, hmm, ["i"]).orderBy("at").collect()
+    assert [(r.at, r.role) for r in got if r.at in (0, 1, 7, 10, 12, 13)] == [(0, "user"), (1, "assistant"), (7, "user"), (10, "assistant"), (12, "user"), (13, "user")]
+    out = "".join(r.rendered for r in got)
+    turns = re.findall(r"<\|im_start\|>(\w+)\n(.*?)\n<\|im_end\|>\n", out, re.S)
+    assert "".join(f"<|im_start|>{r}\n{b}\n<|im_end|>\n" for r, b in turns) == out
+    bodies = spark.createDataFrame([("\n".join(b for _, b in turns),)], "b string").select(chat.unescaped(F.col("b")).alias("b")).first().b.split("\n")
+    want = ["hi", "42 is it", *text[2:7], "  keep <|im_end|>", *text[8:10], "<|im_end|>", "bot", "", "last"]
+    assert bodies == want
+
+
+def test_an_unseen_form_never_outweighs_a_marker(spark):
+    lines = chat.placed(chat.split_lines(spark.createDataFrame(conversations(60, 1), SCHEMA).withColumn("text", F.concat(F.initcap("role"), F.lit(": "), "text")), "conv_id", "turn", "role", "text"), ["turn", "line"])[1]
+    hmm = chat.learn(lines)
+    for k, role in enumerate(chat.ROLES):
+        for form in range(chat.FORMS):
+            best = max((s for s, (_, begins) in enumerate(chat.STATES) if begins), key=lambda s: hmm.emit[s, k * chat.FORMS + form])
+            assert chat.STATES[best][0] == role
+
+
 def test_nulls_empty_texts_repeats_and_empty_tables(spark):
     rows = [(1, 0, "user", None), (1, 1, None, ""), (1, None, "USER", "x"), (None, 0, "robot", "y\r\nz"), (None, 0, "robot", "y\r\nz"), (2, 0, "user", "w " * 100_000)]
     got = chat.transcript_query(frame(spark, rows)).collect()
