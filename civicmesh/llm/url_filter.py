@@ -15,9 +15,9 @@ from .storage import stored
 
 #: (verdict, host, path): a rule fits its host and all subdomains if the url's path starts with the rule's.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
-#: Pseudo-counts of the purity (a quarter of them blocked), votes of a url that no rule fits (for allowing), and the share of blocked
-#: urls from which a template is rejected.
-SMOOTHING, SILENT, REJECT = 2.0, 0.5, 0.5
+#: Pseudo-counts of the purity and how many of them are blocked, and the share of blocked urls from which a template is rejected: it takes
+#: two labels at least.
+SMOOTHING, PRIOR, REJECT = 4.0, 0.25, 0.5
 #: Siblings merge only if their purities differ from their parent's by SIMILAR at most, and their child shares by as much (total
 #: variation) or no more than chance allows: chi-square within DEVIATIONS of its mean.
 SIMILAR, DEVIATIONS = 0.25, 3.0
@@ -53,9 +53,9 @@ def segments(path: Column) -> Column:
     return F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), generalised)
 
 
-def pure(blocked: str, labelled: str, n: str) -> Column:
-    """The smoothed share of blocked urls among the labelled ones and the votes of the others."""
-    return (F.col(blocked) + SMOOTHING * 0.25) / (F.col(labelled) + SILENT * (F.col(n) - F.col(labelled)) + SMOOTHING)
+def pure(blocked: str, labelled: str) -> Column:
+    """The smoothed share of blocked urls among the labelled ones; urls that no rule fits say nothing."""
+    return (F.col(blocked) + SMOOTHING * PRIOR) / (F.col(labelled) + SMOOTHING)
 
 
 def _level(paths: DataFrame, d: int) -> DataFrame:
@@ -73,7 +73,7 @@ def _level(paths: DataFrame, d: int) -> DataFrame:
     k = F.col("k")
     spread = F.sqrt(F.greatest(F.lit(0.0), 2 * (k - 1) + (F.col("inverse") - k * k - 2 * k + 2) / F.col("n0")))
     chance = (F.col("all") * SIMILAR**2 >= 1) & (F.col("chi") - (k - 1) <= DEVIATIONS * spread + 1e-6)  # few urls prove nothing
-    mine, theirs = pure("b0", "l0", "n0"), pure("b", "l", "all")
+    mine, theirs = pure("b0", "l0"), pure("b", "l")
     alike = (F.abs(mine - theirs) <= SIMILAR) & ((mine >= REJECT) == (theirs >= REJECT))
     merged = (F.col("wide") > 1) & alike & (chance | (F.col("inner") & (F.col("apart") <= SIMILAR)))
     named = stored(gaps.join(own, branch).join(whole, node).join(kinds, node).select(*branch, merged.alias("merged")), "url-branches")
@@ -96,22 +96,26 @@ def templates(urls: DataFrame) -> DataFrame:
     return tree.select(*urls.columns, F.concat(F.array_join("tail", "/"), short).alias("template"))
 
 
-def judge(pages: DataFrame, url: str = "url", rules: tuple[tuple[str, str, str], ...] = RULES) -> DataFrame:
-    """``pages`` with host, path, rule, template and verdict (allow or block); its own columns of these names give way.
+def judge(pages: DataFrame, url: str = "url", rules: tuple[tuple[str, str, str], ...] = RULES, teaches: Column | None = None) -> DataFrame:
+    """``pages`` with host, path, rule, template, learned and verdict (allow or block); its own columns of these names give way.
 
+    ``learned`` is what the url's template alone says, ``verdict`` the rule's word or else that. ``teaches`` (of columns of ``pages``): urls
+    whose rules label their templates, all by default.
     Null urls and ones without ``://`` have empty host and path and are judged like any other: no rule fits, and their template has
     no labels, so they are allowed. Repeated rows stay and count each."""
-    rest = [F.col(f"`{c}`") for c in pages.columns if c not in ("host", "path", "rule", "template", "verdict")]
+    rest = [F.col(f"`{c}`") for c in pages.columns if c not in ("host", "path", "rule", "template", "learned", "verdict")]
     host, path = parse(F.col(f"`{url}`"))
-    parsed = pages.select(*rest, host.alias("host"), path.alias("path"))
+    parsed = pages.select(*rest, host.alias("host"), path.alias("path"), F.coalesce(F.lit(True) if teaches is None else teaches, F.lit(False)).alias("__teaches"))
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
     parsed = parsed.withColumns({"rule": name, "__label": verdict, "__segs": segments(F.col("path"))})
     # the tree has a row for each host and generalised path: counted before anything is shuffled by host
-    counts = stored(parsed.groupBy("host", F.col("__segs").alias("segs")).agg(F.count("*").alias("n"), F.count("__label").alias("labelled"), F.count(F.when(F.col("__label") == "block", 1)).alias("blocked")), "url-counts")
+    label = F.when(F.col("__teaches"), F.col("__label"))
+    sums = {"n": F.count("*"), "labelled": F.count(label), "blocked": F.count(F.when(label == "block", 1))}
+    counts = stored(parsed.groupBy("host", F.col("__segs").alias("segs")).agg(*(v.alias(k) for k, v in sums.items())), "url-counts")
     tree = stored(templates(counts), "url-templates")
-    sums = tree.groupBy("host", "template").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "blocked")])
-    purity = sums.select("host", "template", (pure("blocked", "labelled", "n") >= REJECT).alias("__bad"))
+    whole = tree.groupBy("host", "template").agg(*[F.sum(c).alias(c) for c in sums])
+    purity = whole.select("host", "template", (pure("blocked", "labelled") >= REJECT).alias("__bad"))
     judged = tree.join(purity, ["host", "template"]).select(F.col("host").alias("__host"), F.col("segs").alias("__path"), "template", "__bad")
     out = parsed.join(judged, (F.col("host") == F.col("__host")) & (F.col("__segs") == F.col("__path")), "left")
-    final = F.coalesce("__label", F.when(F.col("__bad"), F.lit("block")).otherwise(F.lit("allow")))
-    return out.select(*rest, "host", "path", "rule", "template", final.alias("verdict"))
+    learned = F.when(F.col("__bad"), F.lit("block")).otherwise(F.lit("allow"))
+    return out.select(*rest, "host", "path", "rule", "template", learned.alias("learned"), F.coalesce("__label", learned).alias("verdict"))

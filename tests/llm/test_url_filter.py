@@ -1,3 +1,6 @@
+import random
+import zlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,6 +86,82 @@ def test_branches_below_the_second_level_are_judged_apart(spark):
     assert got["http://deep.org/en/news/sport/45"] == ("allow", "en/news/sport/*")
 
 
+def plain_tree(urls):
+    """The template of each (host, path of generalised segments), from counts (n, labelled, blocked), by plain loops."""
+    tail = {key: [] for key in urls}
+    pure = lambda rows: (sum(urls[r][2] for r in rows) + 1.0) / (sum(urls[r][1] for r in rows) + 4.0)
+    size = lambda rows: sum(urls[r][0] for r in rows)
+    for d in reversed(range(max((len(p) for _, p in urls), default=0))):
+        parents = {}
+        for host, path in urls:
+            if len(path) > d:
+                parents.setdefault((host, path[:d]), {}).setdefault(path[d], []).append((host, path))
+        for branches in parents.values():
+            rows = [r for b in branches.values() for r in b]
+            pool = {}
+            for r in rows:
+                child = tail[r][0] if tail[r] else ""
+                pool[child] = pool.get(child, 0) + urls[r][0]
+            names = {}
+            for seg, own in branches.items():
+                share = {}
+                for r in own:
+                    child = tail[r][0] if tail[r] else ""
+                    share[child] = share.get(child, 0) + urls[r][0] / size(own)
+                p = {c: m / size(rows) for c, m in pool.items()}
+                apart = sum(abs(share.get(c, 0) - x) for c, x in p.items()) / 2
+                chi = size(own) * (sum(q * q / p[c] for c, q in share.items()) - 1)
+                k, inverse = len(pool), size(rows) * sum(1 / m for m in pool.values())
+                spread = max(0.0, 2 * (k - 1) + (inverse - k * k - 2 * k + 2) / size(own)) ** 0.5
+                chance = size(rows) * 0.25**2 >= 1 and chi - (k - 1) <= 3 * spread + 1e-6
+                mine, theirs = pure(own), pure(rows)
+                alike = abs(mine - theirs) <= 0.25 and (mine >= 0.5) == (theirs >= 0.5)
+                names[seg] = len(branches) > 1 and alike and (chance or (any(c for c in share) and apart <= 0.25))
+            wild = "**" if "*" in names and not names["*"] else "*"
+            for seg, own in branches.items():
+                for r in own:
+                    tail[r] = [wild if names[seg] else seg, *tail[r]]
+    return {r: "/".join(t) + "/" * (len(r[1]) < 2) for r, t in tail.items()}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_the_tree_equals_a_plain_one_on_paths_of_any_depth(spark, seed):
+    rng = random.Random(seed)
+    words = [["a", "b"], ["news", "shop", "spam", "*"], ["x", "y", "z", "*"], ["p", "*"], ["q", "r"], ["s"], ["t", "u"], ["v", "*"]]
+    urls = {}
+    for _ in range(600):
+        path = tuple(rng.choice(w) for w in words[: rng.randint(0, 8)])
+        bad = "spam" in path and rng.random() < 0.9
+        n, labelled, blocked = urls.get(key := (rng.choice(["one.org", "two.net"]), path), (0, 0, 0))
+        told = rng.random() < 0.5
+        urls[key] = n + 1, labelled + told, blocked + (told and bad)
+    rows = [(h, list(p), *map(int, c)) for (h, p), c in urls.items()]
+    df = spark.createDataFrame(rows, "host string, segs array<string>, n long, labelled long, blocked long").repartition(3)
+    got = {(r.host, tuple(r.segs)): r.template for r in url_filter.templates(df).collect()}
+    assert got == plain_tree(urls)
+
+
+def test_hidden_labels_are_found_again(spark):
+    rng = random.Random(5)
+    urls = []
+    for host in ("one.org", "two.org", "sub.three.org"):
+        for branch, n in (("news", 60), ("blog", 40), ("ads", 50), ("track", 30)):
+            urls += [f"http://{host}/en/{branch}/{rng.choice(['x', 'y'])}/page{i}.html" for i in range(n)]
+    rules = [(what, "org", f"/en/{b}/") for what, b in (("block", "ads"), ("block", "track"), ("allow", "news"))]
+    df = frame(spark, urls)
+    got = url_filter.judge(df, rules=tuple(rules), teaches=F.pmod(F.crc32("url"), F.lit(5)) > 0).collect()
+    hidden = [r for r in got if r.rule and zlib.crc32(r.url.encode()) % 5 == 0]
+    assert len(hidden) > 50 and all(r.learned == r.verdict for r in hidden)
+    assert all(r.verdict == "allow" for r in got if "/blog/" in r.url)
+
+
+def test_silent_urls_neither_block_nor_free_a_template(spark):
+    rules = (("block", "site.org", "/a/1"),)
+    urls = [f"http://site.org/a/1{i}" for i in range(10)] + [f"http://site.org/a/2{i}" for i in range(40)] + ["http://site.org/b/3"]
+    got = {r.url: r.verdict for r in url_filter.judge(frame(spark, urls), rules=rules).collect()}
+    assert all(got[u] == "block" for u in urls[:50]) and got[urls[50]] == "allow"
+
+
 def test_repeated_rows_stay_and_empty_tables_are_empty(spark):
     assert url_filter.judge(frame(spark, ["http://a.com/x"] * 7)).count() == 7
     assert url_filter.judge(frame(spark, [])).count() == 0
