@@ -1,14 +1,16 @@
 """WARC (9): writing archives, and a sequential reader.
 
-Each record is a gzip member of its own: WARC/1.1 headers, a block of Content-Length bytes, two line ends.
-Equal payloads are stored once; the others are revisits that name the stored record. Spark's text sink writes the
+Each record is a gzip member of its own: WARC/1.1 headers, a block of Content-Length bytes, two line ends. A response's
+block is an HTTP head and the payload, a revisit's the head alone. Equal payloads are stored once; the others are
+revisits that name the stored record. Spark's text sink writes the
 members, so any file system that Spark reaches will do: the sink ends each row with a separator, and a member's
 last byte (the high byte of the size in its trailer) is that separator. Records are therefore written in classes
 by that byte: zero for all records below 16 MiB.
 
-The reader takes one file at a time and inflates it in steps: a member after the other, headers first, then as many
-bytes as Content-Length says, and checks the digests. It never holds more than a record besides the file's
-compressed bytes, and a file has FILE_RECORDS records at most.
+Files are bounded by bytes: records are also classed by payload size, and a class's files have as many records as
+FILE_BYTES of its largest allow. The reader takes one file at a time and inflates it in steps: a member after the other,
+headers first, then as many bytes as Content-Length says, and checks the digests. It never holds more than a record
+besides the file's compressed bytes.
 """
 
 from __future__ import annotations
@@ -22,11 +24,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import new_path, stored
+from .storage import ROW, new_path, numbered, small, stored
 from .text_batches import pieces
 
-#: Records of a file at most, and payloads from which equal ones become revisits.
-FILE_RECORDS, REVISIT_FROM = 10_000, 100
+#: Bytes of payload in a file at most (a longer one is alone in its file), records of a file at most, payload size of the smallest
+#: class and how many times larger each next one is.
+FILE_BYTES, FILE_RECORDS, CLASS_BYTES, CLASS_STEP = 64 << 20, 10_000, 4096, 4
+#: Payloads from which equal ones become revisits, and copies of one payload from which its first record is broadcast to them.
+REVISIT_FROM, HOT = 100, 1000
 #: Fixed values of the format.
 VERSION, END, PROFILE = b"WARC/1.1\r\n", b"\r\n\r\n", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 STEP = 1 << 16
@@ -36,21 +41,32 @@ class DigestError(ValueError):
     """A record's bytes are not what its headers say."""
 
 
-def record_id(key: int | str) -> str:
-    return f"<urn:civicmesh:page:{key}>"
+def record_id(page_id: int | None, row: int) -> str:
+    """A record's name: its page and the number of its row, as pages may repeat or have no id."""
+    return f"<urn:civicmesh:page:{'' if page_id is None else page_id}:{row}>"
 
 
-def record(key: int, url: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """The bytes of a record before compression; a revisit has no block but names the payload's digest and size."""
+def page_of(name: str) -> int | None:
+    page_id = name.split(":")[3]
+    return int(page_id) if page_id else None
+
+
+def http_head(n: int) -> bytes:
+    return b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % n
+
+
+def record(name: str, url: str | None, payload: bytes, digest: str, refers_to: str | None) -> bytes:
+    """The bytes of a record before compression."""
     revisit = refers_to is not None
-    block = b"" if revisit else payload
-    url = "".join(c if c.isprintable() and c != " " else "%" + c.encode().hex() for c in url or "urn:none")
+    block = http_head(len(payload)) + (b"" if revisit else payload)
+    url = "".join(c if c.isprintable() and c != " " else "".join(f"%{b:02X}" for b in c.encode()) for c in url or "urn:none")
     headers = {
-        "WARC-Type": "revisit" if revisit else "response", "WARC-Record-ID": record_id(key), "WARC-Date": "2024-01-01T00:00:00Z", "WARC-Target-URI": url,
-        "WARC-Payload-Digest": f"sha256:{digest}", "WARC-Block-Digest": f"sha256:{hashlib.sha256(block).hexdigest()}", "Content-Type": "text/html; charset=utf-8", "Content-Length": str(len(block)),
+        "WARC-Type": "revisit" if revisit else "response", "WARC-Record-ID": name, "WARC-Date": "2024-01-01T00:00:00Z", "WARC-Target-URI": url,
+        "WARC-Payload-Digest": f"sha256:{digest}", "WARC-Block-Digest": f"sha256:{hashlib.sha256(block).hexdigest()}",
+        "Content-Type": "application/http; msgtype=response", "Content-Length": str(len(block)),
     }
     if revisit:
-        headers |= {"WARC-Profile": PROFILE, "WARC-Refers-To": record_id(refers_to), "X-Payload-Length": str(len(payload))}
+        headers |= {"WARC-Profile": PROFILE, "WARC-Refers-To": refers_to}
     return VERSION + "".join(f"{k}: {v}\r\n" for k, v in headers.items()).encode() + b"\r\n" + block + END
 
 
@@ -131,86 +147,121 @@ def read_records(data: bytes | memoryview) -> Iterator[tuple[dict[str, str], byt
 
 
 def _digest(html: Column) -> Column:
-    return F.sha2(F.encode(F.coalesce(html, F.lit("")), "UTF-8"), 256)
+    return F.sha2(F.encode(html, "UTF-8"), 256)
+
+
+def size_class(n: Column) -> Column:
+    """The number of the size class of a payload: CLASS_STEP ** number times CLASS_BYTES is its most."""
+    return F.ceil(F.log(F.greatest(n / CLASS_BYTES, F.lit(1.0))) / F.log(F.lit(float(CLASS_STEP))) - 1e-12).cast("int")
+
+
+def _with_first(rows: DataFrame) -> DataFrame:
+    """The rows with ``first`` and ``first_row``, page and row of the stored record, where they are revisits."""
+    order = F.struct("page_id", ROW)
+    known = rows.where((F.col("bytes") >= REVISIT_FROM) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min(order).alias("f"))
+    copies = rows.where(F.col("bytes") >= REVISIT_FROM).groupBy("digest").agg(F.count("*").alias("n")).where("n > 1")
+    twice = copies.join(known, "digest").select(F.unhex("digest").alias("__digest"), "n", F.col("f.page_id").alias("first"), F.col(f"f.{ROW}").alias("first_row"))
+    twice = stored(twice, "warc-copies")
+    hot = F.broadcast(twice.where(F.col("n") > HOT).select(F.col("__digest").alias("__hot"), F.col("first").alias("f1"), F.col("first_row").alias("r1")))  # a row for each HOT pages at most
+    rest = small(stored(twice.where(F.col("n") <= HOT).select(F.col("__digest").alias("__rest"), F.col("first").alias("f2"), F.col("first_row").alias("r2")), "warc-rare-copies"))
+    out = rows.join(hot, F.unhex("digest") == F.col("__hot"), "left")
+    # rows that are served already meet the other join under keys of their own, spread over all its tasks
+    key = F.when(F.col("__hot").isNull(), F.unhex("digest")).otherwise(F.col(ROW).cast("string").cast("binary"))
+    out = out.join(rest, key == F.col("__rest"), "left").withColumns({"first": F.coalesce("f1", "f2"), "first_row": F.coalesce("r1", "r2")})
+    revisits = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
+    return out.select(*rows.columns, F.when(revisits, F.col("first")).alias("first"), F.when(revisits, F.col("first_row")).alias("first_row"))
 
 
 def write(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html") -> list[str]:
     """Archives below ``path`` with a record for each row of ``pages``; gives their folders.
 
     Null html is an empty payload and null urls are written as ``urn:none``. Of equal payloads of REVISIT_FROM bytes or more the one with
-    the smallest page_id is stored. Rows with null page_id are refused, as a record needs a name; repeated rows are written each."""
-    rows = pages.select(F.col(f"`{page_id}`").cast("long").alias("page_id"), F.col(f"`{url}`").alias("url"), F.coalesce(F.col(f"`{html}`"), F.lit("")).alias("html")).where(F.col("page_id").isNotNull())
-    narrow = stored(rows.select("page_id", F.octet_length("html").alias("bytes"), _digest(F.col("html")).alias("digest")), "warc-digests")
-    twice = narrow.where(F.col("bytes") >= REVISIT_FROM).groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last")
-    revisits = stored(narrow.join(twice.select("digest", "first"), "digest").where("page_id > first").select(F.col("page_id").alias("__id"), F.col("digest").alias("__digest"), "first").distinct(), "warc-revisits")
-    longest = narrow.agg(F.max("bytes").alias("longest")).first()["longest"] or 0
-    n = revisits.count()
-    small = F.broadcast(revisits) if n <= 200_000 else revisits  # about 100 bytes a row
-    # a payload's digest is part of the key: repeated ids may have different payloads
-    keyed = rows.withColumn("digest", _digest(F.col("html")))
-    keyed = keyed.join(small, (F.col("page_id") == F.col("__id")) & (F.col("digest") == F.col("__digest")), "left").select("page_id", "url", "digest", "first", "html")
+    the smallest page_id is stored; rows that repeat that page are stored each, under names of their own. Rows with null page_id are
+    records without a page, and revisits only of a page that has an id."""
+    rows = pages.select(F.col(f"`{page_id}`").cast("long").alias("page_id"), F.col(f"`{url}`").alias("url"), F.coalesce(F.col(f"`{html}`"), F.lit("")).alias("html"))
+    rows = numbered(rows.withColumns({"bytes": F.octet_length("html"), "digest": _digest(F.col("html"))}), "warc-pages")
+    keyed = _with_first(rows).withColumns({"class": size_class(F.col("bytes")), "html": F.encode("html", "UTF-8")})
+    keyed = keyed.select("class", "page_id", ROW, "url", "digest", "first", "first_row", "html")
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch, 4):
+            for piece in pieces(batch, 7):
                 out, kinds = [], []
-                for key, link, digest, first, text in zip(*(c.to_pylist() for c in piece.columns), strict=True):
-                    data = member(record(key, link, text, digest, first))
+                for _, page, row, link, digest, first, first_row, payload in zip(*(c.to_pylist() for c in piece.columns), strict=True):
+                    refers_to = None if first is None else record_id(first, first_row)
+                    data = member(record(record_id(page, row), link, payload, digest, refers_to))
                     kinds.append(data[-1])
                     out.append(data[:-1])
                 yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(out, pa.binary())], names=["kind", "member"])
 
-    made = keyed.withColumn("html", F.encode("html", "UTF-8")).mapInArrow(members, "kind int, member binary")
     folders = []
-    highest = (longest + 4096) >> 24
-    if highest:
-        made = stored(made, "warc-members")
-        kinds = sorted(r["kind"] for r in made.select("kind").distinct().collect())  # 128 at most
-    else:
+    for r in rows.groupBy(size_class(F.col("bytes")).alias("class")).agg(F.max("bytes").alias("longest")).orderBy("class").collect():  # a few classes
+        part = keyed.where(F.col("class") == r["class"]).mapInArrow(members, "kind int, member binary")
+        most = CLASS_BYTES * CLASS_STEP ** r["class"]
         kinds = [0]
-    for kind in kinds:
-        folders.append(f"{path}/kind-{kind}")
-        part = made.where(F.col("kind") == kind) if highest else made
-        part = part.select(F.col("member").cast("string").alias("value"))
-        part.write.option("lineSep", chr(kind)).option("maxRecordsPerFile", FILE_RECORDS).text(folders[-1])
+        if (r["longest"] + 4096) >> 24:
+            part = stored(part, "warc-members")
+            kinds = sorted(x["kind"] for x in part.select("kind").distinct().collect())  # 128 at most
+        for kind in kinds:
+            folders.append(f"{path}/class-{r['class']}-{kind}")
+            of = part.where(F.col("kind") == kind) if len(kinds) > 1 else part
+            sink = of.select(F.col("member").cast("string").alias("value")).write.option("lineSep", chr(kind))
+            sink.option("maxRecordsPerFile", max(1, min(FILE_RECORDS, FILE_BYTES // most))).text(folders[-1])
     return folders
 
 
 RECORD = T.StructType(
-    [T.StructField("page_id", T.LongType()), T.StructField("payload_bytes", T.LongType()), T.StructField("payload_digest", T.StringType()), T.StructField("record_type", T.StringType()), T.StructField("refers_to", T.LongType()), T.StructField("payload", T.BinaryType())]
-)
+    [
+        T.StructField("page_id", T.LongType()), T.StructField("payload_bytes", T.LongType()), T.StructField("payload_digest", T.StringType()),
+        T.StructField("record_type", T.StringType()), T.StructField("refers_to", T.LongType()), T.StructField("payload", T.BinaryType()),
+    ]
+)
 
 
-def read(spark, folders: list[str], payloads: bool = True) -> DataFrame:
-    """The records of all files in ``folders``; digests are of the payload as read for responses and as named for revisits."""
-    files = spark.read.format("binaryFile").load(folders).select("content")
+def payload_of(block: bytes) -> tuple[int, bytes]:
+    """The payload's length as the HTTP head of a block says, and what follows the head."""
+    head, mark, body = block.partition(END)
+    lengths = [int(x.partition(b":")[2]) for x in head.split(b"\r\n")[1:] if x.lower().startswith(b"content-length:")]
+    if not mark or len(lengths) != 1:
+        raise DigestError("a block does not begin with an HTTP head")
+    return lengths[0], body
+
 
-    def number(name: str) -> int:
-        return int(name.rpartition(":")[2].rstrip(">"))
+def row_of(headers: dict[str, str], block: bytes) -> tuple:
+    """RECORD's values of a record; digests are of the payload as read for responses and as named for revisits."""
+    name, named = headers["warc-record-id"], headers["warc-payload-digest"].removeprefix("sha256:")
+    size, body = payload_of(block)
+    if headers["warc-type"] == "revisit":
+        return page_of(name), size, named, "revisit", page_of(headers["warc-refers-to"]), b""
+    if len(body) != size or hashlib.sha256(body).hexdigest() != named:
+        raise DigestError(f"wrong payload digest in {name}")
+    return page_of(name), size, named, "response", None, body
 
+
+def read(spark, folders: list[str], payloads: bool = True) -> DataFrame:
+    """The records of all files in ``folders``, in no order."""
+    if not folders:
+        return spark.createDataFrame([], RECORD if payloads else T.StructType(RECORD.fields[:-1]))
+    files = spark.read.format("binaryFile").load(folders).select("content")
     schema = RECORD if payloads else T.StructType(RECORD.fields[:-1])
+    arrow = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())] + [("payload", pa.binary())] * payloads)
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(arrow)], schema=arrow)
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
                 rows, size = [], 0
-                for h, block in read_records(memoryview(content.as_buffer())):
-                    named = h["warc-payload-digest"].removeprefix("sha256:")
-                    if h["warc-type"] == "revisit":
-                        row = (number(h["warc-record-id"]), int(h["x-payload-length"]), named, "revisit", number(h["warc-refers-to"]), b"")
-                    else:
-                        if (digest := hashlib.sha256(block).hexdigest()) != named:
-                            raise DigestError(f"wrong payload digest in {h['warc-record-id']}")
-                        row = (number(h["warc-record-id"]), len(block), digest, "response", None, block)
-                    rows.append(row if payloads else row[:-1])
-                    size += len(block)
+                for headers, block in read_records(memoryview(content.as_buffer())):
+                    rows.append(row_of(headers, block))
+                    size += len(block) if payloads else 0
                     if size > STEP * 64 or len(rows) >= 10_000:
-                        yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema=arrow)
+                        yield made(rows)
                         rows, size = [], 0
                 if rows:
-                    yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema=arrow)
+                    yield made(rows)
 
-    arrow = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())] + [("payload", pa.binary())] * payloads)
     return files.mapInArrow(records, schema)
 
 

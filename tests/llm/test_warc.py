@@ -41,16 +41,42 @@ def test_what_is_written_is_read_back(spark):
 
 def test_many_files_and_large_records(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(warc, "FILE_RECORDS", 3)
+    monkeypatch.setattr(warc, "HOT", 2)  # three copies of a payload: broadcast; two: joined by hash
     rows = ROWS + [(20, "z" * (17 << 20)), (21, "z" * (17 << 20))]  # over 16 MiB: another last byte
     folders = warc.write(frame(spark, rows), f"file://{tmp_path}/w")
-    assert len(folders) == 2
+    assert {f.rpartition("/")[2] for f in folders} == {"class-0-0", "class-5-0", "class-7-0", "class-7-1"}
     assert {tuple(r) for r in warc.read(spark, folders, payloads=False).collect()} == plain(rows)
 
 
 def test_repeated_rows_and_missing_ids(spark):
     rows = [(1, "q" * 200), (1, "q" * 200), (2, "q" * 200), (2, "r" * 200)]
-    got = sorted((r.page_id, r.record_type, r.refers_to is None) for r in warc.archive(frame(spark, rows + [(None, "s" * 200)])).collect())
-    assert got == [(1, "response", True), (1, "response", True), (2, "response", True), (2, "revisit", False)]
+    got = sorted(((r.page_id, r.record_type, r.refers_to is None) for r in warc.archive(frame(spark, rows + [(None, "s" * 200)])).collect()), key=lambda x: (x[0] is None, str(x)))
+    # the row without an id is a record, too
+    assert got[:-1] == [(1, "response", True), (1, "response", True), (2, "response", True), (2, "revisit", False)] and tuple(got[-1])[1:] == ("response", True)
+
+
+def test_missing_ids_and_names_of_records(spark):
+    rows = [(None, "q" * 200), (None, "q" * 200), (4, "q" * 200), (4, "q" * 200), (7, "q" * 200), (None, "s" * 200), (None, "s" * 200), (None, None)]
+    folders = warc.write(frame(spark, rows), f"{warc.new_path(spark, 'names')}")
+    got = sorted(warc.read(spark, folders).collect(), key=str)
+    assert sorted((str(r.page_id), r.record_type, r.refers_to) for r in got) == sorted(
+        [("4", "response", None)] * 2 + [("7", "revisit", 4)] + [("None", "revisit", 4)] * 2 + [("None", "response", None)] * 3, key=str
+    )
+    names, aims = [], []
+    for r in spark.read.format("binaryFile").load(folders).select("content").collect():
+        for h, _ in warc.read_records(r.content):
+            names.append(h["warc-record-id"])
+            aims += [h["warc-refers-to"]] if "warc-refers-to" in h else []
+    assert len(names) == len({*names}) == len(rows) and {*aims} <= {*names} and len(aims) == 3
+
+
+def test_files_are_bounded_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 1 << 20)
+    rows = [(i, f"{i} " * 20_000) for i in range(40)] + [(100 + i, f"{i}") for i in range(500)]
+    folders = warc.write(frame(spark, rows).coalesce(1), f"{warc.new_path(spark, 'bounded')}")
+    files = spark.read.format("binaryFile").load(folders).select("content").collect()
+    sizes = [sum(warc.payload_of(b)[0] for _, b in warc.read_records(r.content)) for r in files]
+    assert len(sizes) >= 4 and max(sizes) <= 1 << 20
 
 
 def test_empty_table(spark):
@@ -58,23 +84,24 @@ def test_empty_table(spark):
 
 
 def members(*payloads):
-    return [warc.member(warc.record(i, f"http://x/{i}", p, hashlib.sha256(p).hexdigest(), None)) for i, p in enumerate(payloads)]
+    return [warc.member(warc.record(warc.record_id(i, i), f"http://x/{i}", p, hashlib.sha256(p).hexdigest(), None)) for i, p in enumerate(payloads)]
 
 
 def test_reader_takes_one_member_after_the_other():
     made = members(b"", b"one", b"two" * 100_000)
     got = [*warc.read_records(b"".join(made))]
-    assert [b for _, b in got] == [b"", b"one", b"two" * 100_000]
+    assert [warc.payload_of(b) for _, b in got] == [(0, b""), (3, b"one"), (300_000, b"two" * 100_000)]
     assert all(h["content-length"] == str(len(b)) for h, b in got)
     assert gzip.decompress(made[1]).startswith(b"WARC/1.1\r\nWARC-Type: response\r\n")
     assert [*warc.read_records(b"")] == []
 
 
 def damaged():
-    one = warc.record(1, "http://x/", b"payload", hashlib.sha256(b"payload").hexdigest(), None)
+    one = warc.record(warc.record_id(1, 1), "http://x/", b"payload", hashlib.sha256(b"payload").hexdigest(), None)
     yield "digest", warc.member(one.replace(b"payload\r\n\r\n", b"pAyload\r\n\r\n"))
-    yield "shorter", warc.member(one.replace(b"Content-Length: 7", b"Content-Length: 70"))
-    yield "two line ends", warc.member(one.replace(b"Content-Length: 7", b"Content-Length: 6"))
+    n = len(warc.http_head(7)) + 7
+    yield "shorter", warc.member(one.replace(b"Content-Length: %d" % n, b"Content-Length: %d" % (n + 70)))
+    yield "two line ends", warc.member(one.replace(b"Content-Length: %d" % n, b"Content-Length: %d" % (n - 1)))
     yield "cut off", warc.member(one)[:-12]
     yield "does not begin", warc.member(b"HTTP/1.1 200\r\n\r\n")
     yield "longer", warc.member(one + b"more")
