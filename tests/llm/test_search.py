@@ -50,15 +50,60 @@ def test_top_k_repeated_ids_empty_table_and_few_rows(spark):
     assert top_k.top_k(frame(spark, [(50, [1.0])])).count() == 0
 
 
-def test_threshold_stops_early_and_is_exact():
+def want_top(rows, q, k=5):
+    scores = [sum(int(a) * int(b) for a, b in zip(x, q, strict=True)) for x in rows]
+    return sorted((-s, i) for i, s in enumerate(scores))[:k]
+
+
+def found_top(found, j):
+    q, c, s, _ = found
+    return [(-int(x), int(i)) for x, i in zip(s[q == j], c[q == j], strict=True)]
+
+
+def test_threshold_stops_before_all_rows_are_seen_and_is_exact():
     rng = np.random.default_rng(2)
-    rows = np.floor(rng.exponential(size=(3000, 3)) ** 3 * 256)
-    q = np.floor(rng.exponential(size=(20, 3)) * 256)
-    ids = np.arange(3000)
-    qi, c, s = top_k.threshold_search(ids, rows, -np.ones(20, int), q, 5)
-    for j in range(20):
-        want = sorted((-(rows[i] @ q[j]), i) for i in range(3000))[:5]
-        assert sorted(zip((-s[qi == j]).tolist(), c[qi == j].tolist(), strict=True)) == want
+    rows = np.floor(rng.exponential(size=(3000, 3)) ** 3 * 256).astype(np.int64)
+    q = np.floor(rng.exponential(size=(20, 3)) * 256).astype(np.int64)
+    found = top_k.threshold_search(np.arange(3000), rows, -np.ones(20, int), q, 5)
+    assert all(found_top(found, j) == want_top(rows, q[j]) for j in range(20))
+    assert found[3] < 1500
+
+
+def test_lists_in_principal_directions_stop_early_where_few_directions_matter():
+    rng = np.random.default_rng(3)
+    rows = np.floor(256 * (rng.normal(size=(4000, 3)) @ rng.normal(size=(3, 64)) + 0.001 * rng.normal(size=(4000, 64)))).astype(np.int64)
+    found = top_k.threshold_search(np.arange(4000), rows, np.arange(0, 10), rows[:10], 5)
+    for j in range(10):
+        others = np.delete(rows, j, 0)
+        assert [(x, i - (i > j)) for x, i in found_top(found, j)] == want_top(others, rows[j])
+    assert found[3] < 3000
+
+
+def test_a_score_from_elsewhere_stops_a_block_of_low_rows_at_once():
+    rng = np.random.default_rng(4)
+    low, q = rng.integers(0, 10, (2000, 8)), rng.integers(50, 100, (5, 8))
+    assert top_k.threshold_search(np.arange(2000), low, -np.ones(5, int), q, 5, np.full(5, 1e6))[3] == 0
+    floors = np.array([-want_top(low, x)[4][0] for x in q], float)  # equal scores may still enter by smaller ids
+    found = top_k.threshold_search(np.arange(2000), low, -np.ones(5, int), q, 5, floors)
+    assert all(found_top(found, j) == want_top(low, q[j]) for j in range(5))
+
+
+@pytest.mark.parametrize("size", [1 << 20, 1 << 27, 1 << 33])
+def test_large_components_are_summed_exactly(size):
+    rng = np.random.default_rng(5)
+    rows, q = rng.integers(size - 50, size, (200, 16)), rng.integers(size - 50, size, (4, 16))
+    found = top_k.threshold_search(np.arange(200), rows, -np.ones(4, int), q, 5)
+    assert all(found_top(found, j) == want_top(rows, q[j]) for j in range(4))
+
+
+def test_large_components_end_to_end(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, (1e6 + rng.integers(0, 3, 4)).astype(float).tolist()) for i in range(120)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = {(r.query_id, r["rank"]): (-r.score, r.vec_id) for r in top_k.top_k(df, block=50, batch=2).collect()}
+    for q in (0, 50, 100):
+        scores = sorted((-sum(int(256 * a) * int(256 * b) for a, b in zip(v, rows[q][1], strict=True)), i) for i, v in rows if i != q)
+        assert [got[q, r] for r in range(1, 6)] == scores[:5]
 
 
 def plain_nearest(rows, k=5, every=50):
@@ -79,30 +124,14 @@ def test_nearest_over_small_tables_is_exact(spark):
     assert {q: [x[1:] for x in sorted(v)] for q, v in got.items()} == {q: v for q, v in want.items()}
 
 
-def test_recall_and_windows(spark):
-    rng = np.random.default_rng(5)
-    x = rng.normal(size=(6000, 32)).astype(np.float32)
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
-    got = {}
-    for r in neighbours.nearest(df).collect():
-        got.setdefault(r.query_id, set()).add(r.vec_id)
-    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
-    hit = 0
-    for q in range(0, 6000, 50):
-        s = u @ u[q]
-        s[q] = -9
-        hit += len(got[q] & {*np.argsort(-s)[:5].tolist()})
-    assert hit / (120 * 5) >= 0.9
-
-
-def recall(spark, x, queries, **how):
-    """The share of the five best cosines that ``nearest`` finds for the queries, by brute force."""
+def recall(spark, x, every=50, plan=None):
+    """The share of the five best cosines that ``nearest`` finds, by brute force; ties count."""
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
     got = {}
-    for r in neighbours.nearest(df, **how).collect():
+    for r in neighbours.nearest(df, every=every, plan=plan).collect():
         got.setdefault(r.query_id, []).append(r.score)
-    u = x / np.abs(x).max(1, keepdims=True)
-    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    u = neighbours._directions(x)
+    queries = range(0, len(x), every)
     hit = 0
     for q in queries:
         s = u @ u[q]
@@ -111,18 +140,62 @@ def recall(spark, x, queries, **how):
     return hit / (5 * len(queries))
 
 
+def used(monkeypatch):
+    """The plans that ``nearest`` fits."""
+    plans, fit = [], neighbours.fitted
+    monkeypatch.setattr(neighbours, "fitted", lambda *a: plans.append(fit(*a)) or plans[-1])
+    return plans
+
+
+def share(plan, n):
+    """Rows that a query is compared with at most, as a share of the table."""
+    return plan.curves * (2 * plan.reach + 1) * plan.block / n
+
+
+def test_clustered_vectors_need_a_small_part_of_the_table(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    x = np.repeat(rng.normal(size=(500, 24)), 40, axis=0) + 0.3 * rng.normal(size=(20_000, 24))
+    plans = used(monkeypatch)
+    assert recall(spark, rng.permutation(x), every=100) >= 0.9
+    assert share(plans[0], 20_000) < 0.25
+
+
 def test_recall_does_not_depend_on_norms(spark):
     rng = np.random.default_rng(6)
-    x = rng.normal(size=(6000, 8)) * 10.0 ** rng.uniform(-5, 5, (6000, 1))
-    assert recall(spark, x, range(0, 6000, 50), window=32) >= 0.9
+    assert recall(spark, rng.normal(size=(6000, 8)) * 10.0 ** rng.uniform(-5, 5, (6000, 1))) >= 0.9
 
 
-@pytest.mark.parametrize("share, width", [(3, 1e-2), (3, 1e-6), (10, 1e-4)])
-def test_recall_inside_a_tight_cluster(spark, share, width):
+@pytest.mark.parametrize("part, width", [(3, 1e-6), (10, 1e-4)])
+def test_recall_inside_a_tight_cluster(spark, part, width):
     rng = np.random.default_rng(7)
     x = rng.normal(size=(6000, 8))
-    x[::share] = x[0] + width * rng.normal(size=x[::share].shape)
-    assert recall(spark, x, range(0, 6000, 50 * share), every=50 * share, window=32) >= 0.9
+    x[::part] = x[0] + width * rng.normal(size=x[::part].shape)
+    assert recall(spark, x, every=50 * part) >= 0.9
+
+
+def test_collinear_vectors_tie_by_id(spark):
+    rng = np.random.default_rng(10)
+    base = rng.integers(1, 50, (40, 6))
+    x = [(i, (base[i % 40] * (1 + i // 40)).astype(float).tolist()) for i in range(400)]  # ten multiples of each
+    got = {}
+    for r in neighbours.nearest(spark.createDataFrame(x, "vec_id long, embedding array<double>").repartition(3)).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    for q in range(0, 400, 50):
+        assert [i for _, i in sorted(got[q])] == [i for i in range(q % 40, 400, 40) if i != q][:5]
+
+
+def test_blocks_around_a_query_reach_over_borders(spark):
+    x = np.stack([np.cos(t := np.linspace(0, 3, 3000)), np.sin(t)], 1)
+    assert recall(spark, x, plan=neighbours.Plan(3, 40, 1)) == 1.0
+
+
+@pytest.mark.parametrize("block, n", [(8192, 1), (3, 40)])
+def test_places_are_counts_of_borders(block, n):
+    rng = np.random.default_rng(11)
+    raw = rng.integers(0, 4, (200, 11)).astype(np.uint8)
+    keys = np.ascontiguousarray(raw).view("V11").ravel()
+    marks = neighbours._sorted(keys[:n])
+    assert neighbours._places(marks, keys).tolist() == [sum(m.tobytes() <= k.tobytes() for m in marks) for k in keys]
 
 
 def test_hilbert_bytes_are_ordered_like_keys():
