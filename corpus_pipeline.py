@@ -5,7 +5,7 @@ rejects go, one document of each near-duplicate class stays, and mixing repeats
 rates. The last stage gives the digests of every remaining document's encoding. A document that mixing repeats
 comes as often in the result.
 
-Nulls: a null text counts as empty; documents without doc_id are kept by the first two stages.
+Nulls and repeats: a null text counts as empty; documents without doc_id, or that share one, are judged each by their own text.
 """
 
 from __future__ import annotations
