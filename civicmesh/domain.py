@@ -129,24 +129,30 @@ def actors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def acted_in(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raw(spark, sf_dir, "orders").select(F.col("o_custkey").alias("actor_id"), (F.col("o_orderkey") % 1000).alias("signal_id"), F.lower("o_orderstatus").alias("role")).distinct()
+    rows = raw(spark, sf_dir, "orders").where("o_orderkey % 1000 >= 60 and o_custkey % 50 <> 7")  # some signals and actors stay alone
+    return rows.select(F.col("o_custkey").alias("actor_id"), (F.col("o_orderkey") % 1000).alias("signal_id"), F.lower("o_orderstatus").alias("role")).distinct()
 
 
 def _responder() -> Column:
-    """A signal of a type that can answer: the first three of five."""
-    return F.col("l_orderkey") % 200 * 5 + F.col("l_linenumber") % 3
+    """A signal of a type that can answer: the first three of five. Some tensions have all their answers in one story."""
+    anywhere = F.col("l_orderkey") % 200 * 5 + F.col("l_linenumber") % 3
+    return F.when(F.col("l_partkey") % 20 == 1, F.col("l_orderkey") % 40 * 25 + 1).otherwise(anywhere)
+
+
+#: Some tensions have no answer, and some signals answer none.
+_ANSWERED = "l_partkey % 8 <> 0 and l_orderkey % 200 >= 10"
 
 
 def responds_to(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Aid, gathering or need to tension, with the strongest match of a pair."""
-    rows = raw(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(
+    rows = raw(spark, sf_dir, "lineitem").where(f"l_returnflag = 'R' and {_ANSWERED}").select(
         _responder().alias("signal_id"), (F.col("l_partkey") % 200 * 5 + 4).alias("tension_id"), (F.col("l_discount") * 10).alias("strength")
     )
     return rows.groupBy("signal_id", "tension_id").agg(F.max("strength").alias("strength"))
 
 
 def drawn_to(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = raw(spark, sf_dir, "lineitem").where("l_returnflag = 'A'").select(
+    rows = raw(spark, sf_dir, "lineitem").where(f"l_returnflag = 'A' and {_ANSWERED}").select(
         _responder().alias("signal_id"), (F.col("l_partkey") % 200 * 5 + 4).alias("tension_id"), (F.col("l_discount") * 10).alias("strength")
     )
     return rows.groupBy("signal_id", "tension_id").agg(F.max("strength").alias("strength"))
@@ -206,6 +212,52 @@ def signal_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding"))
 
 
+def pins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One-shot wishes to scrape a source at a place."""
+    i = F.col("c_custkey")
+    return raw(spark, sf_dir, "customer").where(i % 4 == 0).select(
+        i.alias("id"), (i % 100).alias("source_id"), (44.5 + (i * 7) % 100 / 100.0).alias("lat"), (-93.8 + (i * 13) % 100 / 100.0).alias("lng"),
+        _days("2024-03-01 00:00:00", i % 60).alias("created_at"),
+    )
+
+
+def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("o_orderkey")
+    return raw(spark, sf_dir, "orders").where(i % 8 == 0).select(
+        i.alias("id"), (44.5 + (i * 7) % 100 / 100.0).alias("lat"), (-93.8 + (i * 13) % 100 / 100.0).alias("lng"), (i % 10 / 10.0).alias("priority"),
+        pick(("pending", "running", "completed", "cancelled"), F.floor(i / 8) % 4).alias("status"), _days("2024-01-01 00:00:00", i % 117).alias("created_at"),
+    )
+
+
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("p_partkey")
+    kinds = ("image/png", "image/svg+xml", "video/mp4", "audio/ogg", "application/pdf", "text/html")
+    return raw(spark, sf_dir, "part").select(
+        i.alias("id"), F.concat(F.lit("https://files.example.org/"), i.cast("string")).alias("url"), pick(kinds, i % 6).alias("mime_type"),
+        F.when(i % 7 == 0, "").when(i % 3 == 0, F.col("p_name")).alias("text"),
+    )
+
+
+def attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = raw(spark, sf_dir, "lineitem").where("l_orderkey % 5 = 0")
+    return rows.select((F.col("l_orderkey") % 1000).alias("parent_id"), F.col("l_partkey").alias("file_id"), (F.col("l_linenumber") + F.col("l_orderkey")).alias("position"))
+
+
+def dispatches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("event_id")
+    return raw(spark, sf_dir, "events").where(i % 3 == 0).select(
+        i.alias("id"), (i % 40).alias("situation_id"), F.timestamp_add("DAY", F.lit(90), F.col("ts")).alias("created_at"), (i % 11 == 0).alias("flagged"),
+    )
+
+
+def demands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What people searched for and where."""
+    i = F.col("event_id")
+    return raw(spark, sf_dir, "events").select(
+        i.alias("id"), F.concat(F.col("event_type"), F.lit(" near "), (i % 12).cast("string")).alias("query"), F.timestamp_add("DAY", F.lit(92), F.col("ts")).alias("created_at"),
+    )
+
+
 def _sql_pick(values: tuple[str, ...], index: str) -> str:
     return f"list_extract([{', '.join(repr(v) for v in values)}], CAST({index} AS INTEGER) + 1)"
 
@@ -244,13 +296,15 @@ SQL: dict[str, str] = {
         SELECT id, CASE WHEN id % 2 = 0 THEN upper(n) ELSE replace(n, '#', '-') END AS name, 's' || (id % 37) || '.example.org' AS domain, id % 4 AS discovery_depth,
           44.5 + ((id * 7) % 100) / 100.0 AS lat, -93.8 + ((id * 13) % 100) / 100.0 AS lng, TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(id % 120 AS INTEGER)) AS last_active
         FROM (SELECT c_custkey AS id, regexp_replace(c_name, '[0-9]+', CAST(c_custkey % 97 AS VARCHAR), 'g') AS n FROM customer)""",
-    "acted_in": "SELECT DISTINCT o_custkey AS actor_id, o_orderkey % 1000 AS signal_id, lower(o_orderstatus) AS role FROM orders",
+    "acted_in": "SELECT DISTINCT o_custkey AS actor_id, o_orderkey % 1000 AS signal_id, lower(o_orderstatus) AS role FROM orders WHERE o_orderkey % 1000 >= 60 AND o_custkey % 50 <> 7",
     "responds_to": """
-        SELECT l_orderkey % 200 * 5 + l_linenumber % 3 AS signal_id, l_partkey % 200 * 5 + 4 AS tension_id, max(l_discount * 10) AS strength FROM lineitem
-        WHERE l_returnflag = 'R' GROUP BY 1, 2""",
+        SELECT CASE WHEN l_partkey % 20 = 1 THEN l_orderkey % 40 * 25 + 1 ELSE l_orderkey % 200 * 5 + l_linenumber % 3 END AS signal_id,
+          l_partkey % 200 * 5 + 4 AS tension_id, max(l_discount * 10) AS strength FROM lineitem
+        WHERE l_returnflag = 'R' AND l_partkey % 8 <> 0 AND l_orderkey % 200 >= 10 GROUP BY 1, 2""",
     "drawn_to": """
-        SELECT l_orderkey % 200 * 5 + l_linenumber % 3 AS signal_id, l_partkey % 200 * 5 + 4 AS tension_id, max(l_discount * 10) AS strength FROM lineitem
-        WHERE l_returnflag = 'A' GROUP BY 1, 2""",
+        SELECT CASE WHEN l_partkey % 20 = 1 THEN l_orderkey % 40 * 25 + 1 ELSE l_orderkey % 200 * 5 + l_linenumber % 3 END AS signal_id,
+          l_partkey % 200 * 5 + 4 AS tension_id, max(l_discount * 10) AS strength FROM lineitem
+        WHERE l_returnflag = 'A' AND l_partkey % 8 <> 0 AND l_orderkey % 200 >= 10 GROUP BY 1, 2""",
     "sources": f"""
         SELECT s_suppkey AS id, CASE WHEN s_suppkey % 4 = 0 THEN 'mutual aid query ' || (s_suppkey % 9) WHEN s_suppkey % 4 = 1 THEN 'https://www.instagram.com/group' || s_suppkey || '/'
           ELSE 'https://s' || (s_suppkey % 37) || '.example.org/' END AS value, s_suppkey % 10 <> 9 AS active, {_sql_pick(METHODS, "s_suppkey % 6")} AS method, (s_suppkey % 10) / 10.0 AS weight,
@@ -269,6 +323,21 @@ SQL: dict[str, str] = {
           {_sql_pick(("error", "warning"), "o_orderkey % 2")} AS severity, CASE o_orderstatus WHEN 'O' THEN 'open' WHEN 'F' THEN 'resolved' ELSE 'dismissed' END AS status, o_orderdate AS created_at FROM orders""",
     "snapshots": "SELECT user_id % 25 AS story_id, ts + INTERVAL 90 DAY AS taken_at, event_id, event_id % 40 AS signal_count, event_id % 9 AS entity_count FROM events",
     "signal_vectors": "SELECT vec_id AS id, embedding FROM embeddings",
+    "pins": """
+        SELECT c_custkey AS id, c_custkey % 100 AS source_id, 44.5 + ((c_custkey * 7) % 100) / 100.0 AS lat, -93.8 + ((c_custkey * 13) % 100) / 100.0 AS lng,
+          TIMESTAMP '2024-03-01 00:00:00' + to_days(CAST(c_custkey % 60 AS INTEGER)) AS created_at FROM customer WHERE c_custkey % 4 = 0""",
+    "tasks": f"""
+        SELECT o_orderkey AS id, 44.5 + ((o_orderkey * 7) % 100) / 100.0 AS lat, -93.8 + ((o_orderkey * 13) % 100) / 100.0 AS lng, (o_orderkey % 10) / 10.0 AS priority,
+          {_sql_pick(("pending", "running", "completed", "cancelled"), "(o_orderkey // 8) % 4")} AS status,
+          TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(o_orderkey % 117 AS INTEGER)) AS created_at FROM orders WHERE o_orderkey % 8 = 0""",
+    "files": f"""
+        SELECT p_partkey AS id, 'https://files.example.org/' || p_partkey AS url,
+          {_sql_pick(("image/png", "image/svg+xml", "video/mp4", "audio/ogg", "application/pdf", "text/html"), "p_partkey % 6")} AS mime_type,
+          CASE WHEN p_partkey % 7 = 0 THEN '' WHEN p_partkey % 3 = 0 THEN p_name END AS text FROM part""",
+    "attachments": "SELECT l_orderkey % 1000 AS parent_id, l_partkey AS file_id, l_linenumber + l_orderkey AS position FROM lineitem WHERE l_orderkey % 5 = 0",
+    "dispatches": """
+        SELECT event_id AS id, event_id % 40 AS situation_id, ts + INTERVAL 90 DAY AS created_at, event_id % 11 = 0 AS flagged FROM events WHERE event_id % 3 = 0""",
+    "demands": "SELECT event_id AS id, event_type || ' near ' || (event_id % 12) AS query, ts + INTERVAL 92 DAY AS created_at FROM events",
 }
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -54,7 +58,7 @@ def title(html: Column) -> Column:
 
 
 def og_tag(html: Column, name: str) -> Column:
-    """An Open Graph property in either order of attributes; null if there is none."""
+    """An Open Graph property in either order of attributes; null if there is none. Previews are only looked for in a page's first 50,000 characters."""
     head = F.substring(html, 1, 50_000)
     a = F.regexp_extract(head, rf"(?is)<meta[^>]*property=\"og:{name}\"[^>]*content=\"([^\"]*)\"", 1)
     b = F.regexp_extract(head, rf"(?is)<meta[^>]*content=\"([^\"]*)\"[^>]*property=\"og:{name}\"", 1)
@@ -105,6 +109,17 @@ def unfenced(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.trim(text), r"^```[a-z]*\s*", ""), r"\s*```$", ""))
 
 
+def parsed_time(text: Column) -> Column:
+    """A time with an offset or Z, else the same without one as UTC, else null."""
+    zoned = F.when(text.rlike(r"(Z|[+-]\d\d:\d\d)$"), F.try_to_timestamp(text))
+    return F.coalesce(zoned, F.when(text.rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d+)?$"), F.try_to_timestamp(F.concat(text, F.lit("Z")))))
+
+
+def one_of(text: Column, names: tuple[str, ...], otherwise: str) -> Column:
+    """A name in any case if it is one of ``names``, else the default."""
+    return F.when(F.lower(text).isin(*names), F.lower(text)).otherwise(F.lit(otherwise))
+
+
 def normalized_title(text: Column) -> Column:
     return F.lower(F.trim(text))
 
@@ -133,22 +148,28 @@ def count_label(n: Column, what: str) -> Column:
     return F.when(n >= 1_000_000, F.format_string("%.1fM " + what, F.floor(n / 1e5 + 0.5) / 10)).when(n >= 1000, F.format_string("%.1fk " + what, F.floor(n / 1e2 + 0.5) / 10)).otherwise(F.concat(n.cast("long").cast("string"), F.lit(" " + what)))
 
 
+def _fnv(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """FNV-1a of many texts in step: the longest first, so that those still going on are the first ones."""
+    for batch in texts:
+        raw = [None if t is None else t.encode() for t in batch]
+        order = sorted((i for i, r in enumerate(raw) if r is not None), key=lambda i: -len(raw[i]))
+        out: list[str | None] = [None] * len(raw)
+        for k in range(0, len(order), 256):
+            part = order[k : k + 256]
+            sizes = np.array([len(raw[i]) for i in part])
+            at = np.zeros((len(part), sizes[0]), np.uint8)
+            for row, i in enumerate(part):
+                at[row, : sizes[row]] = np.frombuffer(raw[i], np.uint8)
+            state, alive = np.full(len(part), 0xCBF29CE484222325, np.uint64), len(part)
+            for p, column in enumerate(np.ascontiguousarray(at.T)):
+                while sizes[alive - 1] <= p:
+                    alive -= 1
+                state[:alive] = (state[:alive] ^ column[:alive]) * np.uint64(0x100000001B3)
+            for i, h in zip(part, state.tolist(), strict=True):
+                out[i] = f"{h:x}"
+        yield pd.Series(out, dtype=object)
+
+
 def content_hash(text: Column) -> Column:
-    """FNV-1a over UTF-8 bytes, 64 bits, as unpadded lower-case hexadecimal.
-
-    The 64-bit product is kept in two halves of 32 bits, so that no step overflows."""
-    prime_low, mask = 0x1B3, 0xFFFFFFFF
-    state = F.struct(F.lit(0xCBF29CE4).cast("long").alias("h"), F.lit(0x84222325).cast("long").alias("l"))
-    raw = F.encode(text, "UTF-8")
-    bytes_ = F.transform(F.filter(F.sequence(F.lit(0), F.octet_length(text)), lambda i: i > 0), lambda i: F.conv(F.hex(F.substring(raw, i, F.lit(1))), 16, 10).cast("long"))
-
-    def step(s: Column, b: Column) -> Column:
-        low = s["l"].bitwiseXOR(b)
-        product = low * prime_low
-        # prime = 2**40 + 0x1b3: the high half takes its own product, the carry, and the low half moved by 8 bits
-        high = s["h"] * prime_low + F.shiftright(product, 32) + F.shiftleft(low, 8)
-        return F.struct(high.bitwiseAND(F.lit(mask)).alias("h"), product.bitwiseAND(F.lit(mask)).alias("l"))
-
-    out = F.aggregate(bytes_, state, step)
-    digits = F.concat(F.lpad(F.hex(out["h"]), 8, "0"), F.lpad(F.hex(out["l"]), 8, "0"))
-    return F.lower(F.regexp_replace(digits, "^0+(?=.)", ""))
+    """FNV-1a over UTF-8 bytes, 64 bits, as unpadded lower-case hexadecimal; null gives null. An Arrow function, as no built-in one computes it."""
+    return F.pandas_udf(_fnv, "string")(text)

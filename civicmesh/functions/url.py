@@ -152,3 +152,18 @@ def entity(url: Column, mapping: list[tuple[str, str]]) -> Column:
 
 def source_label(value: Column) -> Column:
     return F.when(is_web_query(value), "search").otherwise(F.regexp_replace(domain(value), r"^www\.", ""))
+
+
+def owned(value: Column) -> Column:
+    """Whether a source is an account in a social network, whose posts are its owner's; feeds and queries gather many authors."""
+    return value.rlike(r"^https?://(www\.)?(instagram|facebook|twitter|x|tiktok|reddit|bsky)\.")
+
+
+def reddit_name(link: Column) -> Column:
+    """The name after a ``user`` or ``u`` segment; null if there is none."""
+    return F.nullif(F.regexp_extract(link, "(?:^|/)u(?:ser)?/([^/]+)", 1), F.lit(""))
+
+
+def post_link(uri: Column, handle: Column) -> Column:
+    """A post's permanent link from its address ``at://author/collection/key`` and its author's handle."""
+    return F.concat(F.lit("https://bsky.app/profile/"), handle, F.lit("/post/"), F.substring_index(uri, "/", -1))

@@ -1,8 +1,7 @@
-"""Where models plug in: embedders, extractors, judges. Each has a deterministic stand-in, so that results can be reproduced."""
+"""Where models plug in: embedders, extractors, judges. The engine has none of its own."""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Iterator
 from typing import Protocol
 
@@ -30,26 +29,6 @@ class Judge(Protocol):
     def verify(self, tension: str, response: str) -> tuple[bool, float]: ...
 
 
-class RuleExtractor:
-    """One signal a page, its type from the text's length, its title from the page."""
-
-    types = ("Gathering", "Aid", "Need", "Notice", "Tension")
-
-    def extract(self, url: str, text: str) -> Iterable[dict]:
-        title = re.search(r"(?is)<title[^>]*>(.*?)</title>", text)
-        if title and title[1].strip():
-            yield {"node_type": self.types[len(text) % 5], "title": title[1].strip()[:60], "source_url": url, "confidence": min(1.0, len(text) / 10_000)}
-
-
-class WordJudge:
-    """Answers share a fifth of the tension's words."""
-
-    def verify(self, tension: str, response: str) -> tuple[bool, float]:
-        a, b = {*tension.lower().split()}, {*response.lower().split()}
-        share = len(a & b) / len(a) if a else 0.0
-        return share >= 0.2, share
-
-
 def extracted(pages: DataFrame, extractor: SignalExtractor) -> DataFrame:
     """Signals of pages (page_id, url, html); null html gives none."""
 

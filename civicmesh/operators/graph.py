@@ -28,11 +28,11 @@ def unresponded_tensions(signals: DataFrame, contains: DataFrame, edges: DataFra
 
 
 def tension_hubs(signals: DataFrame, contains: DataFrame, edges: DataFrame, at_least: int = 2) -> DataFrame:
-    """Tensions in no story with their responders, as a list by strength."""
+    """Tensions in no story with the number of their responders and the sum of these' ids."""
     tensions = signals.where("node_type = 'Tension'").join(contains.select(F.col("signal_id").alias("id")).distinct(), "id", "left_anti").select("id", "heat")
     known = signals.where(F.col("node_type").isin(*RESPONSE_TYPES)).select(F.col("id").alias("signal_id"))
     best = edges.groupBy("tension_id", "signal_id").agg(F.max("strength").alias("strength")).join(known, "signal_id")
-    grouped = best.groupBy(F.col("tension_id").alias("id")).agg(F.count("*").alias("size"), F.sort_array(F.collect_list("signal_id")).alias("respondents"))
+    grouped = best.groupBy(F.col("tension_id").alias("id")).agg(F.count("*").alias("size"), F.sum("signal_id").alias("total"))
     return tensions.join(grouped.where(F.col("size") >= at_least), "id")
 
 
@@ -74,3 +74,21 @@ def upserted(table: DataFrame, changes: DataFrame, keys: list[str], updated: lis
         return F.when(old, F.col(f"t.{name}")).otherwise(F.col(f"c.{name}")).alias(name)
 
     return joined.select(*keys, *(value(n) for n in table.columns if n not in keys))
+
+
+def staged(rows: DataFrame, dated: dict[str, list[str]]) -> DataFrame:
+    """New signals: staged for review; columns that only some types have (``dated``: by type) are null in the others."""
+    only = {c: kind for kind, columns in dated.items() for c in columns}
+    value = lambda c: F.lit("staged") if c == "review_status" else F.when(F.col("node_type") == only[c], F.col(c)) if c in only else F.col(c)
+    return rows.select(*(value(c).alias(c) for c in rows.columns))
+
+
+def relinked(edges: DataFrame, again: DataFrame, key: str, cleared: DataFrame) -> DataFrame:
+    """``edges`` without those of the ``cleared`` keys, and with the edges ``again``, each once."""
+    return edges.join(cleared, key, "left_anti").unionByName(again).distinct()
+
+
+def consumed(queue: DataFrame, used: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of a queue that a run used, each once, and those that stay for the next one."""
+    keys = used.select(key).distinct()
+    return queue.join(keys, key, "left_semi"), queue.join(keys, key, "left_anti")

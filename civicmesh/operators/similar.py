@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -36,6 +34,10 @@ def index_score(cos: Column) -> Column:
     return (1 + cos) / 2
 
 
+#: Sets with a word from which its count is broadcast to them instead of being joined by hash.
+COMMON = 10_000
+
+
 def similar_sets(df: DataFrame, over: float) -> DataFrame:
     """a < b with the Jaccard similarity of their word sets over ``over``.
 
@@ -43,7 +45,11 @@ def similar_sets(df: DataFrame, over: float) -> DataFrame:
     words bring no candidates; each candidate pair is then compared in full."""
     sets = df.select("id", words(F.col("text")).alias("w"))
     each = sets.select("id", F.explode("w").alias("word"))
-    counted = each.join(each.groupBy("word").count(), "word").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("count", "word"))).alias("w"))  # a set's own words
+    often = each.groupBy("word").count()
+    common = often.where(F.col("count") > COMMON)  # a row for each COMMON words of the input at most
+    rest = often.where(F.col("count") <= COMMON)
+    counted = each.join(F.broadcast(common), "word").unionByName(each.join(F.broadcast(common.select("word")), "word", "left_anti").join(rest, "word"))
+    counted = counted.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("count", "word"))).alias("w"))  # a set's own words
     rare = counted.select("id", F.explode(F.slice("w", F.lit(1), (F.size("w") - F.floor(F.size("w") * over) + 1).cast("int"))).alias("x")).select("id", "x.word")
     pairs = rare.select(F.col("id").alias("a"), "word").join(rare.select(F.col("id").alias("b"), "word"), "word").where("a < b").select("a", "b").distinct()
     full = pairs.join(sets.select(F.col("id").alias("a"), F.col("w").alias("wa")), "a").join(sets.select(F.col("id").alias("b"), F.col("w").alias("wb")), "b")
@@ -54,11 +60,11 @@ def similar_sets(df: DataFrame, over: float) -> DataFrame:
 BLOCK = 4096
 
 
-def similar_pairs(vectors: DataFrame, at_least: float, among: DataFrame | None = None) -> DataFrame:
+def similar_pairs(vectors: DataFrame, at_least: float, among: DataFrame | None = None, best: int | None = None) -> DataFrame:
     """a, b and cosine of pairs with a cosine of ``at_least`` or more: a < b, or a of ``vectors`` and b of ``among``.
 
     ``vectors`` has id and embedding. Blocks meet in pairs, each pair a task's group with one matrix product, so nothing is broadcast and
-    a task holds two blocks."""
+    a task holds two blocks. With ``best``, only so many pairs of each a leave a task: those of the largest cosines with another id."""
     self_join = among is None
     right = vectors if self_join else among
     sizes = vectors.count(), vectors.count() if self_join else among.count()
@@ -85,6 +91,15 @@ def similar_pairs(vectors: DataFrame, at_least: float, among: DataFrame | None =
         la, ra = ids[is_left], ids[is_right]
         s = x[is_left] @ x[is_right].T
         keep = s >= at_least
+        if best is not None:
+            keep &= la[:, None] != ra
+            if s.shape[1] > best:
+                order = np.argsort(ra, kind="stable")
+                s, keep, ra = s[:, order], keep[:, order], ra[order]
+                places = np.argsort(np.where(keep, -s, np.inf), axis=1, kind="stable")[:, :best]
+                first = np.zeros_like(keep)
+                np.put_along_axis(first, places, True, 1)
+                keep &= first
         i, j = np.nonzero(keep)
         a, b, c = la[i], ra[j], s[i, j]
         if self_join:
@@ -96,6 +111,12 @@ def similar_pairs(vectors: DataFrame, at_least: float, among: DataFrame | None =
     return rows.groupBy("i", "j").applyInArrow(pairs, "a long, b long, cosine double")
 
 
+def nearest_each(vectors: DataFrame, among: DataFrame, k: int, at_least: float = -2.0) -> DataFrame:
+    """a, b, cosine and place (from 1): the ``k`` rows of ``among`` nearest to each of ``vectors``, ties to smaller ids; never a row itself."""
+    pairs = similar_pairs(vectors, at_least, among, best=k)
+    return pairs.withColumn("place", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("cosine"), "b"))).where(F.col("place") <= k)
+
+
 def nearest_to(vectors: DataFrame, query: list[float], k: int, groups: list[str] | None = None) -> DataFrame:
     """The ``k`` rows of each group nearest to one vector, with ``score`` on the index's scale."""
     q = F.array(*(F.lit(float(x)) for x in query))
@@ -109,7 +130,8 @@ def nearest_to(vectors: DataFrame, query: list[float], k: int, groups: list[str]
 def heat(tensions: DataFrame, threshold: float) -> DataFrame:
     """id and heat: sums over similar other tensions of cosine, source diversity and the root of channel diversity, divided by the largest."""
     pairs = similar_pairs(tensions.select("id", "embedding"), threshold).where(F.col("cosine") > threshold)
-    both = pairs.select("a", "b", "cosine").union(pairs.select("b", "a", "cosine")).toDF("id", "other", "cosine")
+    ends = F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("other")), F.struct(F.col("b").alias("id"), F.col("a").alias("other")))
+    both = pairs.select("cosine", F.explode(ends).alias("e")).select("e.id", "e.other", "cosine")  # both directions from one pass
     weight = tensions.select(F.col("id").alias("other"), (F.greatest("source_diversity", F.lit(1)) * F.sqrt(F.greatest("channel_diversity", F.lit(1)).cast("double"))).alias("w"))
     raw = both.join(weight, "other").groupBy("id").agg(F.sum(F.col("cosine") * F.col("w")).alias("raw"))
     top = raw.agg(F.max("raw").alias("top"))
@@ -148,26 +170,3 @@ def mean_vectors(rows: DataFrame, by: str, weight: Column | None = None) -> Data
     w = weight if weight is not None else F.lit(1.0)
     each = rows.select(by, w.alias("w"), F.posexplode(as_double(F.col("embedding"))).alias("pos", "x"))
     return each.groupBy(by, "pos").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("value"))
-
-
-def embedded(df: DataFrame, text: str, dims: int = 64) -> DataFrame:
-    """``df`` with a deterministic embedding of its text: a hashed bag of words of unit length, in place of a model."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zlib
-
-        for batch in batches:
-            out = np.zeros((batch.num_rows, dims), np.float32)
-            for i, s in enumerate(batch.column(text).to_pylist()):
-                for w in (s or "").lower().split():
-                    h = zlib.crc32(w.encode())
-                    out[i, h % dims] += 1 if h >> 16 & 1 else -1
-            n = np.linalg.norm(out, axis=1, keepdims=True)
-            out = np.divide(out, n, out=np.zeros_like(out), where=n > 0)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * dims), pa.array(out.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, "embedding"])
-
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*df.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))])
-    return df.mapInArrow(run, schema)

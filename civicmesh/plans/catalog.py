@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import aggregates, changes, retrieval, scalars, vectors  # noqa: F401  each registers its own
+from . import aggregates, changes, lookups, retrieval, scalars, vectors, writes  # noqa: F401  each registers its own
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -160,7 +160,18 @@ def k08(t: Tables):
     return t.events.select("user_id", "event_id", F.sum(F.col("event_id") % 7).over(w).alias("spent")).where("spent <= 40")
 
 
-@query("e08_rate_limit")
+RATE = """
+    WITH RECURSIVE o AS (SELECT user_id, event_id, epoch_us(ts) AS micros, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+    f AS (
+        SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS BOOLEAN) AS allowed, []::BIGINT[] AS passed FROM events
+        UNION ALL
+        SELECT user_id, i, event_id, len(kept) < 2, CASE WHEN len(kept) < 2 THEN list_append(kept, micros) ELSE kept END FROM (
+            SELECT o.*, list_filter(f.passed, lambda p: p > o.micros - 21600000000) AS kept FROM f JOIN o ON o.user_id = f.user_id AND o.i = f.i + 1))
+    SELECT user_id, event_id, allowed FROM f WHERE event_id IS NOT NULL
+"""
+
+
+@query("e08_rate_limit", RATE)
 def e08(t: Tables):
     return dedup.rate_limited(t.events.select("user_id", "event_id", "ts"), limit=2, seconds=6 * 3600)
 
@@ -172,13 +183,6 @@ def l26(t: Tables):
     return n.agg(F.sum("signals").alias("signals"), F.count("*").alias("stories"))
 
 
-@query("m02_signal_extractor")
-def m02(t: Tables):
-    from ..hooks import RuleExtractor, extracted
-
-    return extracted(t.pages.select("page_id", "url", "html"), RuleExtractor())
-
-
 @query("n04_effective_weight", sql("SELECT id, weight * quality_penalty AS weight, signals_produced FROM sources WHERE active ORDER BY 2 DESC, id LIMIT 100", "sources"))
 def n04(t: Tables):
     return t.sources.where("active").select("id", (F.col("weight") * F.col("quality_penalty")).alias("weight"), "signals_produced").orderBy(F.desc("weight"), "id").limit(100)

@@ -236,7 +236,7 @@ def c09(t: Tables):
 @query("c10_tension_hubs", sql(f"SELECT s.id, count(DISTINCT r.id) AS size, CAST(sum(DISTINCT r.id) AS BIGINT) AS total FROM signals s JOIN {EDGES} e ON e.tension_id = s.id JOIN signals r ON r.id = e.signal_id AND r.node_type IN ('Gathering', 'Aid', 'Need') WHERE s.node_type = 'Tension' AND s.id NOT IN (SELECT signal_id FROM contains) GROUP BY 1 HAVING count(DISTINCT r.id) >= 2", "signals", "contains", "responds_to", "drawn_to"))
 def c10(t: Tables):
     hubs = graph.tension_hubs(t.signals, t.contains, graph.responders(t.responds_to, t.drawn_to))
-    return hubs.select("id", "size", F.aggregate("respondents", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+    return hubs.select("id", "size", "total")
 
 
 @query("c11_story_growth", sql(f"SELECT DISTINCT c.story_id, e.signal_id FROM contains c JOIN signals s ON s.id = c.signal_id AND s.node_type = 'Tension' JOIN {EDGES} e ON e.tension_id = s.id WHERE NOT EXISTS (SELECT 1 FROM contains x WHERE x.story_id = c.story_id AND x.signal_id = e.signal_id)", "contains", "signals", "responds_to", "drawn_to"))

@@ -33,9 +33,9 @@ def i03(t: Tables):
     return t.signals.select("id", geo.cell(F.col("lat")).alias("y"), geo.cell(F.col("lng")).alias("x"))
 
 
-@query("i05_fake_centres", sql(f"SELECT id FROM signals WHERE abs(lat - {d.CENTRE[0]}) < 0.02 AND abs(lng - ({d.CENTRE[1]})) < 0.02", "signals"))
+@query("i05_fake_centres", sql("SELECT id FROM signals WHERE abs(lat - 44.98) < 0.02 AND abs(lng - (-93.48)) < 0.02", "signals"))
 def i05(t: Tables):
-    return t.signals.where(~geo.off_centre(F.col("lat"), F.col("lng"), d.CENTRE)).select("id")
+    return t.signals.where(~geo.off_centre(F.col("lat"), F.col("lng"), (44.98, -93.48))).select("id")
 
 
 @query("i06_location_label", sql("SELECT id, printf('%.4f, %.4f', lat, lng) AS label FROM signals", "signals"))
@@ -175,9 +175,17 @@ def i38(t: Tables):
     return t.signals.where(F.lower("title").contains("the")).select("id")
 
 
-@query("i40_content_hash")
+@query(
+    "i40_content_hash",
+    """
+    SELECT page_id, lower(hex(CAST(list_reduce(
+        list_transform(regexp_extract_all(hex(encode(html)), '..'), lambda p: CAST(16 * (instr('0123456789ABCDEF', p[1]) - 1) + instr('0123456789ABCDEF', p[2]) - 1 AS HUGEINT)),
+        lambda h, b: (xor(h, b) * 1099511628211) % 18446744073709551616, CAST(14695981039346656037 AS HUGEINT)) AS UBIGINT))) AS hash
+    FROM pages
+    """,
+)
 def i40(t: Tables):
-    return t.pages.select("page_id", x.content_hash(F.col("url")).alias("hash"))
+    return t.pages.select("page_id", x.content_hash(F.col("html")).alias("hash"))
 
 
 @query("i42_recency", sql(f"SELECT id, {r6(f'least(greatest(1 - (floor((epoch({NOW}) - epoch(confirmed_at)) / 3600) / 24.0) / 14, 0), 1)')} AS recency FROM signals", "signals"))

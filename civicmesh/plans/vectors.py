@@ -76,16 +76,7 @@ def h06(t: Tables):
 @query("h07_duplicate_lookup", sql(f"SELECT a.id, arg_max(b.id, (c, -b.id)) AS duplicate, {r6('max(c)')} AS cosine FROM (SELECT a.id, b.id AS other, {cos('a.embedding', 'b.embedding')} AS c FROM signal_vectors a JOIN signal_vectors b ON a.id <> b.id WHERE a.id % 20 = 0) x JOIN signal_vectors a ON a.id = x.id JOIN signal_vectors b ON b.id = x.other WHERE c >= 0.3 GROUP BY 1", "signal_vectors"))
 def h07(t: Tables):
     batch = t.signal_vectors.where("id % 20 = 0")
-    pairs = similar.similar_pairs(batch, 0.3, t.signal_vectors).where("a <> b")
-    return pairs.groupBy(F.col("a").alias("id")).agg(F.max_by("b", F.struct("cosine", -F.col("b"))).alias("duplicate"), rounded(F.max("cosine")).alias("cosine"))
-
-
-@query("h11_greedy_merge")
-def h11(t: Tables):
-    v = _with_vectors(t)
-    pairs = similar.similar_pairs(v.select("id", "embedding"), 0.4)
-    order = v.select("id", F.struct("extracted_at", "id").alias("place"))
-    return similar.greedy_merge(pairs, order)
+    return similar.nearest_each(batch, t.signal_vectors, 1, 0.3).select(F.col("a").alias("id"), F.col("b").alias("duplicate"), rounded(F.col("cosine")).alias("cosine"))
 
 
 @query("h13_candidate_situations", sql(f"SELECT id, situation, {r6('score')} AS score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, situation) AS place FROM (SELECT a.id, b.id AS situation, (1 + {cos('a.embedding', 'b.embedding')}) / 2 AS score FROM signal_vectors a JOIN signal_vectors b ON b.id <> a.id JOIN situations s ON s.id = b.id WHERE (1 + {cos('a.embedding', 'b.embedding')}) / 2 >= CASE WHEN s.arc = 'cold' THEN 0.65 ELSE 0.6 END)) WHERE place <= 5", "signal_vectors", "situations"))
@@ -122,9 +113,3 @@ def h17(t: Tables):
 def h18(t: Tables):
     pairs = similar.similar_pairs(t.signal_vectors, 0.35)
     return pairs.groupBy(F.col("b").alias("id")).agg(F.max_by("a", F.struct("cosine", -F.col("a"))).alias("first_similar"))
-
-
-@query("m01_embedding_hook")
-def m01(t: Tables):
-    rows = similar.embedded(t.benchmark.select("item_id", "text"), "text")
-    return rows.select("item_id", F.size("embedding").alias("dims"), rounded(similar.norm(similar.as_double(F.col("embedding")))).alias("norm"))

@@ -62,3 +62,12 @@ def freshness(spark: SparkSession, root: str, kinds: tuple[str, ...] = tuple(SCH
 def report(df: DataFrame, path: str) -> None:
     """Rejected signals as JSON lines."""
     df.write.mode("overwrite").json(path)
+
+
+def everything(tables: dict[str, DataFrame]) -> DataFrame:
+    """All content types below each other, with ``kind``."""
+    out = None
+    for kind, df in tables.items():
+        one = df.withColumn("kind", F.lit(kind))
+        out = one if out is None else out.unionByName(one)
+    return out

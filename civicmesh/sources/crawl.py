@@ -1,10 +1,9 @@
-"""Site crawls over a link table, and a simulated web."""
+"""Site crawls over a link table."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..checkpoints import checkpointed
 from ..functions.url import crawl_normalized, crawlable, same_host
@@ -25,30 +24,3 @@ def crawl(seeds: DataFrame, links: DataFrame, depth: int, limit: int, include: l
             break
         seen = seen.unionByName(front)
     return seen.orderBy("level", "url").limit(limit)
-
-
-class SimulatedWeb(DataSource):
-    """A deterministic web for tests: option ``pages`` says how many, ``partitions`` in how many parts."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "simulated_web"
-
-    def schema(self) -> str:
-        return "page_id long, url string, html string"
-
-    def reader(self, schema) -> DataSourceReader:
-        return _SimulatedReader(int(self.options.get("pages", 100)), int(self.options.get("partitions", 4)))
-
-
-class _SimulatedReader(DataSourceReader):
-    def __init__(self, pages: int, parts: int):
-        self.pages, self.parts = pages, parts
-
-    def partitions(self):
-        return [InputPartition(i) for i in range(self.parts)]
-
-    def read(self, partition):
-        for i in range(partition.value, self.pages, self.parts):
-            links = "".join(f'<a href="/p/{(i * k + 1) % self.pages}">{k}</a>' for k in (2, 3))
-            yield i, f"https://site{i % 5}.example.org/p/{i}", f"<html><head><title>Page {i}</title></head><body>{links}</body></html>"

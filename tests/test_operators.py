@@ -135,5 +135,3 @@ def test_archive_and_crawl(spark, tmp_path):
     links = spark.createDataFrame([("http://a/1", "http://a/2"), ("http://a/2", "http://a/3"), ("http://a/3", "http://a/4#x"), ("http://a/2", "http://b/9"), ("http://a/2", "http://a/1")], "url string, target string")
     seeds = spark.createDataFrame([("http://a/1/",)], "url string")
     assert [(r.url, r.level) for r in crawl.crawl(seeds, links, 2, 10).collect()] == [("http://a/1", 0), ("http://a/2", 1), ("http://a/3", 2)]
-    spark.dataSource.register(crawl.SimulatedWeb)
-    assert spark.read.format("simulated_web").option("pages", 10).load().count() == 10
