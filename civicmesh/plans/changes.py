@@ -10,9 +10,10 @@ from ..domain import NOW, r6, rounded, sql
 from ..functions import scoring as s
 from ..functions import text as x
 from ..functions import url as u
-from ..operators import dedup, filters, graph
+from ..operators import dedup, filters, graph, similar
 from .registry import Tables, query
 from .retrieval import FRESH
+from .vectors import cos
 
 HOST = "split_part(source_url, '/', 3)"
 
@@ -143,9 +144,26 @@ def k03(t: Tables):
     return t.evidence.groupBy("source_url", "content_hash").agg((F.count("*") - 1).alias("refreshed"))
 
 
-@query("k04_multi_layer_dedup", sql(f"SELECT id, CASE WHEN first = id THEN 'create' WHEN first_source = source THEN 'refresh' ELSE 'corroborate' END AS verdict FROM (SELECT id, source, min(id) OVER w AS first, first_value(source) OVER (PARTITION BY lower(trim(title)), node_type ORDER BY id) AS first_source FROM signals WINDOW w AS (PARTITION BY lower(trim(title)), node_type))", "signals"))
+@query(
+    "k04_multi_layer_dedup",
+    sql(
+        f"""
+        , f AS (SELECT id, source, min(id) OVER w AS first, first_value(source) OVER (PARTITION BY lower(trim(title)), node_type ORDER BY id) AS first_source
+                FROM signals WINDOW w AS (PARTITION BY lower(trim(title)), node_type)),
+        p AS (SELECT b.id, a.id AS other, {cos("a.embedding", "b.embedding")} AS c FROM signal_vectors a JOIN signal_vectors b ON a.id < b.id
+              WHERE a.id IN (SELECT id FROM signals) AND b.id IN (SELECT id FROM signals)),
+        n AS (SELECT id, arg_max(other, (c, -other)) AS best, max(c) AS c FROM p WHERE c >= 0.33 GROUP BY 1)
+        SELECT f.id, CASE WHEN first <> f.id THEN CASE WHEN first_source = f.source THEN 'refresh' ELSE 'corroborate' END
+                     WHEN o.source = f.source THEN 'refresh' WHEN n.c >= 0.38 THEN 'corroborate' ELSE 'create' END AS verdict
+        FROM f LEFT JOIN n ON n.id = f.id LEFT JOIN signals o ON o.id = n.best
+        """,
+        "signals", "signal_vectors",
+    ),
+)
 def k04(t: Tables):
-    return dedup.title_verdicts(t.signals)
+    """Titles, then the nearest earlier vector; the bars are low, as the vectors of these tables are far apart."""
+    vectors = t.signal_vectors.join(t.signals.select("id"), "id", "left_semi")
+    return dedup.layered_verdicts(t.signals, similar.similar_pairs(vectors, 0.33), 0.33, 0.38)
 
 
 @query("k05_trailing_counts", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY floor(epoch(ts))::BIGINT RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW) AS day FROM events")

@@ -69,11 +69,13 @@ def h09(t: Tables):
     """Twenty nearest of each answering type, the box and threshold then, five of each, and the best five of all for a judge."""
     tensions, found = active_tensions(t), None
     for kind in RESPONSE_TYPES:
-        of = t.signals.where(F.col("node_type") == kind).select("id", "lat", "lng", "node_type")
-        near = similar.nearest_each(tensions, of.select("id").join(t.signal_vectors, "id"), 20).withColumn("score", similar.index_score(F.col("cosine")))
-        rows = filters.inside(near.where("score >= 0.4").join(of.withColumnRenamed("id", "b"), "b"), BOX)
-        rows = filters.top_per(rows, ["a"], [F.desc("score"), F.col("b")], 5)
-        found = rows if found is None else found.unionByName(rows)
+        of = t.signals.where(F.col("node_type") == kind).select("id").join(t.signal_vectors, "id")
+        one = similar.similar_pairs(tensions, -1.0, of, best=20).withColumn("node_type", F.lit(kind))
+        found = one if found is None else found.unionByName(one)
+    order = [F.desc("score"), F.col("b")]
+    near = filters.top_per(found.withColumn("score", similar.index_score(F.col("cosine"))), ["a", "node_type"], order, 20)
+    places = t.signals.select(F.col("id").alias("b"), "lat", "lng")
+    found = filters.top_per(filters.inside(near.where("score >= 0.4").join(places, "b"), BOX), ["a", "node_type"], order, 5)
     ranked = found.withColumn("rank", F.row_number().over(filters.Window.partitionBy("a").orderBy(F.desc("score"), "b")).cast("long")).where("rank <= 5")
     return ranked.select(F.col("a").alias("tension_id"), F.col("b").alias("signal_id"), "node_type", rounded(F.col("score")).alias("score"), "rank")
 

@@ -90,10 +90,10 @@ def b02(t: Tables):
     "b03_signals_near",
     sql(f"""SELECT id, node_type, triangulation FROM (SELECT *, row_number() OVER (PARTITION BY node_type ORDER BY triangulation DESC, heat DESC, confidence DESC, confirmed_at DESC, id) AS place
         FROM (SELECT s.*, coalesce(b.tri, 0) AS triangulation FROM signals s LEFT JOIN (SELECT signal_id, max(type_diversity) AS tri FROM contains JOIN stories st ON st.id = story_id GROUP BY 1) b ON b.signal_id = s.id
-        WHERE {VISIBLE} AND {IN_BOX})) WHERE place <= 20""", "signals", "stories", "contains"),
+        WHERE {VISIBLE} AND {IN_BOX})) WHERE place <= 200""", "signals", "stories", "contains"),
 )
 def b03(t: Tables):
-    return filters.signals_near(t.signals, t.stories, t.contains, *d.CENTRE, 40.0, d.now(), 20).select("id", "node_type", F.col("triangulation").cast("long").alias("triangulation"))
+    return filters.signals_near(t.signals, t.stories, t.contains, *d.CENTRE, 40.0, d.now(), 200).select("id", "node_type", F.col("triangulation").cast("long").alias("triangulation"))
 
 
 @query("b04_stories_in_bounds", sql(f"SELECT id, headline, energy FROM stories WHERE status = 'live' AND {IN_BOX} ORDER BY energy DESC, id LIMIT 20", "stories"))

@@ -51,12 +51,12 @@ def h04(t: Tables):
 
 KNN = f"SELECT s.*, (1 + {cos('v.embedding', '(SELECT embedding FROM embeddings WHERE vec_id = 0)')}) / 2 AS score FROM signals s JOIN signal_vectors v ON v.id = s.id"
 KNN = f"SELECT *, row_number() OVER (PARTITION BY node_type ORDER BY score DESC, id) AS place FROM ({KNN})"
-SEARCH = f"SELECT *, 0.6 * score + 0.4 * heat AS rank_score FROM ({KNN}) WHERE place <= 30 AND score >= 0.3 AND review_status = 'live' AND confidence >= 0.4 AND {IN_BOX}"
+SEARCH = f"SELECT *, 0.6 * score + 0.4 * heat AS rank_score FROM ({KNN}) WHERE place <= 100 AND score >= 0.3 AND review_status = 'live' AND confidence >= 0.4 AND {IN_BOX}"
 
 
 def _search(t: Tables):
     """The nearest of each type first, then the filters: their order is part of the meaning."""
-    near = similar.nearest_to(_with_vectors(t), _query_vector(t), 30, ["node_type"]).where("score >= 0.3")
+    near = similar.nearest_to(_with_vectors(t), _query_vector(t), 100, ["node_type"]).where("score >= 0.3")
     rows = filters.inside(near.where((F.col("review_status") == "live") & (F.col("confidence") >= 0.4)), BOX)
     return rows.withColumn("rank_score", 0.6 * F.col("score") + 0.4 * F.col("heat"))
 
@@ -79,14 +79,50 @@ def h07(t: Tables):
     return similar.nearest_each(batch, t.signal_vectors, 1, 0.3).select(F.col("a").alias("id"), F.col("b").alias("duplicate"), rounded(F.col("cosine")).alias("cosine"))
 
 
-@query("h13_candidate_situations", sql(f"SELECT id, situation, {r6('score')} AS score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, situation) AS place FROM (SELECT a.id, b.id AS situation, (1 + {cos('a.embedding', 'b.embedding')}) / 2 AS score FROM signal_vectors a JOIN signal_vectors b ON b.id <> a.id JOIN situations s ON s.id = b.id WHERE (1 + {cos('a.embedding', 'b.embedding')}) / 2 >= CASE WHEN s.arc = 'cold' THEN 0.65 ELSE 0.6 END)) WHERE place <= 5", "signal_vectors", "situations"))
+#: Bars of the index score for warm and cold situations by story and by cause, and for the wide net; the last one's least heat.
+WARM, COLD_STORY, COLD_CAUSE, WIDE, HOT = 0.6, 0.62, 0.65, 0.45, 0.5
+
+
+@query(
+    "h13_candidate_situations",
+    sql(
+        f"""
+        , c AS (SELECT s.id, s.arc, n.embedding AS story, k.embedding AS cause FROM situations s JOIN signal_vectors n ON n.id = s.id JOIN signal_vectors k ON k.id = s.id * 3 % 500),
+        scored AS (SELECT a.id, s.heat, c.id AS situation, arc, (1 + {cos("a.embedding", "c.story")}) / 2 AS story, (1 + {cos("a.embedding", "c.cause")}) / 2 AS cause
+                   FROM signal_vectors a JOIN signals s ON s.id = a.id JOIN c ON c.id <> a.id),
+        best AS (SELECT *, greatest(story, cause) AS score, CASE arc WHEN 'cold' THEN story >= {COLD_STORY} OR cause >= {COLD_CAUSE} ELSE greatest(story, cause) >= {WARM} END AS fits FROM scored),
+        net AS (SELECT *, arc = 'developing' AND score >= {WIDE} AND heat >= {HOT} AS wide, bool_or(fits) OVER (PARTITION BY id) AS found FROM best),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, situation) AS place FROM net WHERE fits OR (NOT found AND wide))
+        SELECT id, situation, {r6("score")} AS score, NOT fits AS wide FROM placed WHERE place <= 5
+        """,
+        "signal_vectors", "signals", "situations",
+    ),
+)
 def h13(t: Tables):
-    s_ = t.situations.select(F.col("id").alias("b"), "arc")
-    of = t.signal_vectors.join(t.situations.select("id"), "id", "left_semi")
-    pairs = similar.similar_pairs(t.signal_vectors, 2 * 0.6 - 1, of).where("a <> b").join(s_, "b")
-    score = similar.index_score(F.col("cosine"))
-    rows = pairs.withColumn("score", score).where(F.col("score") >= F.when(F.col("arc") == "cold", 0.65).otherwise(0.6))
-    return filters.top_per(rows, ["a"], [F.desc("score"), F.col("b")], 5).select(F.col("a").alias("id"), F.col("b").alias("situation"), rounded(F.col("score")).alias("score"))
+    """Five situations for each signal, by story or by cause; hot signals without any get developing ones through a wider net."""
+    at = t.situations.select("id", "arc")
+    story = at.join(t.signal_vectors, "id")
+    cause = at.join(story.select("id"), "id", "left_semi").withColumn("of", F.col("id") * 3 % 500).join(t.signal_vectors.withColumnRenamed("id", "of"), "of").drop("of")
+    known = t.signal_vectors.join(t.signals.select("id"), "id", "left_semi")
+    best = lambda rows: filters.top_per(rows.groupBy("a", "b").agg(F.max("cosine").alias("cosine")), ["a"], [F.desc("cosine"), F.col("b")], 5)
+    near = lambda vectors, of, bar: similar.similar_pairs(vectors, 2 * bar - 1, of.select("id", "embedding"), best=5)
+
+    def fit(of, warm: float, cold: float):
+        return near(known, of.where("arc <> 'cold'"), warm).unionByName(near(known, of.where("arc = 'cold'"), cold))
+
+    # a situation may fit by one of both and score higher by the other: both scores of all that fit
+    fits = fit(story, WARM, COLD_STORY).unionByName(fit(cause, WARM, COLD_CAUSE)).select("a", "b").distinct()
+    pairs = None
+    for of in (story, cause):
+        both = fits.join(known.select(F.col("id").alias("a"), F.col("embedding").alias("x")), "a").join(of.select(F.col("id").alias("b"), F.col("embedding").alias("y")), "b")
+        one = both.select("a", "b", similar.cosine(similar.as_double(F.col("x")), similar.as_double(F.col("y"))).alias("cosine"))
+        pairs = one if pairs is None else pairs.unionByName(one)
+    narrow = best(pairs).withColumn("wide", F.lit(False))
+    rest = known.join(t.signals.where(F.col("heat") >= HOT).select("id"), "id", "left_semi").join(narrow.select(F.col("a").alias("id")).distinct(), "id", "left_anti")
+    developing = [x.where("arc = 'developing'") for x in (story, cause)]
+    wide = best(near(rest, developing[0], WIDE).unionByName(near(rest, developing[1], WIDE))).withColumn("wide", F.lit(True))
+    out = narrow.unionByName(wide)
+    return out.select(F.col("a").alias("id"), F.col("b").alias("situation"), rounded(similar.index_score(F.col("cosine"))).alias("score"), "wide")
 
 
 @query("h14_mean_embedding", sql(f"SELECT story_id, pos - 1 AS pos, {r6('avg(x)')} AS value FROM (SELECT story_id, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS pos FROM contains JOIN signal_vectors ON id = signal_id) GROUP BY 1, 2", "contains", "signal_vectors"))

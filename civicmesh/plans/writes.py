@@ -207,9 +207,9 @@ def l27(t: Tables):
     found = None
     for cold, bar in ((False, 0.3), (True, 0.35)):
         of = t.situations.where((F.col("arc") == "cold") == cold).select("id").join(t.signal_vectors, "id")
-        one = similar.nearest_each(free, of, 1, bar)
+        one = similar.similar_pairs(free, bar, of, best=1)
         found = one if found is None else found.unionByName(one)
-    best = filters.top_per(found.drop("place"), ["a"], [F.desc("cosine"), F.col("b")], 1)
+    best = filters.top_per(found, ["a"], [F.desc("cosine"), F.col("b")], 1)
     return best.groupBy(F.col("b").alias("situation_id")).agg(F.count("*").alias("joined"), rounded(F.max("cosine")).alias("best"))
 
 
