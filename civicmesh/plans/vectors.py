@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import domain as d
+from ..checkpoints import checkpointed
 from ..domain import r6, rounded, sql
 from ..operators import filters, similar
 from .registry import Tables, query
@@ -111,13 +112,13 @@ def h13(t: Tables):
         return near(known, of.where("arc <> 'cold'"), warm).unionByName(near(known, of.where("arc = 'cold'"), cold))
 
     # a situation may fit by one of both and score higher by the other: both scores of all that fit
-    fits = fit(story, WARM, COLD_STORY).unionByName(fit(cause, WARM, COLD_CAUSE)).select("a", "b").distinct()
+    fits = checkpointed(fit(story, WARM, COLD_STORY).unionByName(fit(cause, WARM, COLD_CAUSE)).select("a", "b").distinct())
     pairs = None
     for of in (story, cause):
         both = fits.join(known.select(F.col("id").alias("a"), F.col("embedding").alias("x")), "a").join(of.select(F.col("id").alias("b"), F.col("embedding").alias("y")), "b")
         one = both.select("a", "b", similar.cosine(similar.as_double(F.col("x")), similar.as_double(F.col("y"))).alias("cosine"))
         pairs = one if pairs is None else pairs.unionByName(one)
-    narrow = best(pairs).withColumn("wide", F.lit(False))
+    narrow = checkpointed(best(pairs).withColumn("wide", F.lit(False)))
     rest = known.join(t.signals.where(F.col("heat") >= HOT).select("id"), "id", "left_semi").join(narrow.select(F.col("a").alias("id")).distinct(), "id", "left_anti")
     developing = [x.where("arc = 'developing'") for x in (story, cause)]
     wide = best(near(rest, developing[0], WIDE).unionByName(near(rest, developing[1], WIDE))).withColumn("wide", F.lit(True))
