@@ -135,3 +135,34 @@ def test_archive_and_crawl(spark, tmp_path):
     links = spark.createDataFrame([("http://a/1", "http://a/2"), ("http://a/2", "http://a/3"), ("http://a/3", "http://a/4#x"), ("http://a/2", "http://b/9"), ("http://a/2", "http://a/1")], "url string, target string")
     seeds = spark.createDataFrame([("http://a/1/",)], "url string")
     assert [(r.url, r.level) for r in crawl.crawl(seeds, links, 2, 10).collect()] == [("http://a/1", 0), ("http://a/2", 1), ("http://a/3", 2)]
+
+
+def test_nearest_each_in_blocks_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(similar, "BLOCK", 7)
+    rng = np.random.default_rng(3)
+    x = rng.integers(-2, 3, (60, 3)).astype(float)  # many ties
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<double>")
+    got = {(r.a, r.place): r.b for r in similar.nearest_each(df.where("id % 3 = 0"), df, 4, -0.5).collect()}
+    norm = np.linalg.norm(x, axis=1)
+    cos = np.round(np.divide(x @ x.T, np.outer(norm, norm), out=np.zeros((60, 60)), where=np.outer(norm, norm) > 0), 12)
+    for i in range(0, 60, 3):
+        want = sorted((j for j in range(60) if j != i and cos[i, j] >= -0.5), key=lambda j: -cos[i, j])[:4]
+        assert sorted(np.round([cos[i, got[i, p]] for p in range(1, 1 + len(want))], 9)) == sorted(np.round([cos[i, j] for j in want], 9))
+
+
+def test_layers_of_deduplication(spark):
+    rows = [(1, "Aid", "s1", "Food shelf"), (2, "Aid", "s1", " food SHELF "), (3, "Aid", "s2", "food shelf"), (4, "Need", "s1", "food shelf"), (5, "Aid", "s1", "a"), (6, "Aid", "s3", "b"), (7, "Aid", "s3", "c")]
+    signals = spark.createDataFrame(rows, "id long, node_type string, source string, title string")
+    pairs = spark.createDataFrame([(1, 5, 0.86), (1, 6, 0.91), (1, 7, 0.93), (4, 7, 0.92), (2, 3, 0.99)], "a long, b long, cosine double")
+    got = {r.id: r.verdict for r in dedup.layered_verdicts(signals, pairs).collect()}
+    assert got == {1: "create", 2: "refresh", 3: "corroborate", 4: "create", 5: "refresh", 6: "create", 7: "corroborate"}
+
+
+def test_staged_relinked_and_consumed(spark):
+    rows = spark.createDataFrame([(1, "Aid", "live", 5), (2, "Gathering", None, 6)], "id long, node_type string, review_status string, starts_at long")
+    assert sorted(map(tuple, graph.staged(rows, {"Gathering": ["starts_at"]}).collect())) == [(1, "Aid", "staged", None), (2, "Gathering", "staged", 6)]
+    edges = spark.createDataFrame([(1, 1), (1, 2), (2, 3)], "story long, signal long")
+    again = spark.createDataFrame([(1, 9), (1, 9)], "story long, signal long")
+    assert sorted(map(tuple, graph.relinked(edges, again, "story", edges.select("story").where("story = 1").distinct()).collect())) == [(1, 9), (2, 3)]
+    used, left = graph.consumed(edges, edges.where("signal > 1"), "signal")
+    assert [r.signal for r in used.orderBy("signal").collect()] == [2, 3] and [r.signal for r in left.collect()] == [1]
