@@ -94,3 +94,21 @@ def test_empty_table(spark, tables, tmp_path):
     spark.read.parquet(f"{tables}/documents.parquet").where(F.lit(False)).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{tables}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_odd_rows_go_through_all_stages(spark, tmp_path):
+    """Null and repeated doc_ids, null texts, more columns than the contract's: each row is judged by its own text."""
+    rows, labels = corpus()
+    prose = dict(rows)[0]
+    extra = [(None, "one more " + prose), (None, "\n".join(["WIN $$$ !!! ###"] * 30)), (4, dict(rows)[4]), (9000, "lone " * 200 + prose), (9000, "\n".join(["WIN $$$ !!! ###"] * 20))]
+    docs = spark.createDataFrame([(i, t, "en", "src1", len(t or ""), "clash", 7) for i, t in rows + extra], "doc_id long, text string, lang string, source string, n_chars long, posterior string, __row long")
+    docs = docs.withColumnRenamed("__row", "rate")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    stages = {name: (before, after) for name, before, after in by_stage(spark, str(tmp_path))}
+    texts = [(r.doc_id, r.text) for r in stages["quality"][1].collect()]
+    assert (None, "one more " + prose) in texts and not any(t and t.startswith("WIN") for _, t in texts)
+    assert (9000, "lone " * 200 + prose) in texts and texts.count((4, dict(rows)[4])) == 2
+    assert [r.doc_id for r in stages["near_duplicates"][1].collect()].count(4) == 1
+    assert all(after.columns == before.columns for name, (before, after) in stages.items() if name != "encoding")
+    assert stages["encoding"][1].count() == stages["mixing"][1].count()
