@@ -17,10 +17,10 @@ def daily_volume(spark: SparkSession, rows: DataFrame, kind: str, kinds: list[st
     return days.join(n, "day", "left").select(F.col("day").cast("string").alias("day"), *(F.coalesce(k.lower(), F.lit(0)).alias(k.lower()) for k in kinds))
 
 
-def _with_hosts(signals: DataFrame, evidence: DataFrame) -> DataFrame:
-    e = evidence.select("signal_id", u.domain(F.col("source_url")).alias("host"), "channel")
-    # distinct before the join: a signal's evidence collapses to its hosts and channels
-    e = e.groupBy("signal_id", "host", "channel").agg(F.count("*").alias("n"))
+def _with_hosts(signals: DataFrame, evidence: DataFrame, *more: str) -> DataFrame:
+    """A row for each signal and host (and ``more``) of its evidence: distinct before the join, so that later counts need no distinct ones."""
+    e = evidence.select("signal_id", u.domain(F.col("source_url")).alias("host"), *more)
+    e = e.groupBy("signal_id", "host", *more).agg(F.count("*").alias("n"))
     return signals.select("id", u.domain(F.col("source_url")).alias("own")).join(e, F.col("id") == F.col("signal_id"), "left")
 
 
@@ -28,13 +28,13 @@ def source_diversity(signals: DataFrame, evidence: DataFrame) -> DataFrame:
     """Distinct hosts of each signal's evidence, one at least, and the share of pieces from other hosts than its own."""
     rows = _with_hosts(signals, evidence).groupBy("id")
     external = F.sum(F.when(F.col("host") != F.col("own"), F.col("n"))) / F.sum("n")
-    return rows.agg(F.greatest(F.countDistinct("host"), F.lit(1)).alias("diversity"), F.coalesce(external, F.lit(0.0)).alias("external"))
+    return rows.agg(F.greatest(F.count("host"), F.lit(1)).alias("diversity"), F.coalesce(external, F.lit(0.0)).alias("external"))
 
 
 def channel_diversity(signals: DataFrame, evidence: DataFrame) -> DataFrame:
     """Distinct channels with another host than the signal's own, one at least."""
     other = F.when(F.col("host") != F.col("own"), F.col("channel"))
-    return _with_hosts(signals, evidence).groupBy("id").agg(F.greatest(F.countDistinct(other), F.lit(1)).alias("channels"))
+    return _with_hosts(signals, evidence, "channel").groupBy("id").agg(F.greatest(F.countDistinct(other), F.lit(1)).alias("channels"))
 
 
 def story_refresh(contains: DataFrame, signals: DataFrame) -> DataFrame:
