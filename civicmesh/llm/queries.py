@@ -90,6 +90,13 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), every=50, k=5)
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``deviation`` is null where it does not fit a long."""
+    from .whitening import whitened
+
+    return whitened(table(spark, sf_dir, "embeddings"), most=32, scale=64).withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_chat_format": op2_chat_format,
@@ -101,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_warc": op9_warc,
     "op10_neighbours": op10_neighbours,
+    "op13_whitening": op13_whitening,
 }
 
 #: DuckDB texts, for the operators whose whole result SQL can express.
