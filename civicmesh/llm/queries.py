@@ -90,6 +90,13 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), every=50, k=5)
 
 
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts are those of base spans; ``spans`` has them and what the model adds."""
+    from .pii import personal_data
+
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``deviation`` is null where it does not fit a long."""
     from .whitening import whitened
@@ -108,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_warc": op9_warc,
     "op10_neighbours": op10_neighbours,
+    "op12_pii": op12_pii,
     "op13_whitening": op13_whitening,
 }
 
