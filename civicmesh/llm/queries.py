@@ -90,6 +90,12 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), every=50, k=5)
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import audit
+
+    return audit(table(spark, sf_dir, "documents"), least=10, ranks=10)
+
+
 def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counts are those of base spans; ``spans`` has them and what the model adds."""
     from .pii import personal_data
@@ -115,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_warc": op9_warc,
     "op10_neighbours": op10_neighbours,
+    "op11_divergence": op11_divergence,
     "op12_pii": op12_pii,
     "op13_whitening": op13_whitening,
 }
@@ -144,4 +151,36 @@ ORACLES: dict[str, str] = {
                CASE WHEN again THEN first END AS refers_to
         FROM r
     """,
+    "op11_divergence": r"""
+        WITH d AS (
+            SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text, row_number() OVER () AS r FROM documents),
+        words AS (
+            SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\x{0}-\x{40}\x{5B}-\x{60}\x{7B}-\x{7F}]+')) AS w FROM d),
+        lower_words AS (SELECT r, lang, source, translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM words),
+        kept AS (SELECT lang, term FROM lower_words GROUP BY 1, 2 HAVING count(DISTINCT r) >= 10),
+        counts AS (SELECT lang, source, term, count(*) AS c FROM lower_words JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
+        groups AS (SELECT DISTINCT lang, source FROM d),
+        v AS (SELECT g.lang, count(k.term) AS v FROM (SELECT DISTINCT lang FROM d) g LEFT JOIN kept k USING (lang) GROUP BY 1),
+        n AS (SELECT lang, source, coalesce(sum(c), 0) AS n FROM groups LEFT JOIN counts USING (lang, source) GROUP BY 1, 2),
+        p AS (
+            SELECT lang, source, term, coalesce(c, 0) AS c, 1 + (1000000000 * (coalesce(c, 0) + 2)::HUGEINT) // (n + 2 * v) AS p
+            FROM n JOIN v USING (lang) JOIN kept USING (lang) LEFT JOIN counts USING (lang, source, term)),
+        q AS (
+            SELECT lang, term, 1 + (1000000000 * (sum(c) + 2)::HUGEINT) // (any_value(total) + 2 * any_value(v)) AS q
+            FROM counts JOIN (SELECT lang, sum(n) AS total FROM n GROUP BY 1) USING (lang) JOIN v USING (lang) GROUP BY 1, 2),
+        pairs AS (
+            SELECT a.lang, a.source, b.source AS item, coalesce(s, 0) AS value
+            FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+            LEFT JOIN (
+                SELECT x.lang, x.source, y.source AS other, sum(((x.p - y.p) * (x.p - y.p)) // (x.p + y.p)) AS s
+                FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY 1, 2, 3) f
+              ON f.lang = a.lang AND f.source = a.source AND f.other = b.source),
+        terms AS (
+            SELECT p.lang, p.source, p.term AS item, ((p - q) * (p - q)) // (p + q) AS value FROM p JOIN q USING (lang, term) WHERE c > 0 AND p > q),
+        ranked AS (
+            SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pairs
+            UNION ALL
+            SELECT lang, source, 'term', item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) FROM terms)
+        SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 10
+    """,
 }
