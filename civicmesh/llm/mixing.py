@@ -11,9 +11,11 @@ evidence's scale (a power of the text's length), the domains' offsets and, by po
 log odds, the posteriors themselves are calibrated, weighted by tokens, so that expected totals are true totals.
 
 The fit is the accelerated projected gradient method with restarts. In the metric of the token counts a document's
-gradient is p . g with one vector g for the whole table, so a round is one projection of all stored rates,
-r = max(0, q + p . y), and one aggregate of their domain totals; only these few numbers live on the driver. Rates are
-written each round, and the table before is removed; in the end each row repeats the steps from its own posterior.
+gradient is p . g with one vector g for the whole table, so rows of equal posterior have equal rates in every round.
+Calibrated posteriors take few values: rows are grouped by them once, and rounds go over this table of cells until the
+targets are met or rates stand still. Its rows are counted: up to NUMBERS numbers it is read by the driver, and beyond
+each round is one projection of stored rates, r = max(0, q + p . y), and one aggregate of domain totals. In the end
+each row takes its cell's rate.
 
 Everything on the executors is DataFrame expressions.
 """
@@ -35,8 +37,9 @@ BUCKETS, SIGNIFICANT, SAMPLE, CALIBRATES, DOMAINS = 1 << 14, 4.0, 20_000, 5, 64
 POWERS, SCALES = (0.0, 0.25, 0.5, 0.75, 1.0), tuple(2.0**e for e in range(-6, 7))
 #: Cells of log odds between -REACH and REACH in which posteriors are calibrated.
 CELLS, REACH = 64, 8.0
-#: Rounds of the fit at most, distance of a share from its target at which it ends, and the gain over five rounds below which it does.
-ROUNDS, TOLERANCE, GAIN = 40, 5e-4, 1e-3
+#: Distance of every share from its target at which the fit ends, change of every rate below which it stands still, numbers up to which
+#: the driver holds the cells, and rounds (there, and over stored cells) after which not having ended is an error.
+TOLERANCE, STILL, NUMBERS, ROUNDS, STORED_ROUNDS = 1e-5, 1e-8, 1 << 21, 500_000, 5_000
 
 
 def words(text: Column) -> Column:
@@ -171,73 +174,101 @@ def memberships(df: DataFrame, model: Classifier, text: str = "text") -> DataFra
     return out
 
 
-#: Steps of the fit: what is added to a row's rate by domain, and how far the next step starts ahead.
-Steps = list[tuple[list[float], float]]
+class _Held:
+    """Cells on the driver."""
 
+    rounds = ROUNDS
 
-def _step(ahead: Column, posterior: Column, added: list[Column]) -> Column:
-    """A projected step: max(0, ahead + posterior . added)."""
-    return F.greatest(F.lit(0.0), sum((F.get(posterior, i) * v for i, v in enumerate(added)), ahead))
+    def __init__(self, rows: list, total: float):
+        self.posterior = np.array([r["posterior"] for r in rows], float)
+        self.share = np.array([r["tokens"] for r in rows], float) / total
+        self.rate = self.ahead = np.ones(len(rows))
 
+    def tried(self, added: list[float]) -> tuple[np.ndarray, float]:
+        """Domain totals after a projected step, and the largest change of a rate."""
+        self.new = np.maximum(0, self.ahead + self.posterior @ added)
+        return (self.share * self.new) @ self.posterior, float(np.abs(self.new - self.rate).max())
 
-def rate(posterior: Column, steps: Steps) -> Column:
-    """A row's rate after all steps, from one."""
-    if not steps:
-        return F.lit(1.0)
-    acc = lambda now, ahead: F.struct(now.alias("rate"), ahead.alias("ahead"))
+    def taken(self, on: float) -> None:
+        self.rate, self.ahead = self.new, self.new + on * (self.new - self.rate)
 
-    def moved(a: Column, s: Column) -> Column:
-        new = _step(a["ahead"], posterior, [F.get(s["added"], i) for i in range(len(steps[0][0]))])
-        return acc(new, new + s["on"] * (new - a["rate"]))
+    def again(self) -> None:
+        self.ahead = self.rate
 
-    told = F.from_json(F.lit(json.dumps([{"added": y, "on": on} for y, on in steps])), "array<struct<added: array<double>, on: double>>")
-    return F.aggregate(told, acc(F.lit(1.0), F.lit(1.0)), moved, lambda a: a["rate"])
+    def result(self, spark) -> DataFrame:
+        return F.broadcast(spark.createDataFrame([(p, r) for p, r in zip(self.posterior.tolist(), self.rate.tolist(), strict=True)], "posterior array<double>, rate double"))
 
 
-def fit_rates(members: DataFrame, targets: list[float]) -> tuple[Steps, list[float]]:
-    """The steps to the rates of ``members`` (stored; tokens, posterior), and the shares of expected domain tokens that these give, of
-    all tokens at rate one."""
+class _Stored:
+    """Cells in the shared folder; each step writes their rates anew and removes the table before."""
+
+    rounds = STORED_ROUNDS
+
+    def __init__(self, cells: DataFrame, total: float, k: int):
+        self.spark, self.k = cells.sparkSession, k
+        share = F.col("tokens") / F.lit(total)
+        self.rows, self.at = stored_at(cells.select("posterior", share.alias("share"), F.lit(1.0).alias("rate"), F.lit(1.0).alias("ahead")), "rates")
+
+    def tried(self, added: list[float]) -> tuple[np.ndarray, float]:
+        p = [F.get("posterior", i) for i in range(self.k)]
+        step = F.greatest(F.lit(0.0), sum((x * F.lit(float(v)) for x, v in zip(p, added, strict=True)), F.col("ahead")))
+        self.new, self.new_at = stored_at(self.rows.withColumn("new", step), "rates")
+        w = F.col("share") * F.col("new")
+        got = self.new.agg(*(F.sum(w * x).alias(f"s{i}") for i, x in enumerate(p)), F.max(F.abs(F.col("new") - F.col("rate"))).alias("change")).first()
+        return np.array([got[f"s{i}"] for i in range(self.k)]), got["change"]
+
+    def taken(self, on: float) -> None:
+        remove(self.spark, self.at)
+        ahead = F.col("new") + F.lit(on) * (F.col("new") - F.col("rate"))
+        self.rows, self.at = self.new.select("posterior", "share", F.col("new").alias("rate"), ahead.alias("ahead")), self.new_at
+
+    def again(self) -> None:
+        remove(self.spark, self.new_at)
+        self.rows = self.rows.withColumn("ahead", F.col("rate"))
+
+    def result(self, spark) -> DataFrame:
+        return self.rows.select("posterior", "rate")
+
+
+def fit_rates(members: DataFrame, targets: list[float]) -> tuple[DataFrame, list[float]]:
+    """posterior and rate of each posterior among ``members`` (tokens, posterior), and the shares of expected domain tokens that
+    these give, of all tokens at rate one. A fit that does not end is an error."""
     spark, k = members.sparkSession, len(targets)
-    total = members.agg(F.sum("tokens").alias("t")).first()["t"] or 0
+    cells = stored(members.groupBy("posterior").agg(F.sum("tokens").cast("double").alias("tokens")), "cells")
+    size = cells.agg(F.count("*").alias("n"), F.sum("tokens").alias("t")).first()
+    total = size["t"] or 0.0
     if not total:
-        return [], [0.0] * k
+        return cells.select("posterior", F.lit(1.0).alias("rate")), [0.0] * k
     goal = np.array(targets)
     weight = 1 / np.maximum(goal, 1e-3)
     p = [F.get("posterior", i) for i in range(k)]
-    w = F.col("tokens") / F.lit(float(total))
+    w = F.col("tokens") / F.lit(total)
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    got = members.agg(*(F.sum(w * x).alias(f"s{i}") for i, x in enumerate(p)), *(F.sum(w * p[i] * p[j]).alias(f"g{i}_{j}") for i, j in pairs)).first()
+    got = cells.agg(*(F.sum(w * x).alias(f"s{i}") for i, x in enumerate(p)), *(F.sum(w * p[i] * p[j]).alias(f"g{i}_{j}") for i, j in pairs)).first()
     gram = np.array([[got[f"g{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
-    size = 1 / np.linalg.eigvalsh(gram * np.sqrt(np.outer(weight, weight))).max()
+    reach = 1 / np.linalg.eigvalsh(gram * np.sqrt(np.outer(weight, weight))).max()
+    state = _Held(cells.orderBy("posterior").collect(), total) if size["n"] * (k + 1) <= NUMBERS else _Stored(cells, total, k)
 
-    rows, at = stored_at(members.select("tokens", "posterior", F.lit(1.0).alias("rate"), F.lit(1.0).alias("ahead")), "rates")
     shares = ahead = np.array([got[f"s{i}"] for i in range(k)])
     loss, inertia = float(weight @ (shares - goal) ** 2), 1.0
-    steps, losses = [], []
-    for _ in range(ROUNDS):
-        if np.abs(shares - goal).max() <= TOLERANCE or (len(losses) > 5 and losses[-6] - loss < GAIN * losses[-6]):
+    for _ in range(state.rounds):
+        if np.abs(shares - goal).max() <= TOLERANCE:
             break
-        y = (size * weight * (goal - ahead)).tolist()
-        then = (1 + (1 + 4 * inertia**2) ** 0.5) / 2
-        on = (inertia - 1) / then
-        moved = rows.withColumn("__new", _step(F.col("ahead"), F.col("posterior"), [F.lit(v) for v in y]))
-        moved = moved.select("tokens", "posterior", F.col("__new").alias("rate"), (F.col("__new") + on * (F.col("__new") - F.col("rate"))).alias("ahead"))
-        new, new_at = stored_at(moved, "rates")
-        got = new.agg(*(F.sum(w * F.col("rate") * x).alias(f"s{i}") for i, x in enumerate(p))).first()
-        after = np.array([got[f"s{i}"] for i in range(k)])
+        after, change = state.tried((reach * weight * (goal - ahead)).tolist())
         new_loss = float(weight @ (after - goal) ** 2)
         if new_loss > loss and inertia > 1:  # overshot: again from the rates before, without inertia
-            remove(spark, new_at)
-            rows, inertia, ahead = rows.withColumn("ahead", F.col("rate")), 1.0, shares
-            steps[-1] = (steps[-1][0], 0.0)
+            state.again()
+            inertia, ahead = 1.0, shares
             continue
-        remove(spark, at)
-        rows, at, inertia = new, new_at, then
-        shares, ahead, loss = after, after + on * (after - shares), new_loss
-        losses.append(loss)
-        steps.append((y, on))
-    remove(spark, at)
-    return steps, shares.tolist()
+        then = (1 + (1 + 4 * inertia**2) ** 0.5) / 2
+        on = (inertia - 1) / then
+        state.taken(on)
+        shares, ahead, loss, inertia = after, after + on * (after - shares), new_loss, then
+        if change <= STILL:
+            break
+    else:
+        raise RuntimeError(f"rates did not converge in {state.rounds} rounds: shares {shares.tolist()} for targets {goal.tolist()}")
+    return state.result(spark), shares.tolist()
 
 
 def normalized(targets: dict[str, float], domains: list[str], epochs: float = 1.0) -> list[float]:
@@ -255,15 +286,15 @@ def mix_rates(df: DataFrame, labelled: DataFrame, targets: dict[str, float], doc
     """doc_id, tokens, domain (likeliest), p_<domain>, rate and copies of each row of ``df``; repeated rows count each.
 
     ``labelled`` has doc_id and domain; ``targets`` gives domains' shares of the mixture, which has ``epochs``
-    times the tokens of ``df``. Targets that no rates reach are met as nearly as least squares allow. Texts without words
+    times the tokens of ``df``. The rates' expected totals meet targets that can be reached within TOLERANCE; others as nearly as least squares allow. Texts without words
     have no tokens and the membership of a text that says nothing."""
     model = learn(df, labelled, doc_id, text)
     members = memberships(df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), model)
     members = stored(members, "memberships")
-    steps, _ = fit_rates(members, normalized(targets, model.domains, epochs))
+    rates, _ = fit_rates(members, normalized(targets, model.domains, epochs))
     best = F.get(F.array(*map(F.lit, model.domains)), (F.array_position("posterior", F.array_max("posterior")) - 1).cast("int"))
     shares = [F.round(F.get("posterior", i), 6).alias(f"p_{d}") for i, d in enumerate(model.domains)]
-    rated = members.select("doc_id", "tokens", best.alias("domain"), *shares, rate(F.col("posterior"), steps).alias("rate"))
+    rated = members.join(rates, "posterior").select("doc_id", "tokens", best.alias("domain"), *shares, "rate")
     return rated.withColumn("copies", copies(F.col("rate"), F.col("doc_id")))
 
 
@@ -275,7 +306,7 @@ def mix(df: DataFrame, labelled: DataFrame, targets: dict[str, float], doc_id: s
     rows = df.withColumns({"__id": F.col(f"`{doc_id}`"), "__text": F.col(f"`{text}`")})
     rows = rows.withColumnsRenamed({c: f"__c{i}" for i, c in enumerate(df.columns)})
     members = stored(memberships(rows, model, "__text"), "memberships")
-    steps, _ = fit_rates(members, normalized(targets, model.domains, epochs))
-    n = copies(rate(F.col("posterior"), steps), F.col("__id"))
-    repeated = members.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), n)))
+    rates, _ = fit_rates(members, normalized(targets, model.domains, epochs))
+    n = copies(F.col("rate"), F.col("__id"))
+    repeated = members.join(rates, "posterior").withColumn("__copy", F.explode(F.array_repeat(F.lit(1), n)))
     return repeated.select(*(F.col(f"__c{i}").alias(c) for i, c in enumerate(df.columns)))
