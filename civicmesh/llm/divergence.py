@@ -1,9 +1,10 @@
 """Source divergence audit (11): how far the words of a source are from those of the others and of its language.
 
-Single-pass in-memory indexing. A task builds a block of postings (language, term -> documents, counts by source) until
-its memory is full and spills it as a run sorted by hash and term; each hash shard merges its runs by a heap, so many
-at a time, until one is left: the frequencies. From these come, by grouping, each group's size and how many terms it
-has how often.
+Single-pass in-memory indexing. A task builds a block of postings (language, source, term -> count, documents) until its
+memory is full and spills it as a run: a row for each language and hash shard, with its postings sorted by term and
+packed. Each shard merges its runs by a heap, FAN at a time, until one is left: the frequencies. A merged run that is
+to be merged again is dealt to FAN times as many shards, so no task ever holds many more postings than a block has.
+From the frequencies come, by grouping, each group's size and how many terms it has how often.
 
 A pair's distance sums over all kept terms, nearly all of which at least one of the two never uses. With f(p, q) the
 distance at a term, p0 a group's p at count zero, and K the terms that a group has:
@@ -20,23 +21,28 @@ import heapq
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import small, stored
 
-#: Postings of a block until it is spilled, rows of an output batch, bytes of one text that are cut into words at a time,
-#: runs that a heap merges at a time, postings of a shard on average, and pairs that a task gathers before it sends them on.
-BLOCK, ROWS, CHUNK, FAN, SHARD, PAIRS = 1 << 19, 20_000, 1 << 20, 256, 1 << 16, 1 << 20
+#: Postings of a block until it is spilled, bytes of one text that are cut into words at a time, bits of FAN (runs that a
+#: heap merges at a time, and shards that each is dealt to), and pairs that a task gathers before it sends them on.
+BLOCK, CHUNK, FAN_BITS, PAIRS = 3 << 18, 1 << 20, 8, 1 << 20
+FAN = 1 << FAN_BITS
 #: Fixed value: one whole in the contract's integer probabilities.
 ONE = 1_000_000_000
 #: Bytes of terms: letters, lower-cased, and all beyond ASCII; the rest separates.
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-RUN = "run long, hash long, lang string, term binary, df long, sources array<string>, counts array<long>"
+#: A run's part for a shard; without a segment: the sources of a language in the run.
+RUN = "lang string, run long, shard long, sources array<string>, segment binary"
+FREQUENCIES = "lang string, term binary, sources array<string>, counts array<long>"
 
 
 def _words(text: bytes) -> Iterator[list[bytes]]:
@@ -49,52 +55,63 @@ def _words(text: bytes) -> Iterator[list[bytes]]:
     yield text[start:].split()
 
 
+def _packed(columns: list[pa.Array]) -> bytes:
+    """term, source (a place in the row's sources), count and documents, as a compressed Arrow stream."""
+    batch = pa.RecordBatch.from_arrays(columns, names=["term", "source", "count", "df"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _dealt(lang: str, run: int, bits: int, sources: list[str], columns: list[pa.Array], crc: np.ndarray) -> Iterator[tuple]:
+    """Rows of RUN of postings with the terms' hashes: one for each shard, sorted by term."""
+    shard = crc >> (32 - bits)
+    order = pc.sort_indices(pa.table([pa.array(shard), columns[0]], names=["shard", "term"]), sort_keys=[("shard", "ascending"), ("term", "ascending")])
+    columns, shard = [c.take(order) for c in columns], shard[order.to_numpy()]
+    ends = np.append(np.flatnonzero(np.diff(shard)) + 1, len(shard)).tolist() if len(shard) else []
+    for start, end in zip([0, *ends], ends, strict=False):
+        yield lang, run, int(shard[start]), sources, _packed([c.slice(start, end - start) for c in columns])
+
+
 class Block:
     """Postings in memory."""
 
     def __init__(self):
         self.counts: dict[tuple[str, str], Counter] = defaultdict(Counter)
-        self.df: dict[str, Counter] = defaultdict(Counter)
+        self.df: dict[tuple[str, str], Counter] = defaultdict(Counter)
         self.size = 0
 
     def add(self, lang: str, source: str, text: bytes) -> None:
-        counts, df = self.counts[lang, source], self.df[lang]
-        before, seen = len(counts) + len(df), None
+        counts, df = self.counts[lang, source], self.df[lang, source]
+        before, seen = len(counts), None
         for words in _words(text):
             counts.update(words)
             seen = set(words) if seen is None else seen.union(words)
         df.update(seen)
-        self.size += len(counts) + len(df) - before
-
-    def run(self, number: int) -> Iterator[pa.RecordBatch]:
-        """The block as a run, by hash, language and term. A language's empty term lists all its sources."""
-        postings: dict[tuple[str, bytes], tuple[list, list]] = defaultdict(lambda: ([], []))
-        for (lang, source), counts in sorted(self.counts.items()):
-            postings[lang, b""][0].append(source)
-            postings[lang, b""][1].append(0)
-            for term, count in counts.items():
-                of = postings[lang, term]
-                of[0].append(source)
-                of[1].append(count)
-        keyed = sorted((zlib.crc32(term, zlib.crc32(lang.encode("utf-8", "surrogatepass"))), lang, term) for lang, term in postings)
-        yield from _rows(number, ((h, lang, term, self.df[lang].get(term, 0), *postings[lang, term]) for h, lang, term in keyed))
-
-
-def _rows(number: int, rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
-    types = [pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64())]
-    held: list[tuple] = []
-
-    def batch() -> pa.RecordBatch:
-        columns = [pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array([number] * len(held), pa.int64()), *columns], names=["run", "hash", "lang", "term", "df", "sources", "counts"])
-
-    for row in rows:
-        held.append(row)
-        if len(held) == ROWS:
-            yield batch()
-            held = []
-    if held:
-        yield batch()
+        self.size += len(counts) - before
+
+    def run(self, number: int, bits: int = FAN_BITS) -> Iterator[tuple]:
+        """The block as a run."""
+        for lang in sorted({lang for lang, _ in self.counts}):
+            groups = sorted(group for group in self.counts if group[0] == lang)
+            sources = [source for _, source in groups]
+            yield lang, number, -1, sources, None
+            keys = [list(self.counts[g]) for g in groups]
+            columns = [
+                pa.concat_arrays([pa.array(k, pa.binary()) for k in keys]),
+                pa.array(np.repeat(np.arange(len(groups), dtype=np.int32), [len(k) for k in keys])),
+                pa.array(np.concatenate([np.fromiter(self.counts[g].values(), np.int64) for g in groups])),
+                pa.array(np.concatenate([np.fromiter(map(self.df[g].__getitem__, k), np.int64) for g, k in zip(groups, keys, strict=True)])),
+            ]
+            crc = np.concatenate([np.fromiter(map(zlib.crc32, k), np.int64) for k in keys])
+            yield from _dealt(lang, number, bits, sources, columns, crc)
+
+
+def _rows(rows: Iterator[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[]] * 5
+    types = [pa.string(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["lang", "run", "shard", "sources", "segment"])
 
 
 def _spill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,54 +120,97 @@ def _spill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(batch.num_rows):
             block.add(batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), batch.column(2)[i].as_py())
             if block.size >= BLOCK:
-                yield from block.run(number)
+                yield _rows(block.run(number))
                 block, number = Block(), number + 1
-    yield from block.run(number)
-
-
-def _merge(table: pa.Table) -> pa.Table:
-    """One run of a shard's runs, merged by a heap; equal terms become one posting list."""
-    runs: dict[int, list[tuple]] = defaultdict(list)
-    names = ["hash", "lang", "term", "df", "sources", "counts"]
-    for number, *row in zip(table.column("run").to_pylist(), *(table.column(n).to_pylist() for n in names), strict=True):
-        runs[number].append(tuple(row))
-    key = lambda r: r[:3]
-    for rows in runs.values():
-        rows.sort(key=key)  # a run's rows arrive in pieces, each sorted
-
-    def merged() -> Iterator[tuple]:
-        at, df, counts = None, 0, Counter()
-        for row in heapq.merge(*runs.values(), key=key):
-            if row[:3] != at:
-                if at is not None:
-                    yield (*at, df, list(counts), list(counts.values()))
-                at, df, counts = row[:3], 0, Counter()
-            df += row[3]
-            for source, count in zip(row[4], row[5], strict=True):
-                counts[source] += count
-        if at is not None:
-            yield (*at, df, list(counts), list(counts.values()))
-
-    group = table.column("group")[0].as_py()
-    return pa.Table.from_batches(list(_rows(group, merged())))
-
-
-def frequencies(docs: DataFrame) -> DataFrame:
-    """lang, term (empty: the language itself, with all its sources at count zero), df, sources and counts, for ``docs`` with lang,
-    source and text; stored. Nulls count as empty."""
+    yield _rows(block.run(number))
+
+
+def _merged(table: pa.Table) -> tuple[list[str], list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A shard's runs merged by a heap over their terms: sources, terms, and of each posting the places of term and source, its
+    count and documents, by term and source."""
+    sources = sorted(set().union(*table.column("sources").to_pylist()))
+    place = {s: i for i, s in enumerate(sources)}
+    heads, starts, sizes, codes, counts, dfs, base = [], [], [], [], [], [], 0
+    for own, segment in zip(table.column("sources").to_pylist(), table.column("segment").to_pylist(), strict=True):
+        batch = pa.ipc.open_stream(segment).read_next_batch()
+        term = batch.column(0)
+        start = np.append(0, np.flatnonzero(pc.not_equal(term.slice(1), term.slice(0, len(term) - 1)).to_numpy(zero_copy_only=False)) + 1)
+        heads.append(zip(term.take(pa.array(start)).to_pylist(), range(len(sizes), len(sizes) + len(start))))
+        sizes.extend(np.diff(np.append(start, len(term))).tolist())
+        starts.append(start + base)
+        codes.append(np.array([place[s] for s in own], dtype=np.int64)[batch.column(1).to_numpy()])
+        counts.append(batch.column(2).to_numpy())
+        dfs.append(batch.column(3).to_numpy())
+        base += len(term)
+    terms: list[bytes] = []
+    order, of = [], []
+    last = None
+    for term, head in heapq.merge(*heads):
+        if term != last:
+            terms.append(term)
+            last = term
+        order.append(head)
+        of.append(len(terms) - 1)
+    order, start, size = np.array(order, dtype=np.int64), np.concatenate(starts), np.array(sizes, dtype=np.int64)
+    length = size[order]
+    rows = np.repeat(start[order] - np.append(0, np.cumsum(length)[:-1]), length) + np.arange(base)
+    key = np.repeat(np.array(of, dtype=np.int64), length) * len(sources) + np.concatenate(codes)[rows]
+    key, at = np.unique(key, return_inverse=True)
+    count, df = np.zeros(len(key), dtype=np.int64), np.zeros(len(key), dtype=np.int64)
+    np.add.at(count, at, np.concatenate(counts)[rows])
+    np.add.at(df, at, np.concatenate(dfs)[rows])
+    return sources, terms, key // len(sources), key % len(sources), count, df
+
+
+def _merge_again(bits: int):
+    """One run of FAN runs of a shard, dealt to shards of ``bits`` bits."""
+
+    def merge(table: pa.Table) -> pa.Table:
+        sources, terms, term, source, count, df = _merged(table)
+        crc = np.fromiter(map(zlib.crc32, terms), np.int64, len(terms))[term]
+        columns = [pa.array(terms, pa.binary()).take(pa.array(term)), pa.array(source.astype(np.int32)), pa.array(count), pa.array(df)]
+        lang, group = table.column("lang")[0].as_py(), table.column("group")[0].as_py()
+        return pa.Table.from_batches([_rows(_dealt(lang, group, bits, sources, columns, crc))])
+
+    return merge
+
+
+def _merge_last(least: int):
+    """The frequencies of a shard's terms that ``least`` documents have."""
+
+    def merge(table: pa.Table) -> pa.Table:
+        sources, terms, term, source, count, df = _merged(table)
+        total = np.zeros(len(terms), dtype=np.int64)
+        np.add.at(total, term, df)
+        kept = np.flatnonzero(total >= least)
+        rows = np.isin(term, kept)
+        offsets = pa.array(np.append(0, np.cumsum(np.bincount(term, minlength=len(terms))[kept])).astype(np.int32))
+        names = pa.array(sources, pa.string()).take(pa.array(source[rows]))
+        columns = [
+            pa.array([table.column("lang")[0].as_py()] * len(kept), pa.string()), pa.array(terms, pa.binary()).take(pa.array(kept)),
+            pa.ListArray.from_arrays(offsets, names), pa.ListArray.from_arrays(offsets, pa.array(count[rows])),
+        ]
+        return pa.table(columns, names=["lang", "term", "sources", "counts"])
+
+    return merge
+
+
+def frequencies(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """lang, term, sources and counts of the terms that at least ``least`` rows of a language have, stored, and all occurring lang and source.
+
+    ``docs`` has lang, source and text; nulls count as empty."""
     clean = [F.coalesce(F.col(c), F.lit("")) for c in ("lang", "source", "text")]
-    runs = stored(docs.select(clean[0].alias("lang"), clean[1].alias("source"), clean[2].cast("binary").alias("text")).mapInArrow(_spill, RUN), "runs")
-    size = runs.agg(F.sum(F.size("sources")).alias("n"), F.count_distinct("run").alias("runs")).first()
-    bits = max(6, ((size["n"] or 0) // SHARD).bit_length())
-    shard = F.shiftright(F.col("hash"), 32 - bits)
-    left = size["runs"]
+    spilled = stored(docs.select(clean[0].alias("lang"), clean[1].alias("source"), clean[2].cast("binary").alias("text")).mapInArrow(_spill, RUN), "runs")
+    groups = spilled.where("segment is null").select("lang", F.explode("sources").alias("source")).distinct()
+    runs, left, bits = spilled.where("segment is not null"), spilled.agg(F.count_distinct("run").alias("n")).first()["n"], FAN_BITS
     while True:
         left = -(-left // FAN)
-        group = F.pmod(F.xxhash64("run"), F.lit(max(1, left)))
-        runs = runs.withColumns({"shard": shard, "group": group}).groupBy("shard", "group").applyInArrow(_merge, RUN)
-        runs = stored(runs, "runs")
+        grouped = runs.withColumn("group", F.pmod(F.xxhash64("run"), F.lit(max(1, left)))).groupBy("lang", "shard", "group")
         if left <= 1:
-            return runs.select("lang", F.col("term").cast("string").alias("term"), "df", "sources", "counts")
+            out = stored(grouped.applyInArrow(_merge_last(least), FREQUENCIES), "frequencies")
+            return out.withColumn("term", F.col("term").cast("string")), groups
+        bits = min(bits + FAN_BITS, 32)
+        runs = stored(grouped.applyInArrow(_merge_again(bits), RUN), "runs")
 
 
 def _div(a: Column, b: Column) -> Column:
@@ -253,18 +313,17 @@ def audit(df: DataFrame, least: int = 10, ranks: int = 10, lang: str = "lang", s
     Null languages, sources and texts count as empty; repeated rows count each; other columns are not read. A language keeps the terms in
     at least ``least`` of its rows; one without any has pairs of distance zero. Ties go to the smaller item, by its bytes."""
     docs = df.select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{source}`").alias("source"), F.col(f"`{text}`").alias("text"))
-    table = frequencies(docs)
-    kept = (F.col("df") >= least) & (F.col("term") != "")
-    every = table.select("lang", "term", kept.alias("kept"), F.explode(F.arrays_zip("sources", "counts")).alias("x")).select("lang", "term", "kept", F.col("x.sources").alias("source"), F.col("x.counts").alias("c"))
-    had = F.col("kept") & (F.col("c") > 0)
-    sizes = every.groupBy("lang", "source").agg(F.sum(F.when(had, F.col("c")).otherwise(0)).alias("n"), F.sum(had.cast("long")).alias("k"))
-    whole = table.groupBy("lang").agg(F.sum(kept.cast("long")).alias("v"), F.sum(F.when(kept, F.aggregate("counts", F.lit(0).cast("long"), lambda a, c: a + c)).otherwise(0)).alias("lang_n"))
+    table, occurring = frequencies(docs, least)
+    total = F.aggregate("counts", F.lit(0).cast("long"), lambda a, c: a + c)
+    each = table.select("lang", F.explode(F.arrays_zip("sources", "counts")).alias("x")).select("lang", F.col("x.sources").alias("source"), F.col("x.counts").alias("c"))
+    sizes = each.groupBy("lang", "source").agg(F.sum("c").alias("n"), F.count("*").alias("k"))
+    whole = table.groupBy("lang").agg(F.count("*").alias("v"), F.sum(total).alias("lang_n"))
     none = F.lit(0).cast("long")
-    groups = stored(sizes.join(whole, "lang").withColumn("p0", smoothed(none, F.col("n"), F.col("v"))), "groups")
+    known = occurring.join(sizes, ["lang", "source"], "left").join(whole, "lang", "left").na.fill(0)
+    groups = stored(known.withColumn("p0", smoothed(none, F.col("n"), F.col("v"))), "groups")
     of = small(groups)
 
-    total = F.aggregate("counts", F.lit(0).cast("long"), lambda a, c: a + c)
-    postings = table.where(kept).select("lang", "term", total.alias("lang_c"), F.explode(F.arrays_zip("sources", "counts")).alias("x"))
+    postings = table.select("lang", "term", total.alias("lang_c"), F.explode(F.arrays_zip("sources", "counts")).alias("x"))
     postings = postings.select("lang", "term", "lang_c", F.col("x.sources").alias("source"), F.col("x.counts").alias("c")).join(of, ["lang", "source"])
     postings = stored(postings.select("lang", "source", "term", "c", "p0", smoothed(F.col("c"), F.col("n"), F.col("v")).alias("p"), smoothed(F.col("lang_c"), F.col("lang_n"), F.col("v")).alias("q")), "postings")
 

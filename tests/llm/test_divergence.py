@@ -52,27 +52,56 @@ def test_against_a_plain_version(spark):
     assert run(spark, rows) == plain(rows, 3, 4)
 
 
-def test_many_runs_and_rounds(spark, monkeypatch):
-    monkeypatch.setattr(divergence, "BLOCK", 40)
-    monkeypatch.setattr(divergence, "FAN", 2)
-    monkeypatch.setattr(divergence, "CHUNK", 16)
-    monkeypatch.setattr(divergence, "PAIRS", 8)
-    rows = rows_of(2, 60)
-    # of these only FAN is read on the driver; workers have their own copy of the module, so blocks and merging are tried here
-    blocks = divergence.Block()
-    for lang, source, text in rows:
-        blocks.add(lang or "", source or "", (text or "").encode())
-    whole = pa.Table.from_batches(list(blocks.run(0)))
-    runs = []
-    for start in range(0, len(rows), 7):
+def blocks(rows, size):
+    for start in range(0, len(rows), size):
         block = divergence.Block()
-        for lang, source, text in rows[start : start + 7]:
+        for lang, source, text in rows[start : start + size]:
             block.add(lang or "", source or "", (text or "").encode())
-        runs.extend(block.run(start))
-    table = pa.Table.from_batches(runs)
-    merged = divergence._merge(table.append_column("group", pa.array([5] * len(table))))
-    told = lambda t: [(r["lang"], r["term"], r["df"], dict(zip(r["sources"], r["counts"], strict=True))) for r in t.to_pylist()]
-    assert told(merged) == told(whole) and set(merged.column("run").to_pylist()) == {5}
+        yield start, block
+
+
+def told(table, lang, shard):
+    """Postings of a shard, by the plain way."""
+    out = {}
+    for r in table.to_pylist():
+        if r["lang"] == lang and r["shard"] == shard and r["segment"]:
+            terms = pa.ipc.open_stream(r["segment"]).read_next_batch().to_pylist()
+            assert terms == sorted(terms, key=lambda x: x["term"])
+            for x in terms:
+                of = out.setdefault((x["term"], r["sources"][x["source"]]), [0, 0])
+                of[0] += x["count"]
+                of[1] += x["df"]
+    return out
+
+
+def test_runs_merge_to_what_one_block_holds(monkeypatch):
+    monkeypatch.setattr(divergence, "CHUNK", 16)
+    rows = [r for r in rows_of(2, 90)]
+    whole = pa.Table.from_batches([divergence._rows(b.run(n, 2)) for n, b in blocks(rows, 1000)])
+    runs = pa.Table.from_batches([divergence._rows(b.run(n, 2)) for n, b in blocks(rows, 7)])
+    for lang in ("en", "de", ""):
+        for shard in range(4):
+            mine = [i for i, r in enumerate(runs.to_pylist()) if r["lang"] == lang and r["shard"] == shard]
+            assert told(whole, lang, shard) == told(runs, lang, shard)
+            if not mine:
+                continue
+            group = runs.take(mine).append_column("group", pa.array([5] * len(mine)))
+            again = divergence._merge_again(4)(group)
+            assert set(again.column("run").to_pylist()) == {5} and {s >> 2 for s in again.column("shard").to_pylist()} == {shard}
+            fine = {}
+            for s in set(again.column("shard").to_pylist()):
+                fine |= told(again, lang, s)
+            assert fine == told(whole, lang, shard)
+            last = {(r["term"], s): c for r in divergence._merge_last(4)(group).to_pylist() for s, c in zip(r["sources"], r["counts"], strict=True)}
+            df = Counter()
+            for (term, _), (_, n) in fine.items():
+                df[term] += n
+            assert last == {k: c for k, (c, _) in fine.items() if df[k[0]] >= 4}
+
+
+def test_many_rounds(spark, monkeypatch):
+    monkeypatch.setattr(divergence, "FAN", 2)  # read on the driver alone: three rounds for five runs
+    rows = rows_of(3, 60)
     assert run(spark, rows, 2, 3) == plain(rows, 2, 3)
 
 
