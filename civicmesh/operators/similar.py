@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -56,37 +58,150 @@ def similar_sets(df: DataFrame, over: float) -> DataFrame:
     return full.select("a", "b", (F.size(F.array_intersect("wa", "wb")) / F.size(F.array_union("wa", "wb"))).alias("jaccard")).where(F.col("jaccard") > over)
 
 
-#: Rows of a block of vectors.
-BLOCK = 4096
+#: Rows of a block of vectors on average, vectors of the sample that centres are chosen from, centres and pivots at most, and blocks
+#: whose bounds meet in one task.
+BLOCK, SAMPLE, CENTRES, PIVOTS, CHUNK = 4096, 2048, 512, 16, 4096
+#: What angles may be off by rounding; bounds give way by it, so that no pair is lost.
+SLACK = 1e-6
+#: Pairs of blocks up to which they are broadcast (two ints each).
+PAIRS_BROADCAST = 1_000_000
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length one; rows without length stay zero."""
+    n = np.sqrt((x * x).sum(1, keepdims=True))
+    return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
+
+
+def _angles(x: np.ndarray, to: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(x @ to.T, -1.0, 1.0))
+
+
+def _matrix(column: pa.ChunkedArray | pa.Array, n: int) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy().reshape(n, -1)
+
+
+def centres_of(vectors: DataFrame, most: int) -> np.ndarray:
+    """Up to ``most`` unit vectors of a bounded sample, each the one farthest from those before; no rows: none."""
+    sample = vectors.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").collect()
+    if not sample:
+        return np.zeros((0, 1))
+    x = np.unique(_unit(np.array([r["v"] for r in sample], float)), axis=0)
+    chosen, near = [0], _angles(x, x[:1])[:, 0]
+    while len(chosen) < min(most, len(x)) and near.max() > SLACK:
+        chosen.append(int(near.argmax()))
+        near = np.minimum(near, _angles(x, x[chosen[-1] :][:1])[:, 0])
+    return x[chosen]
+
+
+def _placed(vectors: DataFrame, centres: np.ndarray, pivots: np.ndarray) -> tuple[DataFrame, DataFrame, int]:
+    """``vectors`` with their block, stored; each block's least and largest angles to the pivots; and the number of blocks.
+
+    A block is a part of the vectors nearest to one centre; centres with more than BLOCK are split by ids' hashes."""
+
+    def place(batches):
+        for batch in batches:
+            x = _unit(_matrix(batch.column(1), batch.num_rows))
+            cell = (x @ centres.T).argmax(1).astype(np.int32)
+            angles = _angles(x, pivots)
+            offsets = pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(pivots))
+            columns = [batch.column(0), batch.column(1), pa.array(cell), pa.ListArray.from_arrays(offsets, pa.array(angles.ravel()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "v", "cell", "angles"])
+
+    placed = checkpointed(vectors.mapInArrow(place, "id long, v array<double>, cell int, angles array<double>"))
+    counts = {r["cell"]: r["count"] for r in placed.groupBy("cell").count().collect()}  # a row for each centre
+    parts, first, blocks = [], [], 0
+    for c in range(max(1, len(centres))):
+        parts.append(max(1, -(-counts.get(c, 0) // BLOCK)))
+        first.append(blocks)
+        blocks += parts[-1]
+    numbers = lambda values: F.get(F.from_json(F.lit(json.dumps(values)), "array<int>"), F.col("cell"))
+    rows = placed.withColumn("block", (numbers(first) + F.pmod(F.xxhash64("id"), numbers(parts))).cast("int"))
+    if not len(pivots):
+        return rows.select("id", "v", "block"), rows.select("block", F.array(F.lit(0.0)).alias("low"), F.array(F.lit(0.0)).alias("high")), blocks
+    ends = [f(F.get("angles", i)).alias(f"{n}{i}") for i in range(len(pivots)) for n, f in (("low", F.min), ("high", F.max))]
+    bounds = rows.groupBy("block").agg(*ends)
+    arrays = [F.array(*(F.col(f"{n}{i}") for i in range(len(pivots)))).alias(n) for n in ("low", "high")]
+    return rows.select("id", "v", "block"), bounds.select("block", *arrays), blocks
+
+
+def _survivors(left: DataFrame, right: DataFrame, blocks: tuple[int, int], angle: float, same: bool) -> DataFrame:
+    """i and j of the blocks that may hold vectors within ``angle``: for no pivot are their intervals of angles farther apart.
+
+    Bounds meet in chunks, so a task compares CHUNK with CHUNK blocks at most."""
+    nl, nr = (max(1, -(-n // CHUNK)) for n in blocks)
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = F.floor(F.col("block") / CHUNK).cast("int")
+    ls = left.select("block", "low", "high", own.alias("i"), spread(nr).alias("j"), F.lit(True).alias("left"))
+    rs = right.select("block", "low", "high", spread(nl).alias("i"), own.alias("j"), F.lit(False).alias("left"))
+
+    def near(t: pa.Table) -> pa.Table:
+        is_left = t.column("left").to_numpy(zero_copy_only=False)
+        block, low, high = t.column("block").to_numpy(), _matrix(t.column("low"), len(t)), _matrix(t.column("high"), len(t))
+        lb, rb = block[is_left], block[~is_left]
+        gap = np.zeros((len(lb), len(rb)))
+        for p in range(low.shape[1]):
+            np.maximum(gap, low[is_left, p][:, None] - high[~is_left, p], out=gap)
+            np.maximum(gap, low[~is_left, p] - high[is_left, p][:, None], out=gap)
+        ok = gap <= angle + SLACK
+        if same:
+            ok &= lb[:, None] <= rb
+        i, j = np.nonzero(ok)
+        return pa.table({"i": pa.array(lb[i], pa.int32()), "j": pa.array(rb[j], pa.int32())})
+
+    return checkpointed(ls.unionByName(rs).groupBy("i", "j").applyInArrow(near, "i int, j int"))
+
+
+def block_pairs(vectors: DataFrame, at_least: float, among: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame, tuple[int, int]]:
+    """Both sides (id, v, block), the pairs of blocks (i, j) that may hold a cosine of ``at_least``, and the numbers of blocks.
+
+    Without ``among``, both sides are ``vectors`` and i <= j. ``at_least`` must be over zero."""
+    pool = vectors if among is None else among
+    blocks = -(-pool.count() // BLOCK)
+    most = min(CENTRES, max(2, 2 * blocks))
+    centres = centres_of(pool, most)
+    if not len(centres):  # nothing there to compare with
+        centres = centres_of(vectors, most)
+    pivots = centres[:PIVOTS]
+    left, low, nl = _placed(vectors, centres, pivots)
+    right, high, nr = (left, low, nl) if among is None else _placed(among, centres, pivots)
+    return left, right, _survivors(low, high, (nl, nr), float(np.arccos(min(1.0, at_least))), among is None), (nl, nr)
 
 
 def similar_pairs(vectors: DataFrame, at_least: float, among: DataFrame | None = None, best: int | None = None) -> DataFrame:
     """a, b and cosine of pairs with a cosine of ``at_least`` or more: a < b, or a of ``vectors`` and b of ``among``.
 
-    ``vectors`` has id and embedding. Blocks meet in pairs, each pair a task's group with one matrix product, so nothing is broadcast and
-    a task holds two blocks. With ``best``, only so many pairs of each a leave a task: those of the largest cosines with another id."""
+    ``vectors`` has id and embedding; all have one length. Vectors lie in blocks around centres; two blocks meet, in a task of their own with one
+    matrix product, unless their angles to some pivot differ by more than the bar's angle (triangle inequality), so nothing is lost. A
+    bar of zero or less lets all blocks meet. With ``best``, only so many pairs of each a leave a task: those of the largest cosines
+    with another id."""
     self_join = among is None
-    right = vectors if self_join else among
-    sizes = vectors.count(), vectors.count() if self_join else among.count()
-    nl, nr = (max(1, -(-n // BLOCK)) for n in sizes)
-    h = F.pmod(F.xxhash64("id"), F.lit(nl)).cast("int")
-    k = F.pmod(F.xxhash64("id"), F.lit(nr)).cast("int")
-    v = as_double(F.col("embedding"))
-    if self_join:
-        # block pairs i <= j only
-        place = F.transform(F.sequence(F.lit(0), F.lit(nl - 1)), lambda o: F.struct(F.least(o, h).alias("i"), F.greatest(o, h).alias("j"), h.alias("own")))
-        rows = vectors.select("id", v.alias("v"), F.explode(place).alias("p")).select("id", "v", "p.i", "p.j", (F.col("p.own") == F.col("p.i")).alias("left"), (F.col("p.own") == F.col("p.j")).alias("right"))
+    v = as_double(F.col("embedding")).alias("v")
+    left = vectors.select("id", v)
+    right = left if self_join else among.select("id", v)
+    if at_least > 0:
+        some = lambda df: df.where(F.exists("v", lambda x: x != 0))  # noqa: E731  a vector without length has a cosine of zero
+        left, right = some(left), some(right)
+        left, right, pairs, _ = block_pairs(left, at_least, None if self_join else right)
+        pairs = F.broadcast(pairs) if pairs.count() <= PAIRS_BROADCAST else pairs
+        left = left.join(pairs, F.col("block") == F.col("i")).select("id", "v", "i", "j", F.lit(True).alias("left"), (F.lit(self_join) & (F.col("i") == F.col("j"))).alias("right"))
+        right = right.join(pairs, F.col("block") == F.col("j"))
+        right = (right.where("i <> j") if self_join else right).select("id", "v", "i", "j", F.lit(False).alias("left"), F.lit(True).alias("right"))
+        rows = left.unionByName(right)
     else:
-        lp = F.transform(F.sequence(F.lit(0), F.lit(nr - 1)), lambda o: F.struct(h.alias("i"), o.alias("j")))
-        rp = F.transform(F.sequence(F.lit(0), F.lit(nl - 1)), lambda o: F.struct(o.alias("i"), k.alias("j")))
-        left = vectors.select("id", v.alias("v"), F.explode(lp).alias("p"), F.lit(True).alias("left"), F.lit(False).alias("right"))
-        rows = left.unionByName(right.select("id", v.alias("v"), F.explode(rp).alias("p"), F.lit(False).alias("left"), F.lit(True).alias("right"))).select("id", "v", "p.i", "p.j", "left", "right")
-
-    def pairs(t: pa.Table) -> pa.Table:
-        ids = t.column("id").to_numpy()
-        x = t.column("v").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
-        n = np.sqrt((x * x).sum(1, keepdims=True))
-        x = np.divide(x, n, out=np.zeros_like(x), where=n > 0)
+        nl, nr = (max(1, -(-df.count() // BLOCK)) for df in (left, right))
+        place = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        if self_join:
+            ends = left.select("id", "v", place(nl).alias("own"), every(nl).alias("other"))
+            rows = ends.select("id", "v", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("left"), (F.col("own") >= F.col("other")).alias("right"))
+        else:
+            ls = left.select("id", "v", place(nl).alias("i"), every(nr).alias("j"), F.lit(True).alias("left"), F.lit(False).alias("right"))
+            rows = ls.unionByName(right.select("id", "v", every(nl).alias("i"), place(nr).alias("j"), F.lit(False).alias("left"), F.lit(True).alias("right")))
+
+    def compared(t: pa.Table) -> pa.Table:
+        ids, x = t.column("id").to_numpy(), _unit(_matrix(t.column("v"), len(t)))
         is_left, is_right = t.column("left").to_numpy(zero_copy_only=False), t.column("right").to_numpy(zero_copy_only=False)
         la, ra = ids[is_left], ids[is_right]
         s = x[is_left] @ x[is_right].T
@@ -108,7 +223,7 @@ def similar_pairs(vectors: DataFrame, at_least: float, among: DataFrame | None =
             a, b, c = np.minimum(a, b)[ok], np.maximum(a, b)[ok], c[ok]
         return pa.table({"a": pa.array(a), "b": pa.array(b), "cosine": pa.array(c)})
 
-    return rows.groupBy("i", "j").applyInArrow(pairs, "a long, b long, cosine double")
+    return rows.groupBy("i", "j").applyInArrow(compared, "a long, b long, cosine double")
 
 
 def nearest_each(vectors: DataFrame, among: DataFrame, k: int, at_least: float = -2.0) -> DataFrame:
