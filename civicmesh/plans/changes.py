@@ -10,7 +10,7 @@ from ..domain import NOW, r6, rounded, sql
 from ..functions import scoring as s
 from ..functions import text as x
 from ..functions import url as u
-from ..operators import dedup, filters, graph, similar
+from ..operators import dedup, filters, graph, ordered, similar
 from .registry import Tables, query
 from .retrieval import FRESH
 from .vectors import cos
@@ -168,14 +168,13 @@ def k04(t: Tables):
 
 @query("k05_trailing_counts", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY floor(epoch(ts))::BIGINT RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW) AS day FROM events")
 def k05(t: Tables):
-    w = Window.partitionBy("user_id").orderBy("at").rangeBetween(-86400, 0)
-    return t.events.withColumn("at", F.unix_seconds(F.col("ts").cast("timestamp"))).select("event_id", F.count("*").over(w).alias("day"))
+    at = F.unix_seconds(F.col("ts").cast("timestamp")).alias("at")
+    return ordered.trailing_counts(t.events.select("user_id", "event_id", at), "user_id", "at", "event_id", 86400, "day").select("event_id", "day")
 
 
 @query("k08_budget", "SELECT user_id, event_id, spent FROM (SELECT user_id, event_id, CAST(sum(event_id % 7) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS spent FROM events) WHERE spent <= 40")
 def k08(t: Tables):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return t.events.select("user_id", "event_id", F.sum(F.col("event_id") % 7).over(w).alias("spent")).where("spent <= 40")
+    return ordered.running(t.events.select("user_id", "event_id", "ts"), "user_id", ["ts", "event_id"], F.col("event_id") % 7, "spent").select("user_id", "event_id", "spent").where("spent <= 40")
 
 
 RATE = """
@@ -191,7 +190,7 @@ RATE = """
 
 @query("e08_rate_limit", RATE)
 def e08(t: Tables):
-    return dedup.rate_limited(t.events.select("user_id", "event_id", "ts"), limit=2, seconds=6 * 3600)
+    return ordered.rate_limited(t.events.select("user_id", "event_id", "ts"), limit=2, seconds=6 * 3600)
 
 
 @query("l26_story_weaving", sql(f"SELECT CAST(sum(signals) AS BIGINT) AS signals, count(*) AS stories FROM (SELECT story_id, count(*) AS signals FROM (SELECT story_id, signal_id FROM contains UNION SELECT c.story_id, r.signal_id FROM contains c JOIN signals s ON s.id = c.signal_id AND node_type = 'Tension' JOIN responds_to r ON r.tension_id = c.signal_id) GROUP BY 1)", "contains", "signals", "responds_to"))

@@ -226,7 +226,7 @@ def b14(t: Tables):
 
 @query("e07_event_numbers", "SELECT event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INTEGER) AS seq FROM events")
 def e07(t: Tables):
-    return runlog.numbered(t.events, "user_id", "ts", "event_id").select("event_id", "seq")
+    return runlog.numbered(t.events.select("user_id", "ts", "event_id"), "user_id", "ts", "event_id").select("event_id", "seq")
 
 
 def _archived(t: Tables):

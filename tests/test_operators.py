@@ -4,7 +4,7 @@ from datetime import datetime, timedelta
 import numpy as np
 from pyspark.sql import functions as F
 
-from civicmesh.operators import dedup, graph, similar
+from civicmesh.operators import dedup, graph, ordered, similar
 from civicmesh.sources import archive, crawl
 from civicmesh.streaming import operators as streaming
 
@@ -79,7 +79,7 @@ def test_rate_limit_batch_and_stream_agree(spark, tmp_path):
     rows = [(u, i + 100 * u, t) for u in range(3) for i, t in enumerate(sorted(start + timedelta(seconds=rng.randint(0, 500)) for _ in range(30)))]
     df = spark.createDataFrame(rows, "user_id long, event_id long, ts timestamp")
     want = {(u, e): ok for u in range(3) for (e, ok) in zip([r[1] for r in rows if r[0] == u], plain_limit([r[2] for r in rows if r[0] == u], 2, 60), strict=True)}
-    assert {(r.user_id, r.event_id): r.allowed for r in dedup.rate_limited(df, 2, 60).collect()} == want
+    assert {(r.user_id, r.event_id): r.allowed for r in ordered.rate_limited(df, 2, 60).collect()} == want
     df.repartition(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
     q = streaming.rate_limited(stream, 2, 60).writeStream.format("memory").queryName("limited").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "ck")).start()
