@@ -12,6 +12,7 @@ from ..functions import scoring as s
 from ..functions import text as x
 from ..functions import url as u
 from ..operators import aggregates as agg
+from ..operators import map_clusters
 from .registry import Tables, query
 from .retrieval import EDGES
 
@@ -227,9 +228,40 @@ def d32(t: Tables):
     return t.sources.where("empty_runs >= 10 and method <> 'curated'").agg(F.count("*").alias("n"))
 
 
-@query("d33_map_clusters", sql("SELECT CAST(floor(lat / 0.1) AS BIGINT) AS y, CAST(floor(lng / 0.1) AS BIGINT) AS x, count(*) AS n FROM signals GROUP BY 1, 2", "signals"))
+#: Greedy circles, visited by id, as a fold over the points of a zoom.
+CIRCLES = """
+    list_reduce(
+        list_prepend([]::STRUCT(id BIGINT, x DOUBLE, y DOUBLE, sx DOUBLE, sy DOUBLE, n BIGINT)[],
+            list_transform(p, lambda a: [{'id': a.id, 'x': a.x, 'y': a.y, 'sx': a.x * a.n, 'sy': a.y * a.n, 'n': a.n}])),
+        lambda done, a: CASE
+            WHEN len(list_filter(done, lambda c: (c.x - a[1].x) * (c.x - a[1].x) + (c.y - a[1].y) * (c.y - a[1].y) <= r * r)) = 0 THEN list_concat(done, a)
+            ELSE list_transform(done, lambda c: CASE
+                WHEN c.id = list_filter(done, lambda e: (e.x - a[1].x) * (e.x - a[1].x) + (e.y - a[1].y) * (e.y - a[1].y) <= r * r)[1].id
+                THEN {'id': c.id, 'x': c.x, 'y': c.y, 'sx': c.sx + a[1].sx, 'sy': c.sy + a[1].sy, 'n': c.n + a[1].n} ELSE c END) END)
+"""
+
+
+@query(
+    "d33_map_clusters",
+    f"""
+    WITH RECURSIVE places AS (
+        SELECT doc_id AS id, 44.5 + (doc_id * 7) % 100 / 100.0 AS lat, -93.8 + (doc_id * 13) % 100 / 100.0 AS lng FROM documents),
+    world AS (
+        SELECT id, CAST(lng AS DOUBLE) / 360.0 + 0.5 AS x,
+               0.5 - 0.25 * ln((1 + sin(radians(CAST(lat AS DOUBLE)))) / (1 - sin(radians(CAST(lat AS DOUBLE))))) / pi() AS y FROM places),
+    points AS (SELECT min(id) AS id, x, y, count(*) AS n FROM world GROUP BY x, y),
+    zooms AS (
+        SELECT 15 AS zoom, list({{'id': id, 'x': x, 'y': y, 'n': n}} ORDER BY id) AS p FROM points
+        UNION ALL
+        SELECT zoom, list_transform(list_sort(list_transform(c, lambda e: {{'id': e.id, 'x': e.sx / e.n, 'y': e.sy / e.n, 'n': e.n}})), lambda e: e)
+        FROM (SELECT zoom - 1 AS zoom, {CIRCLES} AS c FROM (SELECT zoom, p, 50 / (512 * pow(2, zoom - 1)) AS r FROM zooms WHERE zoom > 0)))
+    SELECT CAST(zoom AS INTEGER) AS zoom, e.id AS id, {r6("degrees(2 * atan(exp((0.5 - e.y) * (2 * pi()))) - pi() / 2)")} AS lat, {r6("(e.x - 0.5) * 360.0")} AS lng, e.n AS n
+    FROM (SELECT zoom, unnest(p) AS e FROM zooms WHERE zoom < 15)
+    """,
+)
 def d33(t: Tables):
-    return t.signals.groupBy(F.floor(F.col("lat") / 0.1).alias("y"), F.floor(F.col("lng") / 0.1).alias("x")).agg(F.count("*").alias("n"))
+    rows = map_clusters.by_zoom(t.signals.select("id", "lat", "lng"))
+    return rows.select("zoom", "id", rounded(F.col("lat")).alias("lat"), rounded(F.col("lng")).alias("lng"), "n")
 
 
 @query("d34_engagement", "SELECT user_id, CASE WHEN n >= 1000 THEN printf('%.1fk likes', floor(n / 100.0 + 0.5) / 10) ELSE CAST(n AS VARCHAR) || ' likes' END AS label FROM (SELECT user_id, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS n FROM events GROUP BY 1)")
