@@ -257,7 +257,8 @@ def greedy_merge(pairs: DataFrame, order: DataFrame, region: str | None = None)
     """survivor and absorbed: rows in ``order`` (id, place), each absorbs later ones it is paired with unless one of the two is absorbed.
 
     A row is absorbed exactly by the first earlier survivor it is paired with; survivors are found in rounds: a row with no earlier
-    undecided or surviving partner survives, its later partners go. Each round is a few joins, so no group meets in one task."""
+    undecided or surviving partner survives, its later partners go. Which survivor absorbs a row is seen in the end, as an earlier one
+    may be found in a later round. Each round is a few joins, so no group meets in one task."""
     of = order.select(F.col("id").alias("a"), F.col("place").alias("pa"))
     to = order.select(F.col("id").alias("b"), F.col("place").alias("pb"))
     placed = pairs.select("a", "b").join(of, "a").join(to, "b")
@@ -265,19 +266,20 @@ def greedy_merge(pairs: DataFrame, order: DataFrame, region: str | None = None)
         F.when(F.col("pa") < F.col("pb"), F.col("a")).otherwise(F.col("b")).alias("early"), F.least("pa", "pb").alias("pe"),
         F.when(F.col("pa") < F.col("pb"), F.col("b")).otherwise(F.col("a")).alias("late"),
     )
-    edges = checkpointed(edges)
+    every = edges = checkpointed(edges)
     absorbed = None
     while not edges.isEmpty():
         waiting = edges.select("late").distinct()
         winners = checkpointed(edges.join(waiting.withColumnRenamed("late", "early"), "early", "left_anti"))
-        first = winners.groupBy("late").agg(F.min_by("early", "pe").alias("survivor"))
-        found = checkpointed(first.select("survivor", F.col("late").alias("absorbed")))
-        absorbed = found if absorbed is None else absorbed.union(found)
-        gone = found.select(F.col("absorbed").alias("x"))
-        settled = winners.select(F.col("early").alias("x")).distinct()
+        gone = checkpointed(winners.select(F.col("late").alias("x")).distinct())
+        absorbed = gone if absorbed is None else absorbed.union(gone)
+        # what is absorbed absorbs nothing and needs no further partner
         rest = edges.join(gone, F.col("late") == F.col("x"), "left_anti").join(gone, F.col("early") == F.col("x"), "left_anti")
-        edges = checkpointed(rest.join(settled, F.col("early") == F.col("x"), "left_anti"))
-    return absorbed if absorbed is not None else pairs.select(F.col("a").alias("survivor"), F.col("b").alias("absorbed")).limit(0)
+        edges = checkpointed(rest.join(winners.select("early").distinct(), "early", "left_anti"))
+    if absorbed is None:
+        return pairs.select(F.col("a").alias("survivor"), F.col("b").alias("absorbed")).limit(0)
+    found = every.join(absorbed, F.col("early") == F.col("x"), "left_anti").groupBy("late").agg(F.min_by("early", "pe").alias("survivor"))
+    return found.select("survivor", F.col("late").alias("absorbed"))
 
 
 def mean_vectors(rows: DataFrame, by: str, weight: Column | None = None) -> DataFrame:
