@@ -11,7 +11,7 @@ from ..functions import geo
 from ..functions import scoring as s
 from ..functions import text as x
 from ..functions import url as u
-from ..operators import schedule
+from ..operators import schedule, search
 from .aggregates import geohash_sql
 from .registry import Tables, query
 
@@ -170,9 +170,22 @@ def i35(t: Tables):
     return same.union(inside).distinct()
 
 
-@query("i38_keyword_search", sql("SELECT id FROM signals WHERE contains(lower(title), 'the')", "signals"))
+PHRASES = "SELECT item_id AS query_id, lower(regexp_extract(text, '^\\S+\\s+(\\S+) ', 1)) AS phrase FROM benchmark UNION ALL SELECT 1000000 + item_id, substr(text, 12, 9) FROM benchmark"
+
+
+@query(
+    "i38_keyword_search",
+    sql(f"""SELECT query_id, id, field FROM (
+        SELECT query_id, id, 0 AS field FROM ({PHRASES}) p JOIN signals ON contains(lower(title), lower(phrase)) WHERE trim(phrase) <> ''
+        UNION ALL
+        SELECT query_id, id, 1 FROM ({PHRASES}) p JOIN signals ON contains(lower(source_url), lower(phrase)) WHERE trim(phrase) <> '')""", "signals"),
+)
 def i38(t: Tables):
-    return t.signals.where(F.lower("title").contains("the")).select("id")
+    """A word and nine letters of each benchmark passage, in titles and addresses of all signals."""
+    word = F.regexp_extract("text", r"^\S+\s+(\S+) ", 1)
+    phrases = t.benchmark.select(F.col("item_id").alias("query_id"), F.lower(word).alias("phrase"))
+    phrases = phrases.unionByName(t.benchmark.select((F.col("item_id") + 1000000).alias("query_id"), F.substring("text", 12, 9).alias("phrase")))
+    return search.Index(t.signals, ["title", "source_url"]).search(phrases)
 
 
 @query(
