@@ -130,15 +130,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op7_top_k": """
         WITH v AS (
-            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS v FROM embeddings
+            SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS v FROM embeddings
             WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
               AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
         s AS (
-            SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+            SELECT q.r, q.vec_id AS query_id, c.vec_id AS vec_id,
                    CAST(coalesce(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1]::HUGEINT * z[2])), 0) AS BIGINT) AS score
             FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0)
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
-        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+        FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
     """,
     "op9_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),

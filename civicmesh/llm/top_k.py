@@ -24,6 +24,8 @@ from .storage import stored
 
 #: Candidates of a block and queries of a batch; depth of the first access; scores that are held at a time.
 BLOCK, BATCH, FIRST_DEPTH, CELLS = 65_536, 8192, 2, 1 << 22
+#: Bytes of the integers of a block at most.
+BLOCK_BYTES = 65_536 * 64 * 8
 LONGS = (-(1 << 63), (1 << 63) - 1)
 
 
@@ -138,45 +140,47 @@ def top_k(df: DataFrame, every: int = 50, k: int = 5, vec_id: str = "vec_id", ve
 
     Ties go to smaller ids; all candidates if there are fewer. Rows with null ids, and vectors that are null or hold null or non-finite
     components, take no part. Vectors are only compared with others of their length. Rows that repeat an id are candidates each, but
-    not for queries with that id. Sums are exact; one beyond the range of a long is given as the nearest long."""
+    not for queries with that id; as queries each has a list of its own under that id. Sums are exact; one beyond the range of a long is given as the nearest long."""
     source = df.select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), F.col(f"`{vector}`").alias("v")).where(F.col("vec_id").isNotNull() & usable("v"))
     source = source.select("vec_id", integers("v", scale).alias("v"), F.size("v").alias("dims"))
     is_query = F.col("vec_id") % every == 0
-    sizes = source.agg(F.count("*").alias("n"), F.count(F.when(is_query, 1)).alias("q")).first()
+    sizes = source.agg(F.count("*").alias("n"), F.count(F.when(is_query, 1)).alias("q"), F.max("dims").alias("dims")).first()
+    block = max(1, min(block, BLOCK_BYTES // (8 * max(sizes["dims"] or 1, 1))))
     blocks, batches = max(1, -(-sizes["n"] // block)), max(1, -(-sizes["q"] // batch))
     spot = F.xxhash64("vec_id", F.lit(1))
     own_block, own_batch = F.pmod(spot, F.lit(blocks)), F.pmod(F.shiftrightunsigned(spot, 7), F.lit(batches))
     of_batches = F.transform(F.sequence(F.lit(0), F.lit(batches - 1)), lambda b: b.cast("long"))
-    schema = "query_id long, vec_id long, score long"
+    schema = "q long, query_id long, vec_id long, score long"
 
     def search(table: pa.Table) -> pa.Table:
         dims = table.column("dims")[0].as_py()
-        asked = table.column("query").to_numpy()
+        asked, number = table.column("query").to_numpy(), table.column("q").to_numpy()
         ids, rows = table.column("vec_id").to_numpy(), _vectors(table.column("v"), dims)
         floors = table.column("floor").to_numpy().astype(np.float64)
         order = np.argsort(ids, kind="stable")
-        ids, rows, asked, floors = ids[order], rows[order], asked[order], floors[order]
+        ids, rows, asked, floors, number = ids[order], rows[order], asked[order], floors[order], number[order]
         if not asked.any() or asked.all():
-            return pa.table({name: pa.array([], pa.int64()) for name in ("query_id", "vec_id", "score")})
+            return pa.table({name: pa.array([], pa.int64()) for name in ("q", "query_id", "vec_id", "score")})
         floors = np.where(np.abs(floors) < 2.0**53, floors, np.nextafter(floors, -np.inf))
         floors[floors <= LONGS[0]] = -np.inf  # none
         q, c, s, _ = threshold_search(ids[~asked], rows[~asked], ids[asked], rows[asked], k, floors[asked])
-        return pa.table({"query_id": ids[asked][q], "vec_id": ids[~asked][c], "score": pa.array([*map(int, np.clip(s, *LONGS))] if s.dtype == object else s.astype(np.int64), pa.int64())})
+        return pa.table({"q": number[asked][q], "query_id": ids[asked][q], "vec_id": ids[~asked][c], "score": pa.array([*map(int, np.clip(s, *LONGS))] if s.dtype == object else s.astype(np.int64), pa.int64())})
 
-    candidates = source.select("vec_id", "v", "dims", own_block.alias("block"), F.explode(of_batches).alias("batch"), F.lit(False).alias("query"), F.lit(LONGS[0]).alias("floor"))
-    queries = source.where(is_query)
+    candidates = source.select("vec_id", "v", "dims", own_block.alias("block"), F.explode(of_batches).alias("batch"), F.lit(False).alias("query"), F.lit(LONGS[0]).alias("floor"), F.lit(-1).cast("long").alias("q"))
+    # rows that share an id are queries each, so they go by a number of their own
+    queries = stored(source.where(is_query).withColumn("q", F.monotonically_increasing_id()), "queries")
     first_block = F.pmod(F.col("batch"), F.lit(blocks))
     asked = queries.withColumn("batch", own_batch)
-    first = asked.select("vec_id", "v", "dims", first_block.alias("block"), "batch", F.lit(True).alias("query"), F.lit(LONGS[0]).alias("floor"))
+    first = asked.select("vec_id", "v", "dims", first_block.alias("block"), "batch", F.lit(True).alias("query"), F.lit(LONGS[0]).alias("floor"), "q")
     meets_first = candidates.where(F.col("block") == first_block)
     found = meets_first.unionByName(first).groupBy("dims", "block", "batch").applyInArrow(search, schema)
     if blocks > 1:
         found = stored(found, "first-block")
-        kth = found.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("kth"))
+        kth = found.groupBy("q").agg(F.when(F.count("*") >= k, F.min("score")).alias("kth"))
         others = F.filter(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda b: b.cast("long")), lambda b: b != F.pmod(F.col("batch"), F.lit(blocks)))
-        rest = asked.join(kth.withColumnRenamed("query_id", "__q"), F.col("vec_id") == F.col("__q"), "left")
-        rest = rest.select("vec_id", "v", "dims", F.explode(others).alias("block"), "batch", F.lit(True).alias("query"), F.coalesce("kth", F.lit(LONGS[0])).alias("floor"))
+        rest = asked.join(kth, "q", "left")
+        rest = rest.select("vec_id", "v", "dims", F.explode(others).alias("block"), "batch", F.lit(True).alias("query"), F.coalesce("kth", F.lit(LONGS[0])).alias("floor"), "q")
         more = candidates.where(F.col("block") != first_block).unionByName(rest).groupBy("dims", "block", "batch").applyInArrow(search, schema)
         found = found.unionByName(more)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

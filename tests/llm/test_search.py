@@ -46,10 +46,27 @@ def test_top_k_repeated_ids_empty_table_and_few_rows(spark):
     rows = [(50, [1.0, 0.0]), (50, [1.0, 0.0]), (3, [1.0, 0.0]), (3, [1.0, 0.0])]
     got = {tuple(r) for r in top_k.top_k(frame(spark, rows)).collect()}
     assert {(r[0], r[2], r[3]) for r in got} == {(50, 3, 65536)}
+    ranks = sorted((r[0], r[1], r[2]) for r in top_k.top_k(frame(spark, rows)).collect())
+    assert ranks == [(50, 1, 3), (50, 1, 3), (50, 2, 3), (50, 2, 3)]  # a list for each of the two rows
+    two = [(50, [1.0, 0.0]), (50, [-1.0, 0.0]), *((i, [float(i), 0.0]) for i in range(1, 9))]
+    for block in (3, 1000):
+        got = sorted((r[1], r[2]) for r in top_k.top_k(frame(spark, two), block=block).collect())
+        assert got == sorted([*zip(range(1, 6), (8, 7, 6, 5, 4), strict=True), *zip(range(1, 6), (1, 2, 3, 4, 5), strict=True)])
     assert top_k.top_k(frame(spark, [])).count() == 0
     assert top_k.top_k(frame(spark, [(50, [1.0])])).count() == 0
 
 
+def test_wide_vectors_come_in_smaller_blocks(spark, monkeypatch):
+    monkeypatch.setattr(top_k, "BLOCK_BYTES", 8 * 1024 * 40)  # forty rows of 1,024 dimensions
+    rng = np.random.default_rng(6)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(120, 1024)))]
+    x = np.floor(256 * np.array([v for _, v in rows])).astype(np.int64)
+    got = {(r[0], r[1]): (r[2], r[3]) for r in top_k.top_k(frame(spark, rows)).collect()}
+    for q in (0, 50, 100):
+        want = sorted((-int(x[q] @ x[c]), c) for c in range(120) if c != q)[:5]
+        assert [got[q, r + 1] for r in range(5)] == [(c, -s) for s, c in want]
+
+
 def want_top(rows, q, k=5):
     scores = [sum(int(a) * int(b) for a, b in zip(x, q, strict=True)) for x in rows]
     return sorted((-s, i) for i, s in enumerate(scores))[:k]
