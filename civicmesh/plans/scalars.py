@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import domain as d
 from ..domain import NOW, r6, rounded, sql
-from ..functions import geo
+from ..functions import geo, readable
 from ..functions import scoring as s
 from ..functions import text as x
 from ..functions import url as u
@@ -119,6 +119,12 @@ def i23(t: Tables):
     return t.documents.select("doc_id", F.array_join(F.sort_array(x.mentions(F.col("text"))), " ").alias("mentions"), F.array_join(F.sort_array(x.hashtags(F.col("text"))), " ").alias("tags"))
 
 
+@query("i25_readable")
+def i25(t: Tables):
+    """SQL has no parser of pages; a test compares all of them with a plain version."""
+    return readable.with_markdown(t.pages.select("page_id", "html"))
+
+
 @query("i26_title", "SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title FROM pages")
 def i26(t: Tables):
     return t.pages.select("page_id", x.title(F.col("html")).alias("title"))
