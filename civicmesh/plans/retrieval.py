@@ -10,7 +10,7 @@ from ..domain import NOW, r6, rounded, sql
 from ..functions import geo
 from ..functions import scoring as s
 from ..functions import url as u
-from ..operators import filters, graph
+from ..operators import around, filters, graph
 from .registry import Tables, query
 
 BOX = geo.box(*d.CENTRE, 40.0)
@@ -96,6 +96,25 @@ def b03(t: Tables):
     return filters.signals_near(t.signals, t.stories, t.contains, *d.CENTRE, 40.0, d.now(), 200).select("id", "node_type", F.col("triangulation").cast("long").alias("triangulation"))
 
 
+KM = "2 * 6371.0 * asin(least(1.0, sqrt(pow(sin(radians(s.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(s.lat)) * pow(sin(radians(s.lng - a.lng) / 2), 2))))"
+
+
+@query(
+    "b03_signals_near_actors",
+    sql(f"""SELECT actor_id, id, {r6("km")} AS km, CAST(place AS INTEGER) AS place FROM (
+        SELECT *, row_number() OVER (PARTITION BY actor_id ORDER BY heat DESC, confidence DESC, id) AS place FROM (
+            SELECT a.id AS actor_id, s.id, s.heat, s.confidence, a.id % 9 + 1 AS radius, {KM} AS km
+            FROM actors a JOIN (SELECT * FROM signals WHERE {VISIBLE}) s ON abs(s.lat - a.lat) <= 0.2) WHERE km <= radius) WHERE place <= 20""", "signals", "actors"),
+)
+def b03_actors(t: Tables):
+    """The hottest visible signals around each actor, within one to nine kilometres."""
+    shown = t.signals.where(filters.visible(d.now()))
+    near = around.within(t.actors, shown, F.col("id") % 9 + 1).select(F.col("centre_id").alias("actor_id"), F.col("point_id").alias("id"), "km")
+    rows = near.join(shown.select("id", "heat", "confidence"), "id")
+    place = F.row_number().over(Window.partitionBy("actor_id").orderBy(F.desc("heat"), F.desc("confidence"), "id"))
+    return rows.withColumn("place", place).where("place <= 20").select("actor_id", "id", rounded(F.col("km")).alias("km"), "place")
+
+
 @query("b04_stories_in_bounds", sql(f"SELECT id, headline, energy FROM stories WHERE status = 'live' AND {IN_BOX} ORDER BY energy DESC, id LIMIT 20", "stories"))
 def b04(t: Tables):
     return filters.inside(t.stories.where("status = 'live'"), BOX).orderBy(F.desc("energy"), "id").limit(20).select("id", "headline", "energy")
