@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..functions.scoring import unexpired
 from ..vocabulary import CONFIDENCE_SHOWN
+from .patterns import containing
 
 Bounds = tuple[float, float, float, float]
 
@@ -53,5 +54,5 @@ def due_sources(sources: DataFrame, now: Column) -> DataFrame:
 
 
 def blocked(urls: DataFrame, patterns: DataFrame, url: str = "url", pattern: str = "pattern") -> DataFrame:
-    """Urls that contain one of the patterns (a short list: it is broadcast)."""
-    return urls.join(F.broadcast(patterns), F.col(url).contains(F.col(pattern)), "left_semi")
+    """Urls that contain one of the patterns, of which there may be any number."""
+    return containing(urls, patterns, url, pattern)

@@ -11,7 +11,7 @@ from ..functions import geo, readable
 from ..functions import scoring as s
 from ..functions import text as x
 from ..functions import url as u
-from ..operators import schedule, search
+from ..operators import patterns, schedule, search
 from .aggregates import geohash_sql
 from .registry import Tables, query
 
@@ -168,11 +168,12 @@ def i34(t: Tables):
 @query("i35_query_dedup", sql("SELECT DISTINCT a.value FROM sources a JOIN sources b ON contains(lower(b.value), lower(a.value)) AND b.id < a.id WHERE NOT regexp_matches(a.value, '^https?://') AND NOT regexp_matches(b.value, '^https?://')", "sources"))
 def i35(t: Tables):
     q = t.sources.where(u.is_web_query(F.col("value"))).select("id", "value", F.lower("value").alias("low"))
-    # equal texts by key; proper containment only among the short list of distinct ones
+    # equal texts by key; of the distinct ones that contain a text, the first
     first = q.groupBy("low").agg(F.min("id").alias("first"))
+    found = patterns.matches(first, first, "low", "low").where("text <> pattern").join(first, F.col("text") == F.col("low"))
+    longer = found.groupBy(F.col("pattern").alias("low")).agg(F.min("first").alias("other"))
     same = q.join(first, "low").where("id > first").select("value")
-    longer = first.select(F.col("low").alias("long"), F.col("first").alias("other"))
-    inside = q.join(F.broadcast(longer), F.col("long").contains(F.col("low")) & (F.col("other") < F.col("id"))).select("value")  # distinct search queries: a short, operator-made list
+    inside = q.join(longer, "low").where("other < id").select("value")
     return same.union(inside).distinct()
 
 
