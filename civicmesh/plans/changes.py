@@ -6,11 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import domain as d
+from ..checkpoints import new_folder
 from ..domain import NOW, r6, rounded, sql
 from ..functions import scoring as s
 from ..functions import text as x
 from ..functions import url as u
-from ..operators import dedup, filters, graph, ordered, similar
+from ..operators import dedup, filters, graph, keyed, ordered, similar
 from .registry import Tables, query
 from .retrieval import FRESH
 from .vectors import cos
@@ -23,7 +24,9 @@ def j02(t: Tables):
     keys = ["signal_id", "source_url"]
     old = t.evidence.where("channel in ('press', 'social')").groupBy(*keys).agg(F.max("content_hash").alias("content_hash")).withColumn("known", F.lit(True))
     new = t.evidence.where("channel in ('social', 'direct_action')").groupBy(*keys).agg((F.max("content_hash") + 1000).alias("content_hash")).withColumn("known", F.lit(False))
-    return graph.upserted(old, new, keys, ["content_hash"])
+    table = keyed.KeyedTable(t.spark, new_folder(t.spark, "evidence"), keys, 16).create(old)
+    table.apply(new, lambda there, changes: graph.upserted(there, changes, keys, ["content_hash"]), number=0)
+    return table.read()
 
 
 @query("j03_refresh", sql(f"SELECT s.id, CAST(floor(epoch(greatest(s.confirmed_at, coalesce(e.at, s.confirmed_at)))) AS BIGINT) AS confirmed FROM signals s LEFT JOIN (SELECT signal_id, max(retrieved_at) AS at FROM evidence GROUP BY 1) e ON e.signal_id = s.id", "signals", "evidence"))
