@@ -110,7 +110,7 @@ def canonical(value: Column) -> Column:
 def strategy(value: Column) -> Column:
     """How a source is scraped: web_query, social, html_listing, rss or web_page."""
     lower = F.lower(value)
-    social = contains_any(lower, ("instagram.com", "facebook.com", "reddit.com", "tiktok.com", "twitter.com", "x.com/", "bsky.app"))
+    social = contains_any(lower, tuple(host for hosts in PLATFORMS.values() for host in hosts))
     listing = (lower.contains("eventbrite.com") & lower.contains("/d/")) | (lower.contains("volunteermatch.org") & lower.contains("/search"))
     feed = contains_any(lower, ("/feed", "/rss", "/atom")) | lower.endswith(".rss") | lower.endswith(".xml")
     return F.when(is_web_query(value), "web_query").when(social, "social").when(listing, "html_listing").when(feed, "rss").otherwise("web_page")
@@ -156,7 +156,7 @@ def source_label(value: Column) -> Column:
 
 def owned(value: Column) -> Column:
     """Whether a source is an account in a social network, whose posts are its owner's; feeds and queries gather many authors."""
-    return value.rlike(r"^https?://(www\.)?(instagram|facebook|twitter|x|tiktok|reddit|bsky)\.")
+    return strategy(value) == "social"
 
 
 def reddit_name(link: Column) -> Column:

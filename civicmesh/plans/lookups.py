@@ -31,7 +31,7 @@ ACTIVE_TENSIONS = f"SELECT id, embedding FROM signals JOIN signal_vectors USING
     "h08_similar_query",
     sql(
         f"""
-        , q AS (SELECT * FROM signal_vectors WHERE id % 5 = 0),
+        , q AS (SELECT * FROM signal_vectors),
         near AS (SELECT q.id, v.id AS source, {SCORE} AS score FROM q JOIN signal_vectors v ON v.id <> q.id JOIN sources s ON s.id = v.id),
         top AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, source) AS place FROM near)
         SELECT top.id, arg_max(source, (score, -source)) AS source, {r6("max(score)")} AS score
@@ -41,9 +41,9 @@ ACTIVE_TENSIONS = f"SELECT id, embedding FROM signals JOIN signal_vectors USING
     ),
 )
 def h08(t: Tables):
-    """The nearest active query source among the five nearest sources: the filters come after the search."""
+    """For every vector, the nearest active query source among the five nearest sources: the filters come after the search."""
     of = t.sources.select("id").join(t.signal_vectors, "id")
-    near = similar.nearest_each(t.signal_vectors.where("id % 5 = 0"), of, 5).withColumn("score", similar.index_score(F.col("cosine")))
+    near = similar.nearest_each(t.signal_vectors, of, 5).withColumn("score", similar.index_score(F.col("cosine")))
     queries = t.sources.where("active").where(~F.col("value").rlike("^https?://")).select(F.col("id").alias("b"))
     rows = near.where("score >= 0.55").join(queries, "b")
     return filters.top_per(rows, ["a"], [F.desc("score"), F.col("b")], 1).select(F.col("a").alias("id"), F.col("b").alias("source"), rounded(F.col("score")).alias("score"))
@@ -399,7 +399,11 @@ def l25(t: Tables):
     return rows.select("id", name.alias("name"), "current").where(F.col("name").isNotNull() & ~F.col("name").eqNullSafe(F.col("current"))).select("id", "name")
 
 
-@query("i16_owned_sources", sql("SELECT id, regexp_matches(value, '^https?://(www\\.)?(instagram|facebook|twitter|x|tiktok|reddit|bsky)\\.') AS owned FROM sources", "sources"))
+@query(
+    "i16_owned_sources",
+    sql(r"""SELECT id, regexp_matches(value, '^https?://') AND regexp_matches(lower(value), 'instagram\.com|facebook\.com|reddit\.com|tiktok\.com|twitter\.com|x\.com/|bsky\.app') AS owned
+        FROM sources""", "sources"),
+)
 def i16(t: Tables):
     return t.sources.select("id", u.owned(F.col("value")).alias("owned"))
 

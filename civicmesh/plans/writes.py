@@ -171,7 +171,7 @@ def n14(t: Tables):
     "n16_finder_links",
     sql(
         f"""
-        , q AS (SELECT id, embedding FROM signal_vectors WHERE id % 7 = 0),
+        , q AS (SELECT id, embedding FROM signal_vectors),
         near AS (SELECT q.id, v.id AS other, {cos("q.embedding", "v.embedding")} AS c FROM q JOIN signal_vectors v ON v.id <> q.id JOIN signals s ON s.id = v.id),
         best AS (SELECT id, arg_max(other, (c, -other)) AS other, max(c) AS c FROM near WHERE c >= 0.35 GROUP BY 1)
         SELECT q.id, other AS linked, other IS NULL AS created, {r6("coalesce(c, 1)")} AS strength FROM q LEFT JOIN best USING (id)
@@ -181,7 +181,7 @@ def n14(t: Tables):
 )
 def n16(t: Tables):
     """What a finder found: linked to the nearest known signal if that is near enough, else created."""
-    found = t.signal_vectors.where("id % 7 = 0")
+    found = t.signal_vectors
     known = t.signals.select("id").join(t.signal_vectors, "id")
     best = similar.nearest_each(found, known, 1, 0.35).select(F.col("a").alias("id"), F.col("b").alias("linked"), "cosine")
     rows = found.select("id").join(best, "id", "left")

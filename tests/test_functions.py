@@ -138,3 +138,11 @@ def test_uncited_claims_look_at_every_word(spark):
     texts = ["one " + "word " * n + "Berlin" for n in (3, 1500, 20000)] + ["Berlin " + "word " * 1500, "One two", ""]
     rows = spark.createDataFrame([*enumerate(texts)], "i long, s string").select("i", text.uncited_claim(F.col("s")).alias("x")).collect()
     assert [r.x for r in sorted(rows)] == [True, True, True, False, False, False]
+
+
+def test_owned_sources_follow_the_strategy(spark):
+    own = ["https://www.instagram.com/a", "https://m.facebook.com/a", "https://old.reddit.com/r/a", "http://WWW.X.com/a", "https://mobile.twitter.com/a", "https://bsky.app/profile/a"]
+    not_own = ["https://example.org/", "https://example.org/feed", "instagram.com/a", "some words", ""]
+    df = spark.createDataFrame([(v,) for v in [*own, *not_own, None]], "v string")
+    got = {r.v: r.o for r in df.select("v", url.owned(F.col("v")).alias("o")).collect()}
+    assert [got[v] for v in own] == [True] * len(own) and [got[v] for v in not_own] == [False] * len(not_own) and not got[None]
