@@ -88,7 +88,7 @@ WARM, COLD_STORY, COLD_CAUSE, WIDE, HOT = 0.6, 0.62, 0.65, 0.45, 0.5
     "h13_candidate_situations",
     sql(
         f"""
-        , c AS (SELECT s.id, s.arc, n.embedding AS story, k.embedding AS cause FROM situations s JOIN signal_vectors n ON n.id = s.id JOIN signal_vectors k ON k.id = s.id * 3 % 500),
+        , c AS (SELECT s.id, s.arc, n.embedding AS story, k.embedding AS cause FROM situations s JOIN signal_vectors n ON n.id = s.id CROSS JOIN (SELECT count(*) AS n FROM signal_vectors) JOIN signal_vectors k ON k.id = s.id * 3 % n),
         scored AS (SELECT a.id, s.heat, c.id AS situation, arc, (1 + {cos("a.embedding", "c.story")}) / 2 AS story, (1 + {cos("a.embedding", "c.cause")}) / 2 AS cause
                    FROM signal_vectors a JOIN signals s ON s.id = a.id JOIN c ON c.id <> a.id),
         best AS (SELECT *, greatest(story, cause) AS score, CASE arc WHEN 'cold' THEN story >= {COLD_STORY} OR cause >= {COLD_CAUSE} ELSE greatest(story, cause) >= {WARM} END AS fits FROM scored),
@@ -103,7 +103,7 @@ def h13(t: Tables):
     """Five situations for each signal, by story or by cause; hot signals without any get developing ones through a wider net."""
     at = t.situations.select("id", "arc")
     story = at.join(t.signal_vectors, "id")
-    cause = at.join(story.select("id"), "id", "left_semi").withColumn("of", F.col("id") * 3 % 500).join(t.signal_vectors.withColumnRenamed("id", "of"), "of").drop("of")
+    cause = at.join(story.select("id"), "id", "left_semi").withColumn("of", F.col("id") * 3 % max(1, t.signal_vectors.count())).join(t.signal_vectors.withColumnRenamed("id", "of"), "of").drop("of")
     known = t.signal_vectors.join(t.signals.select("id"), "id", "left_semi")
     best = lambda rows: filters.top_per(rows.groupBy("a", "b").agg(F.max("cosine").alias("cosine")), ["a"], [F.desc("cosine"), F.col("b")], 5)
     near = lambda vectors, of, bar: similar.similar_pairs(vectors, 2 * bar - 1, of.select("id", "embedding"), best=5)
