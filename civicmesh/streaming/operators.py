@@ -32,26 +32,34 @@ def changed(pages: DataFrame, ts: str, url: str, digest: str, late: str = "1 hou
     return pages.withWatermark(ts, late).dropDuplicatesWithinWatermark([url, digest])
 
 
-def rate_limited(events: DataFrame, limit: int, seconds: int) -> DataFrame:
-    """user_id, event_id and allowed: fewer than ``limit`` events passed in the ``seconds`` before. The state of a user is the times
-    that still count, ``limit`` at most."""
+def rate_limited(events: DataFrame, limit: int, seconds: int, late: str = "10 minutes") -> DataFrame:
+    """user_id, event_id and allowed: fewer than ``limit`` events passed in the ``seconds`` before.
+
+    The state of a user is the times that still count, ``limit`` at most; it is dropped once the watermark, ``late`` behind the newest
+    event, has passed all of them. Events behind the watermark are dropped. Within a batch events pass in the order of time."""
     unit = 1_000_000
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         passed = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        rows = pd.concat(list(batches)).sort_values(["micros", "event_id"])
         allowed = []
-        for when in rows["ts"].astype("int64").tolist():
+        for when in rows["micros"].astype("int64").tolist():
             passed = [p for p in passed if p > when - seconds * unit]
             ok = len(passed) < limit
             if ok:
                 passed.append(when)
             allowed.append(ok)
         state.update((passed,))
+        counts_until = (max(passed) + seconds * unit) // 1000 if passed else 0
+        state.setTimeoutTimestamp(max(counts_until, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"user_id": rows["user_id"], "event_id": rows["event_id"], "allowed": allowed})
 
-    rows = events.select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"))
-    return rows.groupBy("user_id").applyInPandasWithState(fold, "user_id long, event_id long, allowed boolean", "passed array<long>", "append", GroupStateTimeout.NoTimeout)
+    at = F.col("ts").cast("timestamp")
+    rows = events.select("user_id", "event_id", at.alias("ts"), F.unix_micros(at).alias("micros")).withWatermark("ts", late)
+    return rows.groupBy("user_id").applyInPandasWithState(fold, "user_id long, event_id long, allowed boolean", "passed array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def ingest(target: str, keys: list[str], verdict: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> Callable[[DataFrame, int], None]:
@@ -61,12 +69,9 @@ def ingest(target: str, keys: list[str], verdict: Callable[[DataFrame, DataFrame
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        try:
-            known = spark.read.parquet(target).where(F.col("__batch") != number)
-        except Exception as e:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            known = None
+        path = spark._jvm.org.apache.hadoop.fs.Path(target)
+        there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)  # the first batch finds no table
+        known = spark.read.parquet(target).where(F.col("__batch") != number) if there else None
         rows = batch.dropDuplicates(keys)
         if known is not None:
             rows = verdict(rows, known) if verdict else rows.join(known.select(*keys).distinct(), keys, "left_anti")
