@@ -12,6 +12,7 @@ from ..functions import scoring as s
 from ..functions import text as x
 from ..functions import url as u
 from ..operators import dedup, filters, graph, keyed, ordered, similar
+from ..streaming import operators as streaming
 from .registry import Tables, query
 from .retrieval import FRESH
 from .vectors import cos
@@ -196,6 +197,13 @@ def e08(t: Tables):
     return ordered.rate_limited(t.events.select("user_id", "event_id", "ts"), limit=2, seconds=6 * 3600)
 
 
+@query("e08_rate_limit_stream", RATE)
+def e08_stream(t: Tables):
+    """The same through a stream: state by user, dropped with the watermark; all events are in one batch here, so none is late."""
+    events = streaming.arrived(t.spark, t.sf_dir, "events.parquet", t.events.schema)
+    return streaming.finished(streaming.rate_limited(events.select("user_id", "event_id", "ts"), limit=2, seconds=6 * 3600))
+
+
 @query("l26_story_weaving", sql(f"SELECT CAST(sum(signals) AS BIGINT) AS signals, count(*) AS stories FROM (SELECT story_id, count(*) AS signals FROM (SELECT story_id, signal_id FROM contains UNION SELECT c.story_id, r.signal_id FROM contains c JOIN signals s ON s.id = c.signal_id AND node_type = 'Tension' JOIN responds_to r ON r.tension_id = c.signal_id) GROUP BY 1)", "contains", "signals", "responds_to"))
 def l26(t: Tables):
     grown = graph.story_growth(t.contains, t.signals, t.responds_to)

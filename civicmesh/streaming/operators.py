@@ -6,9 +6,12 @@ from collections.abc import Callable, Iterator
 from datetime import datetime, timedelta
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
+
+from ..checkpoints import new_folder
 
 
 def supervisor_window(last_run: datetime | None, now: datetime, span: timedelta = timedelta(hours=24)) -> tuple[datetime, datetime]:
@@ -79,3 +82,19 @@ def ingest(target: str, keys: list[str], verdict: Callable[[DataFrame, DataFrame
         rows.withColumn("__batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("__batch").parquet(target)
 
     return write
+
+
+def arrived(spark: SparkSession, folder: str, name: str, schema: StructType) -> DataFrame:
+    """The files ``name`` of a folder (or those in a folder of that name) as a stream."""
+    return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{folder}/{name}*")
+
+
+def finished(stream: DataFrame) -> DataFrame:
+    """What a streaming query in append mode gives for all that is there now, written to the shared folder with its checkpoint."""
+    spark = stream.sparkSession
+    out, check = new_folder(spark, "stream"), new_folder(spark, "stream-checkpoint")
+    q = stream.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start()
+    q.awaitTermination()
+    if q.exception():
+        raise q.exception()
+    return spark.read.schema(stream.schema).parquet(out)
