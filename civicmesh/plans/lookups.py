@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import domain as d
 from ..domain import NOW, r6, rounded, sql
+from ..functions import replies
 from ..functions import text as x
 from ..functions import url as u
 from ..operators import filters, graph, similar
@@ -214,6 +215,40 @@ def b15(t: Tables):
     return rows.where("title <> ''")
 
 
+#: Replies in the forms that models give: an array, a string with one, null, nothing, another type, and text.
+REPLIES = """SELECT event_id, CASE event_type
+    WHEN 'click' THEN '{"signals": [' || props || ', {"k": null}]}'
+    WHEN 'view' THEN '{"signals": ' || CAST(to_json('[' || props || ']') AS VARCHAR) || '}'
+    WHEN 'error' THEN '{"signals": null}'
+    WHEN 'purchase' THEN CASE WHEN contains(props, '1') THEN 'Sorry: ' || props ELSE '{"other": [' || props || ']}' END
+    WHEN 'signup' THEN '{"signals": ' || props || '}'
+    END AS reply FROM events"""
+
+
+@query(
+    "i44_loose_signals",
+    f"""
+    WITH r AS (SELECT event_id, CASE WHEN json_valid(reply) THEN reply END AS reply FROM ({REPLIES})),
+    f AS (SELECT event_id, reply, json_type(reply, '$.signals') AS kind, json_extract_string(reply, '$.signals') AS held FROM r),
+    a AS (SELECT event_id, CASE WHEN reply IS NULL THEN NULL WHEN kind IS NULL OR kind = 'NULL' THEN '[]' WHEN kind IN ('ARRAY', 'VARCHAR') THEN held END AS list FROM f)
+    SELECT event_id, CAST(json_array_length(list) AS INTEGER) AS n, CAST(json_extract(list, '$[0].k') AS BIGINT) AS first FROM a
+    """,
+)
+def i44(t: Tables):
+    kind, props = F.col("event_type"), F.col("props")
+    quoted = F.concat(F.lit('"'), F.replace(F.concat(F.lit("["), props, F.lit("]")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    reply = (
+        F.when(kind == "click", F.concat(F.lit('{"signals": ['), props, F.lit(', {"k": null}]}')))
+        .when(kind == "view", F.concat(F.lit('{"signals": '), quoted, F.lit("}")))
+        .when(kind == "error", '{"signals": null}')
+        .when((kind == "purchase") & props.contains("1"), F.concat(F.lit("Sorry: "), props))
+        .when(kind == "purchase", F.concat(F.lit('{"other": ['), props, F.lit("]}")))
+        .when(kind == "signup", F.concat(F.lit('{"signals": '), props, F.lit("}")))
+    )
+    rows = t.events.select("event_id", replies.listed(reply, "signals", "struct<k: bigint>").alias("s"))
+    return rows.select("event_id", F.size("s").alias("n"), F.get("s", 0)["k"].alias("first"))
+
+
 @query(
     "b18_media_to_enrich",
     sql("SELECT id FROM files WHERE text IS NULL AND mime_type <> 'image/svg+xml' AND regexp_matches(mime_type, '^(image|video|audio)/')", "files"),

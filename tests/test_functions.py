@@ -2,7 +2,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from civicmesh.functions import geo, scoring, text, url
+from civicmesh.functions import geo, replies, scoring, text, url
 
 
 def one(spark, column):
@@ -146,3 +146,13 @@ def test_owned_sources_follow_the_strategy(spark):
     df = spark.createDataFrame([(v,) for v in [*own, *not_own, None]], "v string")
     got = {r.v: r.o for r in df.select("v", url.owned(F.col("v")).alias("o")).collect()}
     assert [got[v] for v in own] == [True] * len(own) and [got[v] for v in not_own] == [False] * len(not_own) and not got[None]
+
+
+def test_loose_arrays_in_replies(spark):
+    cases = {
+        '{"s": [{"k": 1}, {"k": null}]}': [1, None], '{"s": "[{\\"k\\": 2}]"}': [2], '{"s": " [] "}': [], '{"s": null}': [], "{}": [],
+        '{"s": {"k": 1}}': None, '{"s": 5}': None, '{"s": "null"}': None, '{"s": "[{"}': None, "no reply": None, "": None, None: None,
+    }
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(cases)], "i int, r string")
+    got = {r.i: None if r.s is None else [x.k for x in r.s] for r in df.select("i", replies.listed(F.col("r"), "s", "struct<k: bigint>").alias("s")).collect()}
+    assert [got[i] for i in range(len(cases))] == list(cases.values())
