@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..checkpoints import checkpointed
+from ..checkpoints import checkpointed, written
 from ..functions.text import words
 
 
@@ -109,7 +109,7 @@ def _placed(vectors: DataFrame, centres: np.ndarray, pivots: np.ndarray) -> tupl
             columns = [batch.column(0), batch.column(1), pa.array(cell), pa.ListArray.from_arrays(offsets, pa.array(angles.ravel()))]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "v", "cell", "angles"])
 
-    placed = checkpointed(vectors.mapInArrow(place, "id long, v array<double>, cell int, angles array<double>"))
+    placed = written(vectors.mapInArrow(place, "id long, v array<double>, cell int, angles array<double>"), "placed")
     counts = {r["cell"]: r["count"] for r in placed.groupBy("cell").count().collect()}  # a row for each centre
     parts, first, blocks = [], [], 0
     for c in range(max(1, len(centres))):
@@ -150,7 +150,7 @@ def _survivors(left: DataFrame, right: DataFrame, blocks: tuple[int, int], angle
         i, j = np.nonzero(ok)
         return pa.table({"i": pa.array(lb[i], pa.int32()), "j": pa.array(rb[j], pa.int32())})
 
-    return checkpointed(ls.unionByName(rs).groupBy("i", "j").applyInArrow(near, "i int, j int"))
+    return written(ls.unionByName(rs).groupBy("i", "j").applyInArrow(near, "i int, j int"), "block-pairs")
 
 
 def block_pairs(vectors: DataFrame, at_least: float, among: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame, tuple[int, int]]:
