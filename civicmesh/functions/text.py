@@ -93,12 +93,14 @@ def citations(text: Column) -> Column:
     return all_matches(text, rf"\[signal:({UUID})\]", 1)
 
 
-def uncited_claim(text: Column) -> Column:
-    """Whether a sentence of four words or more states a number or a name and cites nothing."""
+def uncited_claim(text: Column, names_within: int | None = None) -> Column:
+    """Whether a sentence of four words or more states a number or a name and cites nothing.
+
+    Names are looked for in the whole sentence, or, as some contracts fix, among its first ``names_within`` words."""
 
     def claims(s: Column) -> Column:
         words = F.filter(F.split(s, r"\s+"), lambda w: w != "")
-        named = F.exists(F.slice(words, 2, F.size(words)), lambda w: w.rlike("^[A-Z]"))
+        named = F.exists(F.slice(words, 2, F.size(words) if names_within is None else F.lit(names_within - 1)), lambda w: w.rlike("^[A-Z]"))
         return (F.size(words) >= 4) & ~s.contains("[signal:") & (s.rlike("[0-9]") | named)
 
     return F.exists(F.split(text, "[.!?]"), claims)
