@@ -154,8 +154,7 @@ OVER = "SELECT a.id AS a, b.id AS b FROM {0} a JOIN {0} b ON a.id < b.id WHERE "
 )
 def h11(t: Tables):
     v = t.signals.join(t.signal_vectors, "id")
-    pairs = similar.similar_pairs(v.select("id", "embedding"), 0.4)
-    return similar.greedy_merge(pairs, v.select("id", F.struct("extracted_at", "id").alias("place")))
+    return similar.merged(similar.in_order(v.select("id", "embedding", F.timestamp_diff("MICROSECOND", d.now(), F.col("extracted_at")).alias("place")), 0.4))
 
 
 @query(
@@ -175,8 +174,7 @@ def h11(t: Tables):
 def h12(t: Tables):
     """Resources after merging: counts summed into the survivor, all three kinds of edges moved to it, each pair once."""
     v = t.resources.join(t.signal_vectors, "id")
-    order = v.select("id", F.struct((-F.col("signal_count")).alias("c"), "id").alias("place"))
-    merged = similar.greedy_merge(similar.similar_pairs(v.select("id", "embedding"), 0.4), order).withColumnRenamed("absorbed", "id")
+    merged = similar.merged(similar.in_order(v.select("id", "embedding", (-F.col("signal_count")).alias("place")), 0.4)).withColumnRenamed("absorbed", "id")
     target = t.resources.join(merged, "id", "left").withColumn("to", F.coalesce("survivor", "id"))
     counted = target.groupBy(F.col("to").alias("id")).agg(F.sum("signal_count").alias("signal_count"), (F.count("*") - 1).alias("absorbed"))
     moved = t.needs_resource.join(target.select(F.col("id").alias("resource_id"), "to"), "resource_id").select("signal_id", "kind", F.col("to").alias("id")).distinct()
