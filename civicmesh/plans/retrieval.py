@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import domain as d
+from ..checkpoints import written
 from ..domain import NOW, r6, rounded, sql
 from ..functions import geo
 from ..functions import scoring as s
@@ -108,11 +109,21 @@ KM = "2 * 6371.0 * asin(least(1.0, sqrt(pow(sin(radians(s.lat - a.lat) / 2), 2)
 )
 def b03_actors(t: Tables):
     """The hottest visible signals around each actor, within one to nine kilometres."""
-    shown = t.signals.where(filters.visible(d.now()))
-    near = around.within(t.actors, shown, F.col("id") % 9 + 1).select(F.col("centre_id").alias("actor_id"), F.col("point_id").alias("id"), "km")
-    rows = near.join(shown.select("id", "heat", "confidence"), "id")
-    place = F.row_number().over(Window.partitionBy("actor_id").orderBy(F.desc("heat"), F.desc("confidence"), "id"))
-    return rows.withColumn("place", place).where("place <= 20").select("actor_id", "id", rounded(F.col("km")).alias("km"), "place")
+    # circles alike are searched once; of points in one place, a circle holds all or none, so its first twenty are enough
+    shown, order = t.signals.where(filters.visible(d.now())), [F.desc("heat"), F.desc("confidence"), F.col("id")]
+    shown = filters.top_per(shown.select("id", "lat", "lng", "heat", "confidence"), ["lat", "lng"], order, 20)
+    asked = t.actors.select(F.col("id").alias("actor_id"), "lat", "lng", (F.col("id") % 9 + 1).alias("radius"))
+    circles = written(asked.select("lat", "lng", "radius").dropna().distinct().withColumn("circle", F.monotonically_increasing_id()), "circles")
+    near = around.within(circles, shown, F.col("radius"), "circle").select(F.col("centre_id").alias("circle"), F.col("point_id").alias("id"), "km")
+    first = filters.top_per(near.join(shown.select("id", "heat", "confidence").distinct(), "id"), ["circle"], order, 20)
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("heat")).alias("h"), (-F.col("confidence")).alias("c"), "id", "km")))  # twenty at most
+    lists = first.groupBy("circle").agg(ranked.alias("near")).join(circles, "circle")
+    each = asked.join(lists, ["lat", "lng", "radius"]).select("actor_id", F.posexplode("near").alias("place", "x")).withColumn("place", F.col("place") + 1)
+    several = written(asked.groupBy("actor_id").count().where("count > 1").select("actor_id"), "several")  # actors that share an id share its twenty
+    place = F.row_number().over(Window.partitionBy("actor_id").orderBy("x"))
+    more = each.join(several, "actor_id", "left_semi").withColumn("place", place).where("place <= 20")
+    rows = each.join(several, "actor_id", "left_anti").unionByName(more)
+    return rows.select("actor_id", "x.id", rounded(F.col("x.km")).alias("km"), "place")
 
 
 @query("b04_stories_in_bounds", sql(f"SELECT id, headline, energy FROM stories WHERE status = 'live' AND {IN_BOX} ORDER BY energy DESC, id LIMIT 20", "stories"))
