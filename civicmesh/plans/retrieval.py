@@ -357,8 +357,14 @@ def c23(t: Tables):
 def c25(t: Tables):
     tensions = t.signals.where("node_type = 'Tension'").select(F.col("id").alias("signal_id"))
     tension = t.evidence.join(tensions, "signal_id", "left_semi").select("signal_id", u.domain(F.col("source_url")).alias("host"))
-    # an equality on the host instead of a scan for contained text
-    return t.sources.select("id", u.domain(F.col("value")).alias("host")).join(tension, "host", "left").groupBy("id").agg(F.countDistinct("signal_id").alias("tensions"))
+    # an equality on the host instead of a scan for contained text; a host's tensions are counted once for all its sources
+    of = t.sources.select("id", u.domain(F.col("value")).alias("host")).distinct()
+    several = of.groupBy("id").agg(F.count("*").alias("hosts")).where("hosts > 1")  # rows that share an id: their hosts' tensions count once
+    pairs = tension.distinct()
+    counts = pairs.groupBy("host").agg(F.count("*").alias("tensions"))
+    one = of.join(several, "id", "left_anti").join(counts, "host", "left").select("id", F.coalesce("tensions", F.lit(0)).alias("tensions"))
+    more = of.join(several, "id", "left_semi").join(pairs, "host", "left").groupBy("id").agg(F.countDistinct("signal_id").alias("tensions"))
+    return one.unionByName(more)
 
 
 @query("c26_weak_responses", sql("SELECT signal_id, tension_id FROM responds_to JOIN signals ON id = signal_id WHERE confidence < 0.4", "responds_to", "signals"))
