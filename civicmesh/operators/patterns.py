@@ -65,6 +65,27 @@ def matches(texts: DataFrame, patterns: DataFrame, text: str = "text", pattern:
     return out
 
 
+def found_in(rows: DataFrame, patterns: DataFrame, fields: list[str], id: str = "id", pattern: str = "pattern") -> DataFrame:
+    """id, field (its place in ``fields``) and pattern of each row's field that contains a pattern, once for each distinct pattern. Rows are read
+    once for each part of the patterns, stay where they are, and leave without their texts."""
+    source = rows.select(F.col(id).alias("id"), *(F.col(f).alias(f"f{i}") for i, f in enumerate(fields)))
+    schema = T.StructType([source.schema["id"], T.StructField("field", T.IntegerType()), T.StructField("pattern", T.StringType())])
+    out = None
+    for part in _parts(patterns, pattern):
+
+        def run(batches: Iterator[pa.RecordBatch], part: list[str] = part) -> Iterator[pa.RecordBatch]:
+            found = _finder(part)
+            for batch in batches:
+                for k in range(1, batch.num_columns):
+                    sets = [sorted(set(found(t.as_py()))) if t.is_valid else [] for t in batch.column(k)]
+                    at = pa.array([i for i, s in enumerate(sets) for _ in s], pa.int32())
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array([k - 1] * len(at), pa.int32()), pa.array([p for s in sets for p in s], pa.string())], names=["id", "field", "pattern"])
+
+        one = source.mapInArrow(run, schema)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def containing(rows: DataFrame, patterns: DataFrame, text: str = "text", pattern: str = "pattern") -> DataFrame:
     """The rows whose text contains at least one pattern, columns unchanged. With several parts of patterns, rows are written between them."""
     out = rows.withColumn(HIT, F.lit(False))
